@@ -6,8 +6,8 @@ when its documents have no more bytes: these are equal, without any digest. Digi
 that even very long copies take few rounds.
 
 Counting a round is a ``groupBy`` with map-side partial aggregation, so a group that holds a third of all rows
-arrives as one row per task. Groups go back to their documents by a join with the (digit) groups of at least two
-documents only: broadcast if the written table is small, else a shuffled join that adaptive execution may split.
+arrives as one row per task. Groups go back to their documents by a shuffled join, which adaptive execution may
+split where one group is large; it is the same plan at every size.
 """
 
 from __future__ import annotations
@@ -52,9 +52,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
         groups_path = scratch.write(groups, f"groups{rnd}")
         groups = spark.read.schema(groups.schema).parquet(groups_path)
-        if scratch.small(groups_path):
-            groups = F.broadcast(groups)
-        step = digit.join(groups, ["grp", "digit", "ended"], "left").select(
+        step = digit.join(groups.hint("merge"), ["grp", "digit", "ended"], "left").select(
             "id", "chars", "sha", "keep_id", "n", F.col("next").alias("grp"),
             F.when(F.col("n").isNotNull() & ~F.col("ended"), F.expr(f"substring(rest, {width + 1}, 2147483647)")).alias("rest"),
         )

@@ -29,12 +29,59 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op8_simhash_near_dedup, op10_bpe)}
+def op1_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .superkmer import substring_dedup
+
+    return substring_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_round_trip
+
+    return archive_round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import language_id
+
+    return language_id(_table(spark, sf_dir, "documents"))
+
+
+def _oracles() -> dict[str, str]:
+    from . import mixing
+
+    return {"op5_mixing": mixing.oracle()}
+
+
+QUERIES = {f.__name__: f for f in (op1_superkmer_dedup, op3_warc_revisits, op4_exact_dedup, op5_mixing, op8_simhash_near_dedup, op9_language_id, op10_bpe)}
 
 ORACLES = {
+    "op1_superkmer_dedup": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 11, 1))) AS pos FROM w),
+        k AS (SELECT doc_id, pos, md5(array_to_string(ws[pos:pos + 12], ' ')) AS win FROM p),
+        d AS (SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY win) < doc_id AS gone FROM k),
+        g AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + 13)) AS pos FROM d WHERE gone),
+        r AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM w),
+        x AS (SELECT r.doc_id, r.pos, word, g.pos IS NOT NULL AS cut FROM r LEFT JOIN g USING (doc_id, pos)),
+        s AS (SELECT doc_id, count(*) AS n, count(*) FILTER (cut) AS c, string_agg(word, ' ' ORDER BY pos) FILTER (NOT cut) AS kept FROM x GROUP BY doc_id)
+        SELECT w.doc_id, coalesce(n, 0) AS n_words, coalesce(c, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN s USING (doc_id)
+    """,
     "op4_exact_dedup": r"""
         WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
         g AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY chars DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
     """,
-}
+    "op3_warc_revisits": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS low FROM p)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND low <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND low <> page_id THEN low END AS refers_to FROM f
+    """,
+} | _oracles()

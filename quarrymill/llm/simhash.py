@@ -69,16 +69,16 @@ def near(x: np.ndarray) -> np.ndarray:
 
 
 def link_list(fps: np.ndarray) -> list[np.ndarray]:
-    """Links of one posting list as stars: a fingerprint is compared with those not yet reached only."""
+    """Links of one posting list as spanning trees: a fingerprint is compared with those not yet reached only."""
     out, rest = [], fps
     while len(rest) > 1:
         root, rest = rest[0], rest[1:]
         todo = [root]
         while todo and len(rest):
-            hit = near(rest ^ todo.pop())
+            hit = near(rest ^ (one := todo.pop()))
             if hit.any():
                 new, rest = rest[hit], rest[~hit]
-                out.append(np.stack([np.full(len(new), root), new], 1))
+                out.append(np.stack([np.full(len(new), one), new], 1))
                 todo.extend(new)
     return out
 
