@@ -139,8 +139,8 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", key_co
     return Model(tuple(langs), np.concatenate(parts), idf)
 
 
-def predict(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", min_cosine: float = MIN_COSINE) -> DataFrame:
-    """Adds lang_pred, score and rejected to id_cols, a row per row of docs.
+def predict(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", min_cosine: float = MIN_COSINE, keep_text: bool = False) -> DataFrame:
+    """Adds lang_pred, score and rejected to id_cols (and the text, if asked for), a row per row of docs.
 
     lang_pred is the nearest centroid's language, `und` if the text is null or has no letter, or if no language was
     learned; score is the cosine, 0 for `und`. rejected: `und`, or a cosine under min_cosine. Ties go to the first
@@ -151,9 +151,10 @@ def predict(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id",
     bound_arrow(spark)
     shared = spark.sparkContext.broadcast(model)  # MAX_CENTROIDS * DIMS * 4 bytes at most
     extra = "lang_pred string, score double, rejected boolean"
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*id_cols).schema) + extra
+    own_cols = [*id_cols, *[text_col] * keep_text]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*own_cols).schema) + extra
 
-    names = [*docs.select(*id_cols).columns, "lang_pred", "score", "rejected"]
+    names = [*own_cols, "lang_pred", "score", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -166,7 +167,7 @@ def predict(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id",
                 known &= best >= 0
                 score = np.where(known, score, 0.0)
                 lang = [m.langs[i] if ok else UNKNOWN for i, ok in zip(best, known, strict=True)]
-                own = [b.column(i).slice(at, 128) for i in range(b.num_columns - 1)]
+                own = [b.column(i).slice(at, 128) for i in range(len(own_cols))]
                 yield pa.record_batch([*own, pa.array(lang, pa.string()), pa.array(score), pa.array(~known | (score < min_cosine))], names)
 
     return docs.select(*id_cols, text_col).mapInArrow(run, schema)

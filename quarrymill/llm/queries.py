@@ -15,6 +15,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixes import suffix_dedup
+
+    return suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_dedup
 
@@ -59,7 +65,7 @@ def _oracles() -> dict[str, str]:
     return {"op5_mixing": mixing.oracle()}
 
 
-QUERIES = {f.__name__: f for f in (op1_superkmer_dedup, op3_warc_revisits, op4_exact_dedup, op5_mixing, op8_simhash_near_dedup, op9_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_superkmer_dedup, op3_warc_revisits, op4_exact_dedup, op5_mixing, op7_suffix_dedup, op8_simhash_near_dedup, op9_language_id, op10_bpe)}
 
 ORACLES = {
     "op1_superkmer_dedup": r"""

@@ -34,25 +34,37 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-class RangeHash:
-    """64-bit hashes of byte ranges of one buffer. Equal ranges have equal hashes; equality is checked elsewhere."""
+def range_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, block: int = 1 << 20) -> np.ndarray:
+    """64-bit hashes of byte ranges, sorted by start, of one buffer, a block at a time for bounded memory. Equal ranges
+    have equal hashes; equality is checked elsewhere."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        base = int(start[i])
+        j = int(np.searchsorted(start, base + block))
+        part = raw[base : int(stop[i:j].max(initial=base))]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part + np.uint64(1)) * powers(len(part)), out=sums[1:])
+        a, b = start[i:j] - base, stop[i:j] - base
+        out[i:j] = mixed((sums[b] - sums[a]) * powers(len(part) + 1, True)[a] + (b - a).astype(np.uint64))
+        i = j
+    return out
 
-    def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(len(data)), out=self.sums[1:])
-        self.inverse = powers(len(data) + 1, True)
 
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[stop] - self.sums[start]) * self.inverse[start] + (stop - start).astype(np.uint64))
+def first_of_equal(h: np.ndarray) -> np.ndarray:
+    """For each number, the lowest index that has it."""
+    order = np.argsort(h)
+    at = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
+    out = np.empty(len(h), np.int64)
+    out[order] = np.repeat(np.minimum.reduceat(order, at), np.diff(np.r_[at, len(h)]))
+    return out
 
 
 def equal_groups(data: bytes, start: np.ndarray, stop: np.ndarray, h: np.ndarray) -> np.ndarray:
     """For each range, the lowest index of a range with the same bytes. Hashes only bring candidates together."""
-    order = np.argsort(h, kind="stable")
-    new = np.r_[True, h[order][1:] != h[order][:-1]]
-    first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
-    out = np.empty(len(h), np.int64)
-    out[order] = first
+    if not len(h):
+        return np.empty(0, np.int64)
+    out = first_of_equal(h)
     dup = np.flatnonzero(out != np.arange(len(h)))
     f = out[dup]
     same = np.fromiter((data[a:b] == data[c:d] for a, b, c, d in zip(start[dup].tolist(), stop[dup].tolist(), start[f].tolist(), stop[f].tolist(), strict=True)), bool, len(dup))
@@ -91,34 +103,147 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
 
 
+def packed(docs, marks, firsts, strings: list[bytes]) -> bytes:
+    """Strings with their document, mark and first place, compressed."""
+    import zstandard
+
+    own, inverse = np.unique(np.stack([docs, marks], 1), axis=0, return_inverse=True)
+    head = np.array([len(own), len(strings)], np.int64).tobytes()
+    sizes = np.fromiter(map(len, strings), np.uint32, len(strings))
+    body = b"".join([head, own.tobytes(), np.asarray(firsts, np.int64).tobytes(), inverse.astype(np.uint32).tobytes(), sizes.tobytes(), *strings])
+    return zstandard.ZstdCompressor(level=3).compress(body)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, m = np.frombuffer(raw, np.int64, 2).tolist()
+    own = np.frombuffer(raw, np.int64, 2 * n, 16).reshape(-1, 2)
+    at = 16 + 16 * n
+    firsts = np.frombuffer(raw, np.int64, m, at)
+    of = own[np.frombuffer(raw, np.uint32, m, at + 8 * m)]
+    ends = np.cumsum(np.frombuffer(raw, np.uint32, m, at + 12 * m), dtype=np.int64) + at + 16 * m
+    return of[:, 0], of[:, 1], firsts, [raw[a:b] for a, b in zip([at + 16 * m, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+
+class Packer:
+    """Gathers strings by target and gives packed rows (target, doc, mark, data) once there are enough."""
+
+    names = ["target", "doc", "mark", "data"]
+
+    def __init__(self, size: int):
+        self.size, self.held, self.n = size, {}, 0
+
+    def add(self, target: int, docs, marks, firsts, strings: list[bytes]) -> None:
+        self.held.setdefault(target, []).append((docs, marks, firsts, strings))
+        self.n += sum(map(len, strings)) + 80 * len(strings)
+
+    def full(self) -> bool:
+        return self.n >= self.size
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        for k in sorted(self.held):
+            parts = self.held.pop(k)
+            blob = packed(*(np.concatenate([p[i] for p in parts]) for i in range(3)), [s for p in parts for s in p[3]])
+            yield pa.record_batch([pa.array([k], pa.int64()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([blob], pa.binary())], self.names)
+        self.n = 0
+
+
+ROWS = "target long, doc long, mark long, data binary"
+#: Bytes that a packer gathers.
+PACK = 32 << 20
+
+
+def mapper(chunker, buckets: int, chunk: int, pack: int, twice: bool):
+    """Documents come in; rows of ROWS go out: packed super-k-mers by bucket, and (target under 0) ranges that are
+    decided already, as a smaller document has the same string in the same chunk (twice: or the same one earlier)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Packer(pack)
+        for rows in batched(batches, chunk):
+            rows.sort(key=lambda r: r[:2])  # so that the first of equal strings is the one that stays
+            rows = [r for r, before in zip(rows, [None, *rows], strict=False) if before is None or r[:2] != before[:2]]
+            data, row, first, n, start, stop, low, span = chunker(rows)
+            if not len(row):
+                continue
+            doc, mark = np.array([r[0] for r in rows], np.int64)[row], np.array([r[1] for r in rows], np.int64)[row]
+            same = equal_groups(data, start, stop, range_hashes(np.frombuffer(data, np.uint8), start, stop))
+            known = same != np.arange(len(same)) if twice else doc > doc[same]
+            for b in range_rows(doc[known], mark[known], first[known], (first + n)[known] + span - 1):
+                yield pa.record_batch([pa.array(-1 - (b.column(0).to_numpy() % 4096 + 4096) % 4096), *b.columns], Packer.names)
+            send = np.flatnonzero(~known)
+            bucket = (low[send] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            send, bucket = send[order], bucket[order]
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(send)], strict=True):
+                own = send[a:b]
+                out.add(int(bucket[a]), doc[own], mark[own], first[own], [data[x:y] for x, y in zip(start[own].tolist(), stop[own].tolist(), strict=True)])
+            if out.full():
+                yield from out.flush()
+        yield from out.flush()
+
+    return run
+
+
+def counted(count):
+    """count: of (docs, marks, firsts, strings) of whole buckets, gives batches of RANGES. Decided ranges pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for b in batches:
+            known = np.flatnonzero(b.column(0).to_numpy() < 0)
+            if len(known):
+                yield pa.record_batch(b.take(pa.array(known)).columns[1:], ["doc", "mark", "ranges"])
+            parts += [unpacked(blob.as_py()) for target, blob in zip(b.column(0), b.column(3), strict=True) if target.as_py() >= 0]
+        if parts:
+            docs, marks, firsts = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            strings = [s for p in parts for s in p[3]]
+            parts.clear()
+            order = np.lexsort((firsts, marks, docs))
+            yield from count(docs[order], marks[order], firsts[order], [strings[i] for i in order.tolist()])
+
+    return run
+
+
 def apply_ranges(docs: DataFrame, ranges: DataFrame, partitions: int, cut: Callable[[str, np.ndarray], tuple], names: list[str], kinds: list, schema: str) -> DataFrame:
     """docs: of keyed(). Brings each document's ranges to it, in one shuffle, and gives doc_id and what cut returns.
 
-    A partition is sorted by document, its ranges first, and runs as a stream.
+    Texts travel compressed in packs. A partition is sorted by target, ranges first, and runs as a stream.
     """
-    both = docs.select("doc", "mark", F.lit(1).alias("kind"), "text", F.lit(None).cast("binary").alias("ranges")).unionByName(
-        ranges.select("doc", "mark", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("text"), "ranges")
-    )
+    target = F.pmod(F.xxhash64("doc", "mark"), F.lit(partitions))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Packer(PACK)
+        for b in batches:
+            for doc, mark, text, to in zip(*(b.column(i) for i in range(4)), strict=True):
+                out.add(to.as_py(), [doc.as_py()], [mark.as_py()], [0], [(text.as_py() or "").encode()])
+                if out.full():
+                    yield from out.flush()
+        yield from out.flush()
+
+    texts = docs.withColumn("target", target).mapInArrow(pack, ROWS).withColumn("kind", F.lit(1))
+    found = ranges.select(target.alias("target"), "doc", "mark", F.col("ranges").alias("data"), F.lit(0).alias("kind"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own, joined = None, [], None
+        now, own = None, {}
         for b in batches:
-            out, ids = [], []
-            for doc, mark, kind, text, blob in zip(*(b.column(i) for i in range(5)), strict=True):
-                now = (doc.as_py(), mark.as_py())
-                if now != key:
-                    key, own, joined = now, [], None
+            for to, doc, mark, data, kind in zip(*(b.column(i) for i in range(5)), strict=True):
+                if to != now:
+                    now, own = to, {}
                 if kind.as_py() == 0:
-                    own.append(np.frombuffer(blob.as_py(), np.int64).reshape(-1, 2))
+                    own.setdefault((doc.as_py(), mark.as_py()), []).append(np.frombuffer(data.as_py(), np.int64).reshape(-1, 2))
                     continue
-                if joined is None:
-                    joined = np.stack(merged(*np.concatenate(own).T), 1) if own else np.empty((0, 2), np.int64)
-                out.append(cut(text.as_py() or "", joined))
-                ids.append(None if now[0] == NULL_ID else now[0])
-            if out:
+                ids, out = [], []
+                for d, m, _, text in zip(*unpacked(data.as_py()), strict=True):
+                    mine = own.get((int(d), int(m)))
+                    out.append(cut(text, np.stack(merged(*np.concatenate(mine).T), 1) if mine else np.empty((0, 2), np.int64)))
+                    ids.append(None if d == NULL_ID else int(d))
                 yield pa.record_batch([pa.array(ids, pa.int64()), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], ["doc_id", *names])
 
-    return both.repartition(partitions, "doc", "mark").sortWithinPartitions("doc", "mark", "kind").mapInArrow(run, "doc_id long, " + schema)
+    both = texts.unionByName(found)
+    return both.repartition(partitions, "target").sortWithinPartitions("target", "kind").mapInArrow(run, "doc_id long, " + schema)
 
 
 def batched(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:

@@ -9,8 +9,8 @@ of a third of all documents arrives once per mapper's batch.
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
+from functools import partial
 from itertools import compress
 
 import numpy as np
@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import bound_arrow, require
-from .spans import RANGES, RangeHash, apply_ranges, batched, equal_groups, keyed, mixed, range_rows
+from .spans import RANGES, ROWS, apply_ranges, counted, equal_groups, keyed, mapper, mixed, range_hashes, range_rows
 
 WINDOW = 13
 MER = 3
 #: Bytes of text that a mapper works on at once, and of packed strings that it gathers for its buckets.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 PACK = 48 << 20
 #: Windows that a bucket's task sorts at once; more are sorted in passes by their hash.
 SORTED = 4 << 20
@@ -37,15 +37,16 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.r_[0, stop[:-1] + 1], stop
 
 
-def super_kmers(rows: list[tuple], window: int = WINDOW, mer: int = MER):
+def super_kmers(rows: list[tuple], window: int = WINDOW, mer: int = MER, longest: int = LONGEST):
     """rows: (doc, mark, text bytes). The chunk's normalised bytes and, for each super-k-mer, row, first word, number of
-    windows, byte range and minimiser."""
+    windows, byte range and minimiser; and the window."""
     texts = [b" ".join(t.split()) for _, _, t in rows]
     have = [i for i, t in enumerate(texts) if t]
     data = b"\n".join([texts[i] for i in have] + [b""])
     empty = np.empty(0, np.int64)
+    none = (data, empty, empty, empty, empty, empty, empty.astype(np.uint64), window)
     if not have:
-        return data, empty, empty, empty, empty, empty, empty.astype(np.uint64)
+        return none
     raw = np.frombuffer(data, np.uint8)
     start, stop = word_bounds(raw)
     last = np.flatnonzero(raw[stop] == 10)
@@ -54,8 +55,8 @@ def super_kmers(rows: list[tuple], window: int = WINDOW, mer: int = MER):
     in_row = np.arange(len(start)) - np.repeat(first, last - first + 1)
     n = len(start) - window + 1
     if n <= 0:
-        return data, empty, empty, empty, empty, empty, empty.astype(np.uint64)
-    words = RangeHash(raw).of(start, stop)
+        return none
+    words = range_hashes(raw, start, stop)
     m = len(start) - mer + 1
     h = words[:m].copy()
     for i in range(1, mer):
@@ -71,119 +72,45 @@ def super_kmers(rows: list[tuple], window: int = WINDOW, mer: int = MER):
     new = ok & np.r_[True, ~ok[:-1] | (row[1:n] != row[: n - 1]) | (low[1:] != low[:-1])]
     at = np.flatnonzero(new)
     if not len(at):
-        return data, empty, empty, empty, empty, empty, empty.astype(np.uint64)
+        return none
     # a run ends before the next one, or where its document's windows end
     size = np.add.reduceat(ok.astype(np.int64), at)
-    if size.max() > LONGEST:
-        pieces = -(-size // LONGEST)
+    if size.max() > longest:
+        pieces = -(-size // longest)
         part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        at, size = np.repeat(at, pieces) + part * LONGEST, np.minimum(np.repeat(size, pieces) - part * LONGEST, LONGEST)
-    return data, row[at], in_row[at], size, start[at], stop[at + size + window - 2], low[at]
-
-
-def packed(strings: list[bytes], docs: np.ndarray, marks: np.ndarray, firsts: np.ndarray) -> bytes:
-    import zstandard
-
-    own, inverse = np.unique(np.stack([docs, marks], 1), axis=0, return_inverse=True)
-    body = own.tobytes() + inverse.astype(np.uint32).tobytes() + firsts.astype(np.uint32).tobytes() + b"\n".join(strings)
-    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<II", len(own), len(strings)) + body)
-
-
-def unpacked(blob: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, m = struct.unpack_from("<II", raw)
-    own = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(-1, 2)
-    of = own[np.frombuffer(raw, np.uint32, m, 8 + 16 * n)]
-    firsts = np.frombuffer(raw, np.uint32, m, 8 + 16 * n + 4 * m).astype(np.int64)
-    return raw[8 + 16 * n + 8 * m :] + b"\n", of[:, 0], of[:, 1], firsts
-
-
-def mapper(buckets: int, window: int = WINDOW):
-    """Rows (bucket, blob) for buckets; bucket -1 has ranges of words that are decided already, as in RANGES."""
-    names = ["bucket", "doc", "mark", "data"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for k in sorted(held):
-                parts = held[k]
-                blob = packed([s for p in parts for s in p[0]], *(np.concatenate([p[i] for p in parts]) for i in (1, 2, 3)))
-                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), pa.array([blob], pa.binary())], names)
-            held.clear()
-
-        for rows in batched(batches, CHUNK):
-            rows.sort(key=lambda r: r[:2])  # so that the first of equal strings is in the smallest document
-            data, row, first, n, start, stop, low = super_kmers(rows, window)
-            if not len(row):
-                continue
-            doc, mark = np.array([r[0] for r in rows], np.int64)[row], np.array([r[1] for r in rows], np.int64)[row]
-            same = equal_groups(data, start, stop, RangeHash(np.frombuffer(data, np.uint8)).of(start, stop))
-            known = doc > doc[same]
-            for b in range_rows(doc[known], mark[known], first[known], (first + n)[known] + window - 1):
-                yield pa.record_batch([pa.array(np.full(b.num_rows, -1, np.int32)), *b.columns], names)
-            send = np.flatnonzero(~known)
-            bucket = (low[send] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            send, bucket = send[order], bucket[order]
-            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(send)], strict=True):
-                own = send[a:b]
-                strings = [data[x:y] for x, y in zip(start[own].tolist(), stop[own].tolist(), strict=True)]
-                size += sum(map(len, strings)) + 60 * len(strings)
-                held.setdefault(int(bucket[a]), []).append((strings, doc[own], mark[own], first[own]))
-            if size >= PACK:
-                yield from flush()
-                size = 0
-        yield from flush()
-
-    return run
-
-
-def counter(window: int = WINDOW, at_once: int = SORTED):
-    """Blobs of whole buckets come in; RANGES of words whose windows start in a smaller document too go out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [unpacked(x.as_py()) for b in batches for x in b.column(0)]
-        if not parts:
-            return
-        lines = [s for p in parts for s in p[0].split(b"\n")[:-1]]
-        doc, mark, first = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
-        parts.clear()
-        order = np.argsort(doc, kind="stable")
-        data = b"\n".join([lines[i] for i in order.tolist()] + [b""])
-        doc, mark, first = doc[order], mark[order], first[order]
-        del lines
-        # strings are taken in blocks for hashing; each pass sorts the windows of its share of hashes
-        raw = np.frombuffer(data, np.uint8)
-        start, stop = word_bounds(raw)
-        last = np.flatnonzero(raw[stop] == 10)
-        count = np.diff(np.r_[-1, last])
-        string = np.repeat(np.arange(len(count)), count)
-        place = np.arange(len(start)) - np.repeat(last - count + 1, count)
-        win = np.flatnonzero(place <= np.repeat(count, count) - window)
-        a, b = start[win], stop[win + window - 1]
-        h = RangeHash(raw).of(a, b)
-        gone = np.zeros(len(win), bool)
-        passes = max(1, -(-len(win) // at_once))
-        for p in range(passes):
-            own = np.flatnonzero(h % np.uint64(passes) == p) if passes > 1 else np.arange(len(win))
-            same = equal_groups(data, a[own], b[own], h[own])
-            d = doc[string[win[own]]]
-            gone[own] = d > d[same]
-        hit = np.flatnonzero(gone)
-        s, w = string[win[hit]], place[win[hit]]
-        at = first[s] + w
-        yield from range_rows(doc[s], mark[s], at, at + window)
-
-    return run
-
-
-def cut_words(text: str, ranges: np.ndarray) -> tuple[int, int, str]:
-    words = text.encode().split()
+        at, size = np.repeat(at, pieces) + part * longest, np.minimum(np.repeat(size, pieces) - part * longest, longest)
+    return data, row[at], in_row[at], size, start[at], stop[at + size + window - 2], low[at], window
+
+
+def counter(docs: np.ndarray, marks: np.ndarray, firsts: np.ndarray, strings: list[bytes], window: int = WINDOW, at_once: int = SORTED) -> Iterator[pa.RecordBatch]:
+    """Super-k-mers of whole buckets, sorted by document: RANGES of words whose windows start in a smaller document too."""
+    data = b"\n".join([*strings, b""])
+    strings.clear()
+    raw = np.frombuffer(data, np.uint8)
+    start, stop = word_bounds(raw)
+    last = np.flatnonzero(raw[stop] == 10)
+    count = np.diff(np.r_[-1, last])
+    left = np.repeat(last, count) - np.arange(len(start))  # words that follow in the string
+    win = np.flatnonzero(left >= window - 1)
+    del left
+    string = np.searchsorted(last, win).astype(np.int32)
+    a, b = start[win], stop[win + window - 1]
+    del start, stop
+    h = range_hashes(raw, a, b)
+    gone = np.zeros(len(win), bool)
+    passes = max(1, -(-len(win) // at_once))
+    for p in range(passes):  # each sorts the windows of its share of hashes
+        own = np.flatnonzero(h % np.uint64(passes) == p) if passes > 1 else np.arange(len(win))
+        d = docs[string[own]]
+        gone[own] = d > d[equal_groups(data, a[own], b[own], h[own])]
+    hit = np.flatnonzero(gone)
+    s = string[hit]
+    at = firsts[s] + win[hit] - (last[s] - count[s] + 1)
+    yield from range_rows(docs[s], marks[s], at, at + window)
+
+
+def cut_words(text: bytes, ranges: np.ndarray) -> tuple[int, int, str]:
+    words = text.split()
     if not len(ranges):
         return len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()
     keep = np.ones(len(words), bool)
@@ -202,13 +129,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     require(docs, id_col, text_col)
     spark = docs.sparkSession
     bound_arrow(spark)
-    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = keyed(docs, id_col, text_col)
-    sent = base.mapInArrow(mapper(4 * n, window), "bucket int, doc long, mark long, data binary")
-    # mapped once: decided ranges (-1) and buckets go through one table
-    from .common import Scratch
-
-    sent = Scratch(spark, "super-kmers").table(sent, "sent", "uncompressed")
-    counted = sent.filter("bucket >= 0").repartition(n, "bucket").select("data").mapInArrow(counter(window), RANGES)
-    known = sent.filter("bucket = -1").selectExpr("doc", "mark", "data AS ranges")
-    return apply_ranges(base, counted.unionByName(known), n, cut, list(names), list(kinds), schema)
+    sent = base.mapInArrow(mapper(partial(super_kmers, window=window), n, CHUNK, PACK, False), ROWS)
+    ranges = sent.repartition(n, "target").mapInArrow(counted(partial(counter, window=window, at_once=SORTED)), RANGES)
+    return apply_ranges(base, ranges, n, cut, list(names), list(kinds), schema)
