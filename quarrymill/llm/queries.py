@@ -15,6 +15,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffixes import suffix_dedup
 
@@ -41,6 +47,12 @@ def op1_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(_table(spark, sf_dir, "documents"))
+
+
 def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archive_round_trip
 
@@ -65,7 +77,7 @@ def _oracles() -> dict[str, str]:
     return {"op5_mixing": mixing.oracle()}
 
 
-QUERIES = {f.__name__: f for f in (op1_superkmer_dedup, op3_warc_revisits, op4_exact_dedup, op5_mixing, op7_suffix_dedup, op8_simhash_near_dedup, op9_language_id, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_superkmer_dedup, op2_divergence_rules, op3_warc_revisits, op4_exact_dedup, op5_mixing, op6_personal_data, op7_suffix_dedup, op8_simhash_near_dedup, op9_language_id, op10_bpe)}
 
 ORACLES = {
     "op1_superkmer_dedup": r"""
