@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import bound_arrow, require
-from .spans import RANGES, ROWS, apply_ranges, counted, keyed, mapper, mixed, range_hashes, range_rows
+from .spans import RANGES, ROWS, apply_ranges, counted, equal_groups, keyed, mapper, mixed, range_hashes, range_rows
 
 WINDOW = 100
 MER = 16
@@ -225,7 +225,8 @@ def repeats(data: np.ndarray, valid: np.ndarray, window: int, limit: int = QUEUE
 def counter(docs: np.ndarray, marks: np.ndarray, firsts: np.ndarray, strings: list[bytes], window: int = WINDOW, limit: int = QUEUE) -> Iterator[pa.RecordBatch]:
     """Super-k-mers of whole shards in order of (document, start): RANGES of the windows that start earlier too."""
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    raw = np.frombuffer(b"".join(strings), np.uint8)
+    data = b"".join(strings)
+    raw = np.frombuffer(data, np.uint8)
     strings.clear()
     begin = np.cumsum(sizes) - sizes
     count = sizes - window + 1
@@ -243,20 +244,27 @@ def counter(docs: np.ndarray, marks: np.ndarray, firsts: np.ndarray, strings: li
     del dup
     if not len(win):
         return
-    # runs of windows that may repeat become segments of one text, in order
-    cut = np.flatnonzero(np.r_[True, (np.diff(win) > 1) | (string[win][1:] != string[win][:-1])])
+    s, at = string[win], start[win]
+    del string, start
+    # runs of windows that may repeat become segments; equal segments are sorted once, by their first one
+    cut = np.flatnonzero(np.r_[True, (np.diff(win) > 1) | (s[1:] != s[:-1])])
     n = np.diff(np.r_[cut, len(win)])
-    a = start[win[cut]]
-    length = n + window - 1
-    place = np.cumsum(length) - length
-    text = raw[np.arange(length.sum()) + np.repeat(a - place, length)]
-    valid = np.arange(len(win)) + np.repeat(place - cut, n)
-    s, at = string[win], start[win] - begin[string[win]]
-    del start, string, raw
-    at += firsts[s]
-    same = np.searchsorted(valid, repeats(text, valid, window, limit))
+    a = at[cut]
+    same = equal_groups(data, a, a + n + window - 1, range_hashes(raw, a, a + n + window - 1))
+    own = np.flatnonzero(same == np.arange(len(same)))
+    length = n[own] + window - 1
+    text = np.frombuffer(b"".join([data[x:y] for x, y in zip(a[own].tolist(), (a[own] + length).tolist(), strict=True)]), np.uint8)
+    total = np.cumsum(n[own])
+    valid = np.arange(total[-1]) + np.repeat(np.cumsum(length) - length - (total - n[own]), n[own])  # windows' places in text
+    place = np.empty(len(cut), np.int64)  # of a first segment's windows among valid
+    place[own] = total - n[own]
+    back = (np.arange(len(win)) - np.repeat(cut, n))  # of a window in its segment
+    mine = np.repeat(place[same], n) + back
+    windows = np.flatnonzero(np.repeat(same == np.arange(len(same)), n))  # valid's windows among win
+    first = windows[np.searchsorted(valid, repeats(text, valid, window, limit))[mine]]
+    at = at - begin[s] + firsts[s]
     d, m = docs[s], marks[s]
-    gone = (same != np.arange(len(same))) & ~((d == d[same]) & (m == m[same]) & (at == at[same]))
+    gone = (first != np.arange(len(first))) & ~((d == d[first]) & (m == m[first]) & (at == at[first]))
     yield from range_rows(d[gone], m[gone], at[gone], at[gone] + window)
 
 
@@ -280,7 +288,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     require(docs, id_col, text_col)
     spark = docs.sparkSession
     bound_arrow(spark)
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = 6 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = keyed(docs, id_col, text_col)
     sent = base.mapInArrow(mapper(partial(super_kmers, window=window), n, CHUNK, PACK, True), ROWS)
     ranges = sent.repartition(n, "target").mapInArrow(counted(partial(counter, window=window, limit=QUEUE)), RANGES)
