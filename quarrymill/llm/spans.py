@@ -88,14 +88,24 @@ RANGES = "doc long, mark long, ranges binary"
 
 def range_rows(doc: np.ndarray, mark: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Ranges by document, merged, as rows of RANGES (pairs of 64-bit numbers)."""
+    if not len(doc):
+        return
     order = np.lexsort((start, mark, doc))
     doc, mark, start, stop = doc[order], mark[order], start[order], stop[order]
-    cuts = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]) if len(doc) else np.empty(0, np.int64)
+    cut = np.r_[True, (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]
+    cuts = np.flatnonzero(cut)
+    # documents are laid one after the other, with a gap, and merged at once
+    shift = (np.cumsum(cut) - 1) * (int(stop.max()) + 2)
+    start, stop = merged(start + shift, stop + shift)
+    shift = shift[cuts]
+    own = np.searchsorted(start, shift, side="left")
+    pairs = np.stack([start, stop], 1) - np.repeat(shift, np.diff(np.r_[own, len(start)]))[:, None]
     for at in range(0, len(cuts), 4096):
-        own = cuts[at : at + 4096]
-        ends = np.r_[own[1:], cuts[at + 4096] if at + 4096 < len(cuts) else len(doc)]
-        blobs = [np.stack(merged(start[a:b], stop[a:b]), 1).astype(np.int64).tobytes() for a, b in zip(own, ends, strict=True)]
-        yield pa.record_batch([pa.array(doc[own]), pa.array(mark[own]), pa.array(blobs, pa.binary())], ["doc", "mark", "ranges"])
+        ends = np.r_[own[at : at + 4097], len(start)][: min(4096, len(cuts) - at) + 1]
+        offsets = (16 * (ends - ends[0])).astype(np.int32)
+        data = pairs[ends[0] : ends[-1]].astype(np.int64).tobytes()
+        blobs = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)])
+        yield pa.record_batch([pa.array(doc[cuts[at : at + 4096]]), pa.array(mark[cuts[at : at + 4096]]), blobs], ["doc", "mark", "ranges"])
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -196,13 +196,14 @@ def sort_suffixes(text: np.ndarray, depth: int, limit: int = QUEUE) -> np.ndarra
         rank = np.empty(len(lms), np.int64)
         rank[at] = np.cumsum(np.r_[0, ~same])
         # the reduced string, by ranks of doubling length, as far as depth needs (a name spans 2 bytes at least)
-        width, order = 1, at
+        width = 1
         while width * 2 < depth + 2 and rank.max() < len(rank) - 1:
-            second = np.r_[rank[width:] + 1, np.zeros(min(width, len(rank)), np.int64)][: len(rank)]
-            order = np.lexsort((second, rank))
-            new = np.r_[False, (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])]
+            key = rank * (len(rank) + 1)  # ranks of both halves in one number
+            key[:-width] += rank[width:] + 1
+            order = np.argsort(key)
+            key = key[order]
             fresh = np.empty_like(rank)
-            fresh[order] = np.cumsum(new)
+            fresh[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]])
             rank, width = fresh, width * 2
         lms = lms[np.argsort(rank, kind="stable")]
     return induce(text, is_s, lms, limit)
@@ -235,11 +236,12 @@ def counter(docs: np.ndarray, marks: np.ndarray, firsts: np.ndarray, strings: li
     start = np.arange(total[-1]) - np.repeat(total - count - begin, count)
     h = range_hashes(raw, start, start + window)
     order = np.argsort(h)
-    twin = h[order][1:] == h[order][:-1]
+    ranked = h[order]
+    twin = ranked[1:] == ranked[:-1]
     dup = np.zeros(len(h), bool)
     dup[order[1:][twin]] = True
     dup[order[:-1][twin]] = True
-    del h, order, twin
+    del h, order, ranked, twin
     win = np.flatnonzero(dup)
     del dup
     if not len(win):
