@@ -127,6 +127,27 @@ def issues(df: DataFrame) -> DataFrame:
     return tagged.filter("x.issue IS NOT NULL").groupBy("x.field", "x.issue").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Issues that only correct a value, and what stands in for nulls where cleaning failed.
+CORRECTIONS = ("capped_high", "converted_from_percentage")
+DEFAULTS = {"quantity": 0, "unit_price": 0.0, "discount_percent": 0.0, "category": "Unknown", "region": "Unknown", "product_name": "Unknown Product"}
+
+
+def report(df: DataFrame) -> DataFrame:
+    """A row per field with issues to count: total, errors, corrections, and both in %."""
+    some = {c: f(F.col(c)) for c, f in ISSUES.items() if c in df.columns}
+    counts = [F.count(F.lit(1)).alias("n")]
+    for c, issue in some.items():
+        counts += [F.count_if(issue.isNotNull() & ~issue.isin(*CORRECTIONS)).alias(f"e_{c}"), F.count_if(issue.isin(*CORRECTIONS)).alias(f"c_{c}")]
+    rows = F.array(*(F.struct(F.lit(c).alias("field"), F.col("n").alias("total"), F.col(f"e_{c}").alias("errors"), F.col(f"c_{c}").alias("corrections")) for c in some))
+    rate = lambda c: F.coalesce(F.rint(F.try_divide(F.col(c).cast("double"), F.col("total").cast("double")) * 100 * 1e4) / 1e4, F.lit(0.0))
+    return df.agg(*counts).select(F.explode(rows).alias("x")).select("x.*").withColumns({"error_rate": rate("errors"), "correction_rate": rate("corrections")})
+
+
+def with_defaults(df: DataFrame) -> DataFrame:
+    """Nulls of known fields become their defaults."""
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in DEFAULTS.items() if c in df.columns})
+
+
 def standardization_stats(df: DataFrame, column: str) -> DataFrame:
     """(unique_before, unique_after, nulls): of one text column."""
     after = CLEANERS[column](F.col(column))
@@ -134,9 +155,12 @@ def standardization_stats(df: DataFrame, column: str) -> DataFrame:
 
 
 def with_revenue(df: DataFrame, strict: bool = False) -> DataFrame:
-    """quantity * unit_price * (1 - discount_percent), if revenue is missing; strict: always, and never below 0."""
+    """quantity * unit_price * (1 - discount_percent), if revenue is missing; strict: always, and never below 0.
+
+    A revenue that is there is kept; as text it is read as a number, null where it is none.
+    """
     if "revenue" in df.columns and not strict:
-        return df
+        return df.withColumn("revenue", _number(F.col("revenue"))) if dict(df.dtypes)["revenue"] == "string" else df
     r = F.col("quantity") * F.col("unit_price") * (1 - F.col("discount_percent"))
     return df.withColumn("revenue", F.when(r.isNull() | F.isnan(r.cast("double")) | (r < 0), 0.0).otherwise(r) if strict else r)
 

@@ -112,3 +112,15 @@ def fraud(df: DataFrame, sensitivity: Sensitivity = PRESETS["medium"]) -> DataFr
     ]
     score = sum((F.when(t, s).otherwise(0.0) for _, s, t in tests), F.lit(0.0))
     return d.withColumns({"fraud_score": half_even(score, 1), "fraud_reasons": F.concat_ws("; ", *(F.when(t, n) for n, _, t in tests)), "fraud_flag": half_even(score, 1) >= sensitivity.fraud_score})
+
+
+def reason_counts(df: DataFrame, column: str) -> DataFrame:
+    """(reason, n) of a column of reasons joined by '; '."""
+    return df.select(F.explode(F.split(column, "; ")).alias("reason")).filter("reason <> ''").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def without_outliers(df: DataFrame, column: str, z: float = 3.0) -> DataFrame:
+    """Rows under z standard deviations from the mean; all rows if the column is constant, none that are null."""
+    x = F.col(column).cast("double")
+    d = df.crossJoin(F.broadcast(df.agg(F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_std"))))  # one row
+    return d.filter(F.coalesce(F.try_divide(F.abs(x - F.col("_mean")), F.col("_std")), F.when(x.isNotNull(), 0.0)) < z).select(*df.columns)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cleaning import with_revenue
-from ..functions.numeric import half_even, ratio
-from ..functions.numeric import dsum as dsum
+from ..functions.numeric import dsum, half_even, ratio
 from .tables import dsum_over
 
 # Fixed value: the reason of an anomaly that has none.

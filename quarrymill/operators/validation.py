@@ -39,7 +39,7 @@ DEFAULT_RULES = (
     Rule("category_enum", "category", "warning", one_of(CATEGORY_VALUES)), Rule("quantity_positive", "quantity", "error", in_range(1, 10000)), Rule("quantity_statistical", "quantity", "warning", "zscore"),
     Rule("unit_price_positive", "unit_price", "error", in_range(0.01, 100000)), Rule("discount_range", "discount_percent", "error", in_range(0, 1)), Rule("region_enum", "region", "warning", one_of(REGION_VALUES)),
     Rule("email_format", "customer_email", "warning", lambda c: c.isNull() | c.rlike(EMAIL)),
-    Rule("sale_date_range", "sale_date", "error", lambda c: c.isNull() | c.cast("date").between("2020-01-01", "2030-12-31")), Rule("revenue_calculation", "revenue", "error", lambda c: c.isNull() | (c > 0)),
+    Rule("sale_date_range", "sale_date", "error", lambda c: c.isNull() | c.cast("date").between("2020-01-01", "2030-12-31")), Rule("revenue_calculation", "revenue", "error", lambda c: c.isNull() | F.coalesce(c.try_cast("double") > 0, F.lit(False))),
 )
 
 

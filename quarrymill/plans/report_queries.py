@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import cleaning
 from ..functions.numeric import half_even
-from ..operators import anomalies, dashboards, field_rules, metrics, operations, tables, validation
+from ..operators import anomalies, dashboards, field_rules, operations, tables, validation
 from .queries import _STATS, DIRTY_DISCOUNT, DIRTY_QUANTITY, MONTHLY, SALES, _a, _r, _s, _t, sales
 
 QUERIES: dict = {}
@@ -136,7 +136,7 @@ ORACLES["cln10_report"] = f"""WITH n AS (SELECT count(*) AS n FROM part), q AS (
     UNION ALL SELECT 'discount_percent', count(*) FILTER (p_partkey % 8 IN (1, 2, 5)), count(*) FILTER (p_partkey % 8 IN (0, 6)) FROM part)
     SELECT field, n AS total, errors, corrections, {_r('errors / n * 100', 4)} AS error_rate, {_r('corrections / n * 100', 4)} AS correction_rate FROM q, n"""
 QUERIES["cln11_standardization"] = lambda spark, d: cleaning.standardization_stats(_t(spark, d, "customer").select(F.col("c_mktsegment").alias("category")), "category")
-ORACLES["cln11_standardization"] = "SELECT count(DISTINCT lower(c_mktsegment)) AS unique_before, count(DISTINCT c_mktsegment) AS unique_after, count(*) FILTER (c_mktsegment IS NULL) AS nulls FROM customer"
+ORACLES["cln11_standardization"] = "SELECT count(DISTINCT lower(c_mktsegment)) AS unique_before, count(DISTINCT CASE WHEN c_mktsegment IN ('FURNITURE', 'HOUSEHOLD') THEN 'Home Goods' ELSE c_mktsegment END) AS unique_after, count(*) FILTER (c_mktsegment IS NULL) AS nulls FROM customer"
 QUERIES["cln14_defaults"] = lambda spark, d: cleaning.with_defaults(_t(spark, d, "part").selectExpr("p_partkey", "IF(p_partkey % 3 = 0, NULL, p_size) AS quantity", "IF(p_partkey % 4 = 0, NULL, p_type) AS category"))
 ORACLES["cln14_defaults"] = "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END AS quantity, CASE WHEN p_partkey % 4 = 0 THEN 'Unknown' ELSE p_type END AS category FROM part"
 
@@ -172,4 +172,3 @@ _query("ops24_profile", lambda s: operations.profile(s).withColumns({c: F.date_f
 _query("ops24_value_counts", lambda s: operations.value_counts(s, "category", "region"), "SELECT 'category' AS field, category AS value, count(*) AS n FROM sales GROUP BY 2 UNION ALL SELECT 'region', region, count(*) FROM sales GROUP BY 2")
 _query("ops24_null_counts", lambda s: operations.null_counts(s.select("order_id", "customer_email")), "SELECT 'order_id' AS field, count(*) FILTER (order_id IS NULL) AS nulls FROM sales UNION ALL SELECT 'customer_email', count(*) FILTER (customer_email IS NULL) FROM sales")
 
-__all__ = ["ORACLES", "QUERIES", "metrics"]
