@@ -53,7 +53,7 @@ def rake(cells: DataFrame, scratch: Scratch, rate: float = RATE, temper: float =
     """cells: (source, lang, topic, tokens). Returns them with weight and probability.
 
     targets: by dimension, (value, target) rows whose shares sum to 1. Values without a target get weight 0.
-    Each sum is a grouped aggregation joined back; cells are written every other sweep, so plans stay short.
+    Each sum is a grouped aggregation joined back, which doubles the plan; so cells are written after every sweep.
     """
     total = cells.agg((F.sum("tokens") * F.lit(rate)).cast("double").alias("total"))
     now = cells.crossJoin(F.broadcast(total)).withColumn("weight", F.col("tokens") * F.lit(rate))  # one row
@@ -67,12 +67,11 @@ def rake(cells: DataFrame, scratch: Scratch, rate: float = RATE, temper: float =
             sums = now.groupBy(dim).agg(F.sum("weight").alias("s"))
             factor = F.when(F.col("s") > 0, F.col(f"t_{dim}") * F.col("total") / F.col("s")).otherwise(F.lit(0.0))
             now = now.join(sums, dim).withColumn("weight", F.least(F.col("weight") * factor, F.col("tokens").cast("double"))).drop("s")
-        if sweep % 2 or sweep == sweeps - 1:
-            path = scratch.write(now, f"sweep{sweep}")
-            now = scratch.spark.read.parquet(path)
-            if old:
-                scratch.drop(old)
-            old = path
+        path = scratch.write(now, f"sweep{sweep}")
+        now = scratch.spark.read.parquet(path)
+        if old:
+            scratch.drop(old)
+        old = path
     share = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(F.lit(0.0))
     return now.select(*DIMS, "tokens", "weight", F.round(share, 9).alias("probability"))
 
