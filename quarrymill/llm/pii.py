@@ -1,8 +1,9 @@
 """Personal data by patterns and bootstrapped contexts, in DataFrame operations only.
 
-Base entities are found by regular expressions. As seeds they induce lexical patterns, the two words before an
-identifier; pattern and instance scores of that graph feed each other for a few rounds, and patterns of high
-confidence then discover identifiers that no expression describes.
+Base entities are found by regular expressions. As seeds, each as a whole, they induce lexical patterns, the two words
+before an identifier; pattern and instance scores of that graph feed each other for a few rounds, and patterns of high
+confidence then discover identifiers that no expression describes: tokens with a digit or @, where groups of digits
+that blanks or brackets part are one identifier.
 
 Positions come from marking: matches are put between two control characters, the text is split there, and lengths are
 summed up. All of it happens within the row.
@@ -24,9 +25,18 @@ KINDS = {
 }
 #: Texts without this are skipped.
 NEEDS = {"email": "@", "phone": "+"}
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: A group of digits goes on after a blank if the next token has nothing but digits, brackets, dots and hyphens, besides
+#: punctuation at its end. A letter before the digits, a full stop and + end it.
+TOKEN = (
+    r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+(?:(?<!\p{L})[0-9][0-9().-]*+"
+    r"(?:(?<!\.)\x20(?:-\x20)?\(*+[0-9][0-9().-]*+(?=[^\x20\x09-\x0D0-9@\p{L}]*+(?:[\x20\x09-\x0D]|$)))*+|[0-9@])[^\x20\x09-\x0D]*+"
+)
+#: The two words before an identifier, which may follow a bracket or the like.
+WORDS = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D0-9@]+[\x20\x09-\x0D]+[^\x20\x09-\x0D0-9@]+)[\x20\x09-\x0D]+[^\x20\x09-\x0D0-9@]*$"
 #: Characters before an identifier in which its two context words are looked for.
 CONTEXT_CHARS = 48
+#: A candidate that isn't a base entity has this many characters at least.
+MIN_CHARS = 6
 ROUNDS = 3
 MIN_SCORE = 0.6
 #: Distinct seeds that a pattern needs.
@@ -58,24 +68,39 @@ def valid_sql(kind: str, m: str) -> str:
 
 
 def found(d: DataFrame, name: str, pattern: str, need: str | None, out: str, where: str = "true") -> DataFrame:
-    """Adds to d (which has t) a column ``name``: array of out (SQL over s, e, m and before) for matches that where allows."""
+    """Adds to d (which has t) a column ``name``: array of out (SQL over s, e, m and before) for matches that where allows.
+
+    before ends at the match and begins with 0 in place of an earlier match.
+    """
     marked = f"split(regexp_replace(t, {sql(pattern)}, '\\u0001$0\\u0002'), '[\\u0001\\u0002]')"
     d = d.withColumn("_p", F.expr(f"CASE WHEN {f'contains(t, {sql(need)})' if need else 't rlike ' + sql('[0-9@]')} THEN {marked} END"))
     d = d.withColumn("_n", F.expr("CASE WHEN size(_p) > 1 THEN transform(_p, x -> bigint(char_length(x))) END"))
     d = d.withColumn("_s", F.expr(f"CASE WHEN _n IS NOT NULL THEN {starts_sql('_n')} END"))
-    odd = "filter(transform(arrays_zip(_p, _s, _n, slice(concat(array(''), _p), 1, size(_p))), (x, i) -> IF(i % 2 = 1, struct(x.`_s` AS s, x.`_s` + x.`_n` AS e, x.`_p` AS m, x.`3` AS before), NULL)), x -> x IS NOT NULL)"
+    odd = "filter(transform(arrays_zip(_p, _s, _n, slice(concat(array(''), _p), 1, size(_p))), (x, i) -> IF(i % 2 = 1, struct(x.`_s` AS s, x.`_s` + x.`_n` AS e, x.`_p` AS m, concat(IF(i = 1, '', '0'), x.`3`) AS before), NULL)), x -> x IS NOT NULL)"
     d = d.withColumn("_m", F.expr(f"CASE WHEN _s IS NOT NULL THEN {odd} END")).drop("_p", "_n", "_s")
     return d.withColumn(name, F.expr(f"coalesce(transform(filter(_m, x -> {where}), x -> {out}), array())")).drop("_m")
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc, mark, email, ip, card, phone (arrays of (s, e)) and candidates (array of (s, e, val, ctx))."""
+    """doc, mark, email, ip, card, phone and candidates (arrays of (s, e, m, ctx))."""
     d = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("mark"), F.expr("translate(coalesce(text, ''), '\\u0001\\u0002', '\\u0003\\u0003')").alias("t"))
+    out = f"struct(x.s AS s, x.e AS e, x.m AS m, lower(regexp_extract(right(x.before, {CONTEXT_CHARS}), {sql(WORDS)}, 1)) AS ctx)"
     for kind, pattern in KINDS.items():
-        d = found(d, kind, pattern, NEEDS.get(kind), "struct(x.s AS s, x.e AS e)", valid_sql(kind, "x.m"))
-    ctx = f"lower(regexp_extract(right(x.before, {CONTEXT_CHARS}), {sql(r'([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]+$')}, 1))"
-    val = f"regexp_replace(x.m, {sql(r'^[^A-Za-z0-9+(]++|[^A-Za-z0-9)]++$')}, '')"
-    return found(d, "candidates", TOKEN, None, f"struct(x.s AS s, x.e AS e, {val} AS val, {ctx} AS ctx)").drop("t")
+        d = found(d, kind, pattern, NEEDS.get(kind), out, valid_sql(kind, "x.m"))
+    return found(d, "candidates", TOKEN, None, out).drop("t")
+
+
+def instances(base: DataFrame) -> DataFrame:
+    """Of base and candidates: doc, mark, s, e, ctx, val and kind, a row per base entity (null kind: per candidate that
+    overlaps none). A candidate that runs into a base entity after a blank ends before it."""
+    seeds = base.select("doc", "mark", F.explode("base").alias("b")).select("doc", "mark", "b.s", "b.e", "b.ctx", F.col("b.m").alias("val"), "b.kind")
+    rows = base.select("doc", "mark", "base", F.explode("candidates").alias("c")).filter(f"c.ctx <> '' AND char_length(c.m) >= {MIN_CHARS}").select("doc", "mark", "base", "c.s", "c.e", "c.m", "c.ctx")
+    rows = rows.withColumn("near", F.expr("array_min(transform(filter(base, b -> b.s < e AND s < b.e), b -> b.s))"))
+    rows = rows.withColumn("head", F.when(F.col("near") > F.col("s"), F.expr(f"regexp_extract(substring(m, 1, int(near - s)), {sql(r'^(.*[^\x20-])[\x20-]*\x20[(]*$')}, 1)")))
+    rows = rows.withColumns({"m": F.expr("IF(near IS NULL, m, head)"), "e": F.expr("IF(near IS NULL, e, s + char_length(head))")})
+    val = F.regexp_replace("m", "^[^A-Za-z0-9+(]++|[^A-Za-z0-9)]++$", "")
+    rows = rows.select("doc", "mark", "s", "e", "ctx", val.alias("val"), F.lit(None).cast("string").alias("kind")).filter(F.length("val") >= MIN_CHARS)
+    return seeds.filter("ctx <> ''").unionByName(rows)
 
 
 def learned(edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
@@ -110,13 +135,10 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     require(docs, "doc_id", "text")
     scratch = Scratch(docs.sparkSession, "pii")
-    ranked = [f"transform({k}, x -> struct({i} AS rank, x.s AS s, x.e AS e, '{k}' AS kind))" for i, k in enumerate(KINDS)]
+    ranked = [f"transform({k}, x -> struct({i} AS rank, x.s AS s, x.e AS e, '{k}' AS kind, x.m AS m, x.ctx AS ctx))" for i, k in enumerate(KINDS)]
     base = base_spans(docs).withColumn("base", F.expr(f"concat({', '.join(ranked)})"))
     base = scratch.table(base.select("doc", "mark", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), "base", "candidates"), "base")
-    rows = base.filter("size(candidates) > 0").select("doc", "mark", "base", F.explode("candidates").alias("c")).filter("c.ctx <> '' AND char_length(c.val) >= 6")
-    over = F.expr("filter(base, b -> b.s < c.e AND c.s < b.e)")
-    rows = rows.select("doc", "mark", "c.s", "c.e", "c.ctx", "c.val", F.when(F.size(over) > 0, over[0]["kind"]).alias("kind"))
-    rows = scratch.table(rows, "candidates")
+    rows = scratch.table(instances(base), "candidates")
     seeds = rows.filter("kind IS NOT NULL").select("kind", "ctx").distinct()
     values = rows.groupBy("ctx", "val", "kind").agg(F.count(F.lit(1)).alias("n"))
     edges = values.withColumnRenamed("kind", "own").join(seeds, "ctx").select("kind", "ctx", "val", F.coalesce(F.col("own") == F.col("kind"), F.lit(False)).alias("seed")).groupBy("kind", "ctx", "val").agg(F.max("seed").alias("seed"))
@@ -129,5 +151,5 @@ def personal_data(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     done = base.alias("b").join(extra.alias("e"), F.col("b.doc").eqNullSafe(F.col("e.doc")) & F.col("b.mark").eqNullSafe(F.col("e.mark")), "left")
     return done.select(
         F.col("b.doc").alias("doc_id"), *(f"n_{k}" for k in KINDS), F.sha2(F.expr(_joined("base")).cast("binary"), 256).alias("base_sha256"),
-        F.expr(_joined("concat(base, coalesce(extra, array()))")).alias("spans"), F.coalesce(F.size("extra"), F.lit(0)).alias("n_found"),
+        F.expr(_joined("concat(transform(base, x -> struct(x.rank AS rank, x.s AS s, x.e AS e, x.kind AS kind)), coalesce(extra, array()))")).alias("spans"), F.coalesce(F.size("extra"), F.lit(0)).alias("n_found"),
     )

@@ -60,6 +60,28 @@ def test_pii_contexts_discover(spark):
     assert all(got[i].n_email == 1 and got[i].n_found == 0 for i in range(12))
 
 
+def test_pii_contexts_discover_with_blanks(spark):
+    def phone(i):
+        return f"+1 ({700 + i}) 555-{1000 + 7 * i}"
+
+    def card(i):
+        return next(c for c in (f"4111 1111 {1000 + i} {n}" for n in range(1000, 1100)) if luhn(c.replace(" ", "")))
+
+    rows = [(i, f"{prose(i, 8)} please call {phone(i)} {prose(i + 500, 5)}") for i in range(12)]
+    rows += [(20 + i, f"{prose(i, 8)} card number {card(i)}, {prose(i + 500, 5)}") for i in range(12)]
+    texts = [
+        ("please call (974) 555-3436 today", ["phone:(974) 555-3436"]), ("please call 974 - 555 - 3436", ["phone:974 - 555 - 3436"]), ("please call 0044 20 7946 and 17 others", ["phone:0044 20 7946"]),
+        ("card number 9999 8888 7777 1235 now", ["card:9999 8888 7777 1235"]), ("please call 12 30 7", []), ("some words (974) 555-3436", []), ("please call x1 555 3436 99", []),
+        ("please call 5551234 10.0.0.1 x", ["ip:10.0.0.1", "phone:5551234"]), ("please call (555123) (+1 (771) 555-1655)", ["phone:(555123)", "phone:+1 (771) 555-1655"]), ("please call (+1 (771) 555-1656)", ["phone:+1 (771) 555-1656"]),
+    ]
+    rows += [(100 + i, t) for i, (t, _) in enumerate(texts)]
+    got = {r.doc_id: r for r in pii.personal_data(table(spark, rows)).collect()}
+    for i, (t, want) in enumerate(texts):
+        spans = [x.split(":") for x in got[100 + i].spans.split(",") if x]
+        assert [f"{k}:{t[int(s) : int(e)]}" for k, s, e in spans] == want
+    assert all(got[i].n_phone == 1 and got[20 + i].n_card == 1 and got[i].n_found == got[20 + i].n_found == 0 for i in range(12))
+
+
 def brute_base(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
     c = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
