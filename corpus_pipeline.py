@@ -13,9 +13,13 @@ from quarrymill.llm import bpe, exact_dedup, langid, mixing, simhash
 from quarrymill.llm.common import Scratch
 
 
-def _kept(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of docs with a row in verdicts (doc_id): one each, even if ids are null or repeat."""
-    return docs.join(verdicts.select(F.col("doc_id").alias("kept_id")), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+#: With its id, a row's key: a null id or one that repeats doesn't name a row.
+SHA = "unhex(sha2(text, 256))"
+
+
+def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id and SHA, nulls too, are a row's kept_id and kept_sha; adds own_sha."""
+    return docs.withColumn("own_sha", F.expr(SHA)).join(keys, F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("own_sha").eqNullSafe(F.col("kept_sha")), "left_semi")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +30,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup.exact_dedup(docs).filter("kept")
-    return _kept(docs, kept).dropDuplicates(["doc_id"])
+    """Exactly the rows that exact dedup keeps. Of rows with one id and one text it keeps one: the least by its other columns."""
+    rows = docs.select(F.struct(F.col("doc_id").alias("id"), F.expr(SHA).alias("sha")).alias("key"), "text")
+    keys = exact_dedup.exact_dedup(rows, "key").filter("kept").select(F.col("key.id").alias("kept_id"), F.col("key.sha").alias("kept_sha"))
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = _kept(docs, keys).groupBy("doc_id", "own_sha").agg(F.min(F.struct(*rest, "text")).alias("row"))
+    return one.select("doc_id", "row.*").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document whose id names its component stays."""
-    return _kept(docs, simhash.near_dedup(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """The document whose key names its component stays: the smallest id, null last, then the smallest SHA."""
+    rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.expr(SHA).alias("sha")).alias("key"), "text")
+    keys = simhash.near_dedup(rows, "key").filter(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key.id").alias("kept_id"), F.col("key.sha").alias("kept_sha"))
+    return _kept(docs, keys).drop("own_sha")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

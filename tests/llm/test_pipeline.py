@@ -35,3 +35,20 @@ def test_stages_against_brute_force(spark, tmp_path):
     for i, r in seen[4][1].items():
         assert r.decoded_sha256 == hashlib.sha256(seen[4][0][i].text.encode()).hexdigest()
     assert pipeline.run(spark, str(tmp_path)).count() == len(seen[4][1])
+
+
+def test_null_and_repeated_ids(spark):
+    a, b, c, d, e, f = (prose(900 + i, 80) for i in range(6))
+    rows = [(None, a), (None, b), (None, b + " "), (7, c), (7, d), (7, d), (3, e), (5, e + " "), (3, f), (None, c + "  "), (8, f + "\n"), (None, f)]
+    docs = table(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").cache()
+    exact = pipeline.drop_exact_copies(spark, docs, "")
+    assert exact.columns == docs.columns
+    # of equal texts the longest stays, then the smallest id
+    exact = exact.cache()
+    have = [(r.doc_id, r.text) for r in exact.collect()]
+    assert sorted(have, key=repr) == sorted([(None, a), (None, b + " "), (None, c + "  "), (7, d), (5, e + " "), (8, f + "\n")], key=repr)
+    # one row of a component stays, though its id is null, repeats or belongs to other texts too
+    rows = [(None, a), (None, a.upper()), (None, b), (7, c), (7, c.upper()), (7, d), (2, d.upper()), (None, e), (4, e.upper())]
+    near = pipeline.drop_near_copies(spark, table(spark, rows), "")
+    have = [(r.doc_id, r.text.lower()) for r in near.collect()]
+    assert sorted(have, key=repr) == sorted([(None, a), (None, b), (7, c), (2, d), (4, e)], key=repr)
