@@ -109,7 +109,7 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", key_co
     """train: labelled rows; rows without text, letters or language don't count.
 
     The sample takes about sample_docs / languages documents of each language, by a hash of key_col; it reaches the
-    driver as sparse counts (at most DIMS each).
+    driver as sparse counts (at most DIMS each). Only the MAX_CENTROIDS languages with the most rows are learned.
     """
     bound_arrow(train.sparkSession)
     train = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(key_col).cast("string")), F.lit(1 << 40)).alias("u")).filter("text is not null and lang is not null and text rlike '\\\\p{L}'")
