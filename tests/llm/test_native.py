@@ -184,8 +184,8 @@ def test_pii_finds_hidden_ones(spark):
     """Seeds that are left out are found again by patterns of the others."""
     rows = [(i, f"{prose(i, 8)} {phone(i)} {prose(i + 500, 5)}") for i in range(40)] + [(50, None), (51, ""), (None, phone(3))]
     full = {r.doc_id: r.spans for r in pii.personal_data(table(spark, rows)).collect()}
-    part = {r.doc_id: r for r in pii.personal_data(table(spark, rows), hide="pmod(xxhash64(x.m), 3) = 0").collect()}
-    assert {i: r.spans for i, r in part.items()} == full and 5 < sum(r.n_found for r in part.values()) < 30
+    part = {r.doc_id: r for r in pii.personal_data(table(spark, rows), hide="pmod(xxhash64(x.m), 5) = 0").collect()}
+    assert {i: r.spans for i, r in part.items()} == full and 2 < sum(r.n_found for r in part.values()) < 20
 
 
 def test_pii_any_text(spark):
