@@ -21,9 +21,16 @@ DIMS = 8192
 #: Bound of the labelled sample from which centroids are clustered, over all languages.
 SAMPLE_DOCS = 1600
 CENTROIDS = 4
-#: Centroids of all languages together; bounds what every task gets (DIMS * 4 bytes each).
+#: Centroids of all languages together, if a language has more than one; and languages, beyond which fit() raises. They
+#: bound what every task gets (DIMS * 4 bytes each).
 MAX_CENTROIDS = 512
-#: A document is rejected if the cosine to its nearest centroid is lower.
+MAX_LANGUAGES = 4096
+#: Of the sample, this part isn't clustered; its cosines to the nearest centroid set the bound of rejection.
+HELD_BACK = 0.25
+#: A document is rejected if the cosine to its nearest centroid is under SLACK times this quantile of them; under
+#: MIN_COSINE it always is.
+QUANTILE = 0.01
+SLACK = 0.5
 MIN_COSINE = 0.05
 ROUNDS = 12
 UNKNOWN = "und"
@@ -78,6 +85,8 @@ class Model:
     """The language of each centroid."""
     centroids: np.ndarray
     idf: np.ndarray
+    bound: float = MIN_COSINE
+    """Documents whose cosine is lower are rejected."""
 
     def nearest(self, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not self.langs:
@@ -108,53 +117,50 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, k: int = CENTROIDS) -> Model:
     """train: labelled rows; rows without text, letters or language don't count.
 
-    The sample takes about sample_docs / languages documents of each language, by a hash of key_col; it reaches the
-    driver as sparse counts (at most DIMS each). Only the MAX_CENTROIDS languages with the most rows are learned.
+    The sample takes about sample_docs / languages documents of each language (one at least), by a hash of key_col; it
+    reaches the driver as sparse counts (at most DIMS each). Every language is learned; more than MAX_LANGUAGES raise.
     """
     bound_arrow(train.sparkSession)
     train = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(key_col).cast("string")), F.lit(1 << 40)).alias("u")).filter("text is not null and lang is not null and text rlike '\\\\p{L}'")
-    by = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_CENTROIDS).collect()}
+    by = {r.lang: (r.n, r.low) for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("u").alias("low")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(by) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     sums = {r.gram: r.df for r in train.select("text").mapInArrow(_frequencies, "gram int, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect()}
     n = sums.get(-1, 0)
     idf = np.log((1 + n) / (1 + np.array([sums.get(i, 0) for i in range(DIMS)]))).astype(np.float32) + np.float32(0.1)
     if not by:
         return Model((), np.zeros((0, DIMS), np.float32), idf)
     share = max(1, sample_docs // len(by))
-    want = F.lit(False)
-    for lang, size in sorted(by.items()):
-        want = want | ((F.col("lang") == lang) & (F.col("u") < int((1 << 40) * min(1.0, 1.5 * share / size))))
-    picked = train.filter(want).select("u", "lang", "text").mapInArrow(_sparse, "u long, lang string, at array<int>, tf array<int>")
+    want = F.create_map(*(F.lit(x) for lang, (size, low) in sorted(by.items()) for x in (lang, max(low + 1, int((1 << 40) * min(1.0, 1.5 * share / size))))))
+    picked = train.filter(F.col("u") < want[F.col("lang")]).select("u", "lang", "text").mapInArrow(_sparse, "u long, lang string, at array<int>, tf array<int>").toArrow()
     rows: dict[str, list] = {}
-    for r in picked.toLocalIterator():
-        rows.setdefault(r.lang, []).append((r.u, list(r.at), list(r.tf)))
-    langs, parts = [], []
+    for i, (u, lang) in enumerate(zip(picked["u"].to_pylist(), picked["lang"].to_pylist(), strict=True)):
+        rows.setdefault(lang, []).append((u, i))
+    langs, parts, scores = [], [], []
     for lang in sorted(rows):
-        some = sorted(rows[lang])[:share]
+        some = sorted(rows[lang], key=lambda x: (x[0], picked["at"][x[1]].values.to_numpy().tobytes(), picked["tf"][x[1]].values.to_numpy().tobytes()))[:share]
         tf = np.zeros((len(some), DIMS), np.float32)
-        for i, (_, at, c) in enumerate(some):
-            tf[i, at] = c
-        c = cluster(vectors(tf, idf), max(1, min(k, MAX_CENTROIDS // len(rows))))
+        for i, (_, at) in enumerate(some):
+            tf[i, picked["at"][at].values.to_numpy()] = picked["tf"][at].values.to_numpy()
+        v = vectors(tf, idf)
+        back = int(len(v) * HELD_BACK)
+        c = cluster(v[back:], max(1, min(k, MAX_CENTROIDS // len(rows))))
+        scores += (v[:back] @ c.T).max(1).tolist()
         langs += [lang] * len(c)
         parts.append(c)
-    return Model(tuple(langs), np.concatenate(parts), idf)
+    bound = max(MIN_COSINE, SLACK * float(np.quantile(scores, QUANTILE))) if scores else MIN_COSINE
+    return Model(tuple(langs), np.concatenate(parts), idf, bound)
 
 
-def predict(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", min_cosine: float = MIN_COSINE, keep_text: bool = False) -> DataFrame:
-    """Adds lang_pred, score and rejected to id_cols (and the text, if asked for), a row per row of docs.
-
-    lang_pred is the nearest centroid's language, `und` if the text is null or has no letter, or if no language was
-    learned; score is the cosine, 0 for `und`. rejected: `und`, or a cosine under min_cosine. Ties go to the first
-    centroid of the first language in order.
-    """
-    require(docs, *id_cols, text_col)
+def _judged(docs: DataFrame, model: Model, columns: list[str], text_col: str, min_cosine: float | None) -> DataFrame:
+    """columns of docs as c0, c1, ..., and lang_pred, score, rejected."""
     spark = docs.sparkSession
     bound_arrow(spark)
-    shared = spark.sparkContext.broadcast(model)  # MAX_CENTROIDS * DIMS * 4 bytes at most
-    extra = "lang_pred string, score double, rejected boolean"
-    own_cols = [*id_cols, *[text_col] * keep_text]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*own_cols).schema) + extra
-
-    names = [*own_cols, "lang_pred", "score", "rejected"]
+    shared = spark.sparkContext.broadcast(model)  # DIMS * 4 bytes for each of MAX_LANGUAGES centroids at most
+    bound = model.bound if min_cosine is None else min_cosine
+    own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)), F.col(text_col).alias("text"))
+    names = [*own.columns[:-1], "lang_pred", "score", "rejected"]
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields[:-1]) + "lang_pred string, score double, rejected boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -167,10 +173,30 @@ def predict(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id",
                 known &= best >= 0
                 score = np.where(known, score, 0.0)
                 lang = [m.langs[i] if ok else UNKNOWN for i, ok in zip(best, known, strict=True)]
-                own = [b.column(i).slice(at, 128) for i in range(len(own_cols))]
-                yield pa.record_batch([*own, pa.array(lang, pa.string()), pa.array(score), pa.array(~known | (score < min_cosine))], names)
+                rows = [b.column(i).slice(at, 128) for i in range(b.num_columns - 1)]
+                yield pa.record_batch([*rows, pa.array(lang, pa.string()), pa.array(score), pa.array(~known | (score < bound))], names)
+
+    return own.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text", min_cosine: float | None = None) -> DataFrame:
+    """id_cols, lang_pred, score and rejected, a row per row of docs.
+
+    lang_pred is the nearest centroid's language, `und` if the text is null or has no letter, or if no language was
+    learned; score is the cosine, 0 for `und`. rejected: `und`, or a cosine under the model's bound (or min_cosine).
+    Ties go to the first centroid of the first language in order.
+    """
+    require(docs, *id_cols, text_col)
+    judged = _judged(docs, model, list(id_cols), text_col, min_cosine)
+    return judged.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(id_cols)), "lang_pred", "score", "rejected")
+
 
-    return docs.select(*id_cols, text_col).mapInArrow(run, schema)
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", min_cosine: float | None = None) -> DataFrame:
+    """The rows of docs that aren't rejected, with their own columns, whatever their names. Rows travel whole, so nothing
+    is joined and repeated or null ids don't matter."""
+    names = docs.columns
+    judged = _judged(docs, model, names, text_col, min_cosine)
+    return judged.filter("NOT rejected").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)))
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

@@ -21,16 +21,15 @@ GUARD_WORDS = 30
 #: Jensen-Shannon distances (base 2, from 0 to 1) from which a document is dropped.
 MAX_CHAR_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.5
-#: Common words are the most frequent ones among words of at most this many characters.
+#: Common words are a language's most frequent ones, of any length, in lower case.
 COMMON_WORDS = 24
-COMMON_CHARS = 4
 #: A common word makes up this share of its language's words, so a language has 1 / COMMON_SHARE candidates at most.
 COMMON_SHARE = 0.002
 CLASSES = ("lower", "upper", "digit", "white", "symbol", "other")
 
 
 def base_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, lw (short lower-case words), counts by CLASSES and the base metrics.
+    """doc_id, lang, lw (lower-case words), counts by CLASSES and the base metrics.
 
     Lower-case letters go first and white space next, so that only a small rest of a text is gone over for the other
     classes. Windows are compared by hash first: without equal hashes nothing repeats. Else they are sorted as strings,
@@ -48,7 +47,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
         F.length("t").cast("long").alias("n_chars"),
         without("t", "\\p{Ll}+").alias("rest"),
         F.expr("filter(split(t, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')").alias("lines"),
-        F.expr(f"transform(filter(w, x -> char_length(x) <= {COMMON_CHARS}), x -> lower(x))").alias("lw"),
+        F.expr(f"array_remove(split(lower(coalesce(text, '')), '{SPLIT}'), '')").alias("lw"),
         F.expr(f"transform(arrays_zip({slices}), x -> xxhash64({fields}))").alias("hashes"),
     )
     d = d.withColumn("solid", without("rest", "[\\x20\\x09-\\x0D]+"))
@@ -77,8 +76,8 @@ def references(base: DataFrame) -> DataFrame:
     (theirs)."""
     d = base.filter("lang is not null")
     sums = d.groupBy("lang").agg(F.sum("n_chars").alias("n"), F.sum("n_words").alias("words"), *(F.sum(c).alias(c) for c in CLASSES))
-    short = d.select("lang", F.explode("lw").alias("word"))
-    common = short.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c")).join(sums.select("lang", "words"), "lang").filter(F.col("c") >= COMMON_SHARE * F.col("words"))
+    words = d.select("lang", F.explode("lw").alias("word"))
+    common = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c")).join(sums.select("lang", "words"), "lang").filter(F.col("c") >= COMMON_SHARE * F.col("words"))
     top = common.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "word"))), 1, COMMON_WORDS).alias("top"))
     return sums.join(top, "lang", "left").select(
         "lang", F.array(*(F.col(c) / F.col("n") for c in CLASSES)).alias("ref_chars"),

@@ -1,10 +1,11 @@
 """SimHash near-dedup: an index of byte positions with count filtering.
 
-Two 64-bit fingerprints with at most 4 differing bits share at least 4 of their 8 positional bytes. The index has a
-posting list for each set of 4 byte positions with their values, so every such pair meets in one at least. Within a
-list, pairs are tallied for shared positional bytes, kept from the guaranteed minimum on, and verified by their
-differing bits. Only fingerprints, each once, are indexed: exact copies and near copies with equal fingerprints
-never form pairs. A list gives a spanning forest of its links, not its pairs.
+Two 64-bit fingerprints with at most 4 differing bits share at least 4 of their 8 positional bytes, the guaranteed
+minimum of the count filter. Lists of single bytes would hold 1/256 of all fingerprints each, and pairs to tally would
+grow with the square of the input; so the index has a posting list for each set of 4 byte positions with their values.
+A pair meets in a list exactly if its tally reaches the minimum: the filter is applied by the index, before any pair is
+formed. What meets is verified by its differing bits. Only fingerprints, each once, are indexed: exact copies and near
+copies with equal fingerprints never form pairs. A list gives a spanning forest of its links, not its pairs.
 """
 
 from __future__ import annotations
@@ -61,11 +62,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near(x: np.ndarray) -> np.ndarray:
-    """Of XORs of fingerprints: count filter on shared bytes, then the differing bits."""
-    shared = (np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8) == 0).sum(1)
-    out = shared >= MIN_BYTES
-    out[out] = np.bitwise_count(x[out]) <= MAX_BITS
-    return out
+    """Of XORs of fingerprints that share MIN_BYTES positional bytes: whether few enough bits differ."""
+    return np.bitwise_count(x) <= MAX_BITS
 
 
 def link_list(fps: np.ndarray) -> list[np.ndarray]:

@@ -1,8 +1,8 @@
 """WARC archives and revisit resolution.
 
-Archives are written by Spark's text writer, one file per partition: a row is a record (headers, empty line, block)
-and the line separator is the two CRLFs that end a record, so files lie wherever Spark can write. They are read as
-binary files and parsed by Content-Length. Resolution shuffles headers only, by payload digest, with map-side
+Archives are written by Spark's text writer: a row is a record (headers, empty line, block) and the line separator is
+the two CRLFs that end a record, so files lie wherever Spark can write. A file holds FILE_BYTES of records at most, or
+one longer record. They are read as binary files, unpacked as a stream and parsed by Content-Length. Resolution shuffles headers only, by payload digest, with map-side
 partial aggregation; payloads meet their record's decision by a join on the unique record id.
 """
 
@@ -11,16 +11,19 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import time
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Scratch, bound_arrow, require
 
 MIN_PAYLOAD = 100
-RECORDS_PER_FILE = 20_000
+#: Bytes of records, not compressed, that a file holds; a longer record is alone in its file.
+FILE_BYTES = 64 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FIELDS = "record_id string, record_type string, page_id long, uri string, warc_date string, payload_bytes long, payload_digest string, refers_to_id string"
 
@@ -38,21 +41,36 @@ def _http(payload) -> F.Column:
     return F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length(payload).cast("string"), F.lit("\r\n\r\n"), payload)
 
 
-def record(kind, page_id, uri, date, record_id, digest, block, refers_to=None, refers_uri=None, refers_date=None) -> F.Column:
-    """The text of a record up to its block's end; all arguments are columns. X-Page-Id is our extension field."""
+def record(kind, page_id, uri, date, record_id, digest, block, refers_to=None, refers_uri=None, refers_date=None, captured=None) -> F.Column:
+    """The text of a record up to its block's end; all arguments are columns. X-Page-Id and X-Captured (the date of the
+    record that it was made from) are our extension fields."""
     null, revisit = F.lit(None).cast("string"), kind == "revisit"
     return F.concat(
         F.lit("WARC/1.1\r\n"), _header("WARC-Type", kind), _header("WARC-Record-ID", record_id), _header("WARC-Date", date), _header("WARC-Target-URI", _clean(uri)),
-        _header("X-Page-Id", page_id.cast("string")), _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
+        _header("X-Page-Id", page_id.cast("string")), _header("X-Captured", null if captured is None else captured), _header("WARC-Payload-Digest", F.concat(F.lit("sha256:"), digest)),
         _header("WARC-Profile", F.when(revisit, F.lit(PROFILE))), _header("WARC-Refers-To", null if refers_to is None else refers_to),
         _header("WARC-Refers-To-Target-URI", null if refers_uri is None else _clean(refers_uri)), _header("WARC-Refers-To-Date", null if refers_date is None else refers_date),
         F.lit("Content-Type: application/http;msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block,
     )
 
 
-def write_archive(records: DataFrame, path: str) -> None:
-    """records: one string column of records. One gzip file per partition and RECORDS_PER_FILE records."""
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+def write_archive(records: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
+    """records: one string column of records. Gzip files of file_bytes of records; a task numbers its files as it goes."""
+    bound_arrow(records.sparkSession)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = 0, 0
+        for b in batches:
+            files = []
+            for n in pa.compute.binary_length(b.column(0)).to_pylist():
+                if held and held + n > file_bytes:
+                    at, held = at + 1, 0
+                held += n
+                files.append(at)
+            yield pa.record_batch([b.column(0), pa.array(files, pa.int32())], ["value", "file"])
+
+    numbered = records.toDF("value").mapInArrow(number, "value string, file int")
+    numbered.write.partitionBy("file").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def records(f) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -97,33 +115,44 @@ def read_archive(spark: SparkSession, path: str, payloads: bool = False) -> Data
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, FIELDS + ", payload string" * payloads)
 
 
+def _urn(name: F.Column) -> F.Column:
+    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(name.cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
+
+
+def _now() -> str:
+    return time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+
+
 def pages_to_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Writes a response record per row; a null payload is empty, other columns are ignored."""
     require(pages, id_col, url_col, html_col)
     run, html = uuid.uuid4().hex, F.coalesce(F.col(html_col), F.lit(""))
-    rid = F.md5(F.concat(F.lit(run), F.monotonically_increasing_id().cast("string")))
-    urn = F.concat(F.lit("<urn:uuid:"), F.regexp_replace(rid, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
-    now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    urn = _urn(F.concat(F.lit(run), F.monotonically_increasing_id().cast("string")))
     rows = pages.select(F.col(id_col).cast("long").alias("i"), F.col(url_col).alias("u"), html.alias("h"), urn.alias("r"))
-    write_archive(rows.select(record(F.lit("response"), F.col("i"), F.col("u"), now, F.col("r"), F.sha2("h", 256), _http(F.col("h")))), path)
+    write_archive(rows.select(record(F.lit("response"), F.col("i"), F.col("u"), F.lit(_now()), F.col("r"), F.sha2("h", 256), _http(F.col("h")))), path)
 
 
 def resolve(heads: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
-    """heads: FIELDS of responses. Returns a row per revisit: record_id, to_id, to_uri, to_date.
+    """heads: FIELDS of responses. Returns a row per revisit: record_id, to_id, to_uri.
 
     Of records with equal payloads of min_payload bytes at least, the one with the smallest page_id (null last, then
     the smallest record id) stays a response.
     """
-    order = F.struct(F.col("page_id").isNull().alias("n"), "page_id", "record_id", "uri", "warc_date")
+    order = F.struct(F.col("page_id").isNull().alias("n"), "page_id", "record_id", "uri")
     slim = heads.filter(F.col("payload_bytes") >= min_payload)
     first = slim.groupBy("payload_digest", "payload_bytes").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("f")).filter("n > 1").select("payload_digest", "payload_bytes", "f")
     return slim.select("payload_digest", "payload_bytes", "record_id").join(first, ["payload_digest", "payload_bytes"]).filter("record_id <> f.record_id").select(
-        "record_id", F.col("f.record_id").alias("to_id"), F.col("f.uri").alias("to_uri"), F.col("f.warc_date").alias("to_date")
+        "record_id", F.col("f.record_id").alias("to_id"), F.col("f.uri").alias("to_uri")
     )
 
 
 def deduplicate_archive(spark: SparkSession, source: str, target: str, scratch: Scratch, min_payload: int = MIN_PAYLOAD) -> None:
-    """Writes source's records to target with fresh headers; repeated payloads become revisit records."""
+    """Writes source's records to target with fresh headers; repeated payloads become revisit records.
+
+    Records get new ids and dates; a revisit refers to its original's new ones. New ids follow from the old ones and
+    this run, so neither side needs the other's row.
+    """
+    run, now = uuid.uuid4().hex, F.lit(_now())
     heads = scratch.table(read_archive(spark, source), "heads")
     revisits = scratch.table(resolve(heads, min_payload), "revisits")
     all_ = read_archive(spark, source, payloads=True).join(revisits.hint("merge"), "record_id", "left")
@@ -131,7 +160,9 @@ def deduplicate_archive(spark: SparkSession, source: str, target: str, scratch:
     kind = F.when(is_revisit, F.lit("revisit")).otherwise(F.lit("response"))
     block = F.when(is_revisit, F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")).otherwise(_http(c("payload")))
     rows = all_.withColumns({"kind": kind, "block": block})
-    write_archive(rows.select(record(c("kind"), c("page_id"), c("uri"), c("warc_date"), c("record_id"), c("payload_digest"), c("block"), c("to_id"), c("to_uri"), c("to_date"))), target)
+    fresh = lambda old: F.when(c(old).isNotNull(), _urn(F.concat(F.lit(run), c(old))))
+    to_date = F.when(is_revisit, now)
+    write_archive(rows.select(record(c("kind"), c("page_id"), c("uri"), now, fresh("record_id"), c("payload_digest"), c("block"), fresh("to_id"), c("to_uri"), to_date, c("warc_date"))), target)
 
 
 def resolved(archive: DataFrame) -> DataFrame:

@@ -30,14 +30,29 @@ def test_warc(spark):
     assert not warc.archive_round_trip(spark.createDataFrame([], PAGES)).collect()
 
 
-def test_warc_headers(spark):
+def test_warc_headers(spark, monkeypatch):
     scratch = Scratch(spark, "t")
     a, b = scratch.path("a"), scratch.path("b")
     warc.pages_to_archive(spark.createDataFrame([(1, "http://x", BIG), (2, "http://y", BIG)], "page_id long, url string, html string"), a)
+    before = {r.page_id: r for r in warc.read_archive(spark, a).collect()}
+    monkeypatch.setattr(warc, "_now", lambda: "2030-01-02T03:04:05Z")
     warc.deduplicate_archive(spark, a, b, scratch)
     rows = {r.page_id: r for r in warc.read_archive(spark, b, payloads=True).collect()}
     assert rows[1].record_type == "response" and rows[1].payload == BIG and rows[1].uri == "http://x"
     assert rows[2].record_type == "revisit" and rows[2].refers_to_id == rows[1].record_id and rows[2].payload == ""
+    assert all(rows[i].record_id != before[i].record_id and rows[i].warc_date == "2030-01-02T03:04:05Z" != before[i].warc_date for i in (1, 2))
+
+
+def test_warc_files_are_bounded(spark):
+    import gzip
+    from pathlib import Path
+
+    path = Scratch(spark, "t").path("bounded")
+    sizes = [100] * 50 + [5000] + [10] * 20
+    warc.write_archive(spark.createDataFrame([("r" * n,) for n in sizes], "v string").coalesce(1), path, file_bytes=1000)
+    held = [[len(x) for x in gzip.decompress(f.read_bytes()).split(b"\r\n\r\n") if x] for f in sorted(Path(path.removeprefix("file:")).rglob("*.gz"))]
+    assert sorted(n for f in held for n in f) == sorted(sizes) and [5000] in held
+    assert all(sum(f) <= 1000 or len(f) == 1 for f in held) and len(held) < 10
 
 
 def mixing_rows():
@@ -46,20 +61,32 @@ def mixing_rows():
     return [*out, (700, None, "en", "hot"), (701, "", "xx", "only"), (702, " \t", "en", "hot"), (5, "w w", "en", "b"), (5, "w w", "en", "b"), (None, "w w w", "en", "b")]
 
 
+def brute_targets(tokens, share, total):
+    """By bisection on the level of min(level * share, FULL * tokens)."""
+    low, high = 0.0, 1e12
+    for _ in range(300):
+        mid = (low + high) / 2
+        low, high = (mid, high) if np.minimum(mid * share, mixing.FULL * tokens).sum() < total else (low, mid)
+    return np.minimum(high * share, mixing.FULL * tokens)
+
+
 def test_mixing_hits_targets(spark):
     df = table(spark, mixing_rows())
     got = mixing.mix(df).toPandas()
     assert len(got) == df.count() and got.probability.between(0, 1).all()
     assert not got[got.doc_id == 701].kept.any()
     total = got.n_tokens.sum() * mixing.RATE
-    free = got[(got.n_tokens > 0)]
+    worst = 0
     for dim in mixing.DIMS:
-        seen = free.groupby(dim).n_tokens.sum()
-        want = seen**mixing.TEMPER / (seen**mixing.TEMPER).sum() * total
-        mass = (free.n_tokens * free.probability).groupby(free[dim]).sum()
-        assert (mass <= want * 1.02).all() or (free.probability == 1).any()
+        seen = got.groupby(dim).n_tokens.sum().astype(float)
+        want = brute_targets(seen.values, np.where(seen > 0, seen**mixing.TEMPER, 0), total)
+        mass = (got.n_tokens * got.probability).groupby(got[dim]).sum().values
+        on = want > 0
+        assert (mass[~on] == 0).all()
+        worst = max(worst, (abs(mass - want)[on] / want[on]).max())
+    assert worst < 0.01 and abs(worst - got.residual.max()) < 1e-5
     kept = got[got.kept]
-    assert abs(kept.n_tokens.sum() - (got.n_tokens * got.probability).sum()) < 0.12 * total
+    assert abs(kept.n_tokens.sum() - total) < 0.12 * total
     again = mixing.mixed_documents(df)
     assert again.columns == df.columns and again.count() == len(kept)
 
@@ -72,6 +99,22 @@ def test_mixing_targets_given(spark):
     assert not mixing.mix(spark.createDataFrame([], SCHEMA)).collect()
 
 
+def test_mixing_says_what_cannot_be_met(spark):
+    """Source decides language here, so half of the one can't go with a tenth of the other."""
+    rows = [(i, "w " * 10, "en" if i % 2 else "de", "a" if i % 2 else "b") for i in range(100)]
+    by = {"lang": spark.createDataFrame([("en", 0.5), ("de", 0.5)], "v string, t double"), "source": spark.createDataFrame([("a", 0.1), ("b", 0.9)], "v string, t double")}
+    assert mixing.mix(table(spark, rows), rate=0.2, targets=by, max_sweeps=4).agg(F.max("residual")).first()[0] > 0.1
+    with pytest.warns(UserWarning, match="misses"):
+        mixing.mixed_documents(table(spark, rows), rate=0.2, targets=by, max_sweeps=4)
+
+
+def test_mixing_names_clash(spark):
+    df = table(spark, mixing_rows()[:60]).withColumns({"mix_u": F.lit(2), "topic": F.when(F.col("doc_id") % 2 == 0, "x"), "tokens": F.lit("t"), "u": F.lit(0.0), "probability": F.lit(9), "row": F.lit(1)})
+    got = mixing.mixed_documents(df)
+    assert got.columns == df.columns and 0 < got.count() < 60 and {r.topic for r in got.collect()} == {None, "x"}
+    assert {r.topic for r in mixing.mix(df).collect()} == {"(none)", "x"}
+
+
 def test_counts_in_pieces():
     text = "The quick brown fox. " * 40_000
     folded = " " + " ".join("the quick brown fox".split() * 40_000) + " "
@@ -98,6 +141,52 @@ def test_langid(spark):
     assert {r.lang_pred for r in langid.language_id(same).collect()} == {"und"}
 
 
+def brute_counts(text):
+    """2- and 3-grams one by one, with integers of any size."""
+    folded = b" " + b" ".join(bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in text.lower().encode()).split()) + b" "
+    out, m = [0] * langid.DIMS, (1 << 32) - 1
+    for i in range(len(folded) - 1):
+        pair = (folded[i] * 0x9E3779B1 + folded[i + 1] * 0x85EBCA6B) & m
+        out[pair >> 19] += 1
+        if i + 2 < len(folded):
+            out[((pair + folded[i + 2] * 0xC2B2AE35) * 0x9E3779B1 & m) >> 19] += 1
+    return out
+
+
+def test_langid_against_brute_force(spark):
+    """Document frequencies, scores and predictions; centroids are the fitted ones."""
+    parts = {"xx": "ba be bi bo bu lala".split(), "yy": "kro kra kri stru strei gno".split()}
+    r = random.Random(9)
+    rows = [(i, " ".join("".join(r.choice(parts[lang]) for _ in range(3)) for _ in range(r.randrange(1, 30))), lang, "s") for i in range(80) for lang in [r.choice(list(parts))]]
+    rows += [(100, None, "xx", "s"), (101, "??", "xx", "s"), (102, "kro kra", None, "s")]
+    df = table(spark, rows)
+    model = langid.fit(df)
+    train = [brute_counts(t) for _, t, lang, _ in rows if t and lang and any(map(str.isalpha, t))]
+    idf = [np.log((1 + len(train)) / (1 + sum(c[g] > 0 for c in train))) + 0.1 for g in range(langid.DIMS)]
+    assert np.allclose(model.idf, idf, atol=1e-4) and model.bound >= langid.MIN_COSINE
+    got = {x.doc_id: x for x in langid.predict(df, model).collect()}
+    for i, t, *_ in rows:
+        if not t or not any(map(str.isalpha, t)):
+            assert (got[i].lang_pred, got[i].score, got[i].rejected) == ("und", 0.0, True)
+            continue
+        v = [c**0.5 * w for c, w in zip(brute_counts(t), idf, strict=True)]
+        n = sum(x * x for x in v) ** 0.5
+        cos = [sum(a * b for a, b in zip(v, c, strict=True)) / n for c in model.centroids.astype(float).tolist()]
+        assert abs(got[i].score - max(cos)) < 1e-4 and got[i].rejected == (got[i].score < model.bound)
+        assert cos[model.langs.index(got[i].lang_pred)] > 0 and max(c for c, lang in zip(cos, model.langs, strict=True) if lang == got[i].lang_pred) > max(cos) - 1e-4
+
+
+def test_langid_learns_every_language(spark, monkeypatch):
+    letters = [f"{a}{b}{a}" for a in "bcdfghjklm" for b in "aeiou"]
+    rows = [(10 * i + j, " ".join([w] * 5), f"l{i:02}", "s") for i, w in enumerate(letters) for j in range(4)]
+    monkeypatch.setattr(langid, "MAX_CENTROIDS", 20)
+    got = langid.predict(table(spark, rows), langid.fit(table(spark, rows))).collect()
+    assert {r.lang_pred for r in got} == {f"l{i:02}" for i in range(len(letters))}
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 20)
+    with pytest.raises(ValueError, match="20 languages"):
+        langid.fit(table(spark, rows))
+
+
 @pytest.mark.parametrize("text", [r[1] for r in ROWS[:12]])
 def test_counts_handle(text):
     assert langid.counts(text or "").min() >= 0

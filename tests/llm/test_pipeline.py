@@ -52,3 +52,27 @@ def test_null_and_repeated_ids(spark):
     near = pipeline.drop_near_copies(spark, table(spark, rows), "")
     have = [(r.doc_id, r.text.lower()) for r in near.collect()]
     assert sorted(have, key=repr) == sorted([(None, a), (None, b), (7, c), (2, d), (4, e)], key=repr)
+
+
+CLASHES = "score double, rejected boolean, lang_pred string, mix_u int, c0 string, id int, sha string, row int, key int, label int, fp long, keep_id long"
+
+
+def test_names_clash(spark):
+    """Columns named like those that stages use inside: rows and columns stay as they are."""
+    rows = [(i, prose(i, 80), "en", "s", 5) for i in range(12)] + [(20, prose(1, 80) + " ", "en", "s", 5), (21, prose(2, 80).upper(), "en", "s", 5), (None, "", None, None, None)]
+    docs = spark.createDataFrame([(*r, 0.5, True, "x", 9, "c", 1, "s", 2, 3, 4, 5, 6) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + CLASHES).cache()
+    sizes = []
+    for _, stage in pipeline.STAGES[:4]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns
+        back = got.collect()
+        assert {tuple(r) for r in back} <= {tuple(r) for r in docs.collect()}
+        sizes.append(len(back))
+    assert sizes[:3] == [14, 14, 13]
+    assert pipeline.STAGES[4][1](spark, docs, "").count() == 15
+
+
+def test_empty_table(spark):
+    docs = table(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in pipeline.STAGES:
+        assert not stage(spark, docs, "").collect()
