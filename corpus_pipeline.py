@@ -18,38 +18,45 @@ SHA = "unhex(sha2(text, 256))"
 
 
 def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id and SHA, nulls too, are a row's kept_id and kept_sha; adds own_sha."""
-    return docs.withColumn("own_sha", F.expr(SHA)).join(keys, F.col("doc_id").eqNullSafe(F.col("kept_id")) & F.col("own_sha").eqNullSafe(F.col("kept_sha")), "left_semi")
+    """(id, sha, row) of docs whose doc_id and SHA, nulls too, are a row's kept_id and kept_sha."""
+    rows = docs.select(F.col("doc_id").alias("id"), F.expr(SHA).alias("sha"), F.struct(*docs.columns).alias("row"))
+    return rows.join(keys, F.col("id").eqNullSafe(F.col("kept_id")) & F.col("sha").eqNullSafe(F.col("kept_sha")), "left_semi")
+
+
+def _own(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs out of row, whatever their names."""
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops what language ID rejects. Decisions are made beside the whole row, so nothing is joined."""
-    names = docs.columns
-    said = langid.predict(docs, langid.fit_documents(docs), tuple(c for c in names if c != "text"), keep_text=True)
-    return said.filter("not rejected").select(*names)
+    """Drops what language ID rejects. Decisions are made beside the whole row, so nothing is joined: ids may be null or
+    repeat, and each row is judged by its own text. No rows, or none with a language, give none."""
+    return langid.accepted(docs, langid.fit_documents(docs))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exactly the rows that exact dedup keeps. Of rows with one id and one text it keeps one: the least by its other columns."""
     rows = docs.select(F.struct(F.col("doc_id").alias("id"), F.expr(SHA).alias("sha")).alias("key"), "text")
     keys = exact_dedup.exact_dedup(rows, "key").filter("kept").select(F.col("key.id").alias("kept_id"), F.col("key.sha").alias("kept_sha"))
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = _kept(docs, keys).groupBy("doc_id", "own_sha").agg(F.min(F.struct(*rest, "text")).alias("row"))
-    return one.select("doc_id", "row.*").select(*docs.columns)
+    rest = F.struct(*(F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text")), F.lit(0))
+    return _own(_kept(docs, keys).groupBy("id", "sha").agg(F.min_by("row", rest).alias("row")), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document whose key names its component stays: the smallest id, null last, then the smallest SHA."""
+    """The document whose key names its component stays: the smallest id, null last, then the smallest SHA. Rows that
+    repeat as a whole stay as often as they are; exact dedup, which comes before, leaves none."""
     rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.expr(SHA).alias("sha")).alias("key"), "text")
     keys = simhash.near_dedup(rows, "key").filter(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key.id").alias("kept_id"), F.col("key.sha").alias("kept_sha"))
-    return _kept(docs, keys).drop("own_sha")
+    return _own(_kept(docs, keys), docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Samples documents by their cell's probability. Repeated rows have one decision, null ids are told apart by texts."""
     return mixing.mixed_documents(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per row: doc_id, n_tokens and digests. Null ids stay null."""
     return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
