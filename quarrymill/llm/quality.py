@@ -18,9 +18,9 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 #: Texts of fewer words aren't judged by divergence.
 GUARD_WORDS = 30
-#: Jensen-Shannon distances (base 2, from 0 to 1) from which a document is dropped.
+#: Jensen-Shannon distances (base 2, from 0 to 1) beyond which a document is dropped; fitted on half of a labelled sample.
 MAX_CHAR_DISTANCE = 0.3
-MAX_WORD_DISTANCE = 0.5
+MAX_WORD_DISTANCE = 0.42
 #: Common words are a language's most frequent ones, of any length, in lower case.
 COMMON_WORDS = 24
 #: A common word makes up this share of its language's words, so a language has 1 / COMMON_SHARE candidates at most.
@@ -47,7 +47,7 @@ def base_columns(docs: DataFrame) -> DataFrame:
         F.length("t").cast("long").alias("n_chars"),
         without("t", "\\p{Ll}+").alias("rest"),
         F.expr("filter(split(t, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')").alias("lines"),
-        F.expr(f"array_remove(split(lower(coalesce(text, '')), '{SPLIT}'), '')").alias("lw"),
+        F.expr("transform(w, x -> lower(x))").alias("lw"),
         F.expr(f"transform(arrays_zip({slices}), x -> xxhash64({fields}))").alias("hashes"),
     )
     d = d.withColumn("solid", without("rest", "[\\x20\\x09-\\x0D]+"))

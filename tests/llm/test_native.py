@@ -1,5 +1,7 @@
 import hashlib
+import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import regex
@@ -215,3 +217,49 @@ def test_quality(spark):
     assert not by[105].kept and not by[105].base_failed and by[14].kept and by[8].kept
     assert not quality.quality(spark.createDataFrame([], SCHEMA)).collect()
     assert len(LONG) > 100_000
+
+
+def brute_quality(rows):
+    """Distances and verdicts, from counts of everything."""
+    def classes(t):
+        kind = lambda c: "white" if c in " \t\n\x0b\x0c\r" else "symbol" if c in "#*$%&|<>" else {"Ll": "lower", "Lu": "upper", "Nd": "digit"}.get(unicodedata.category(c), "other")
+        n = Counter(map(kind, t))
+        return [n[k] for k in quality.CLASSES]
+
+    def distance(p, q):
+        s = sum((x * math.log2(2 * x / (x + y)) if x else 0) + (y * math.log2(2 * y / (x + y)) if y else 0) for x, y in zip(p, q, strict=True)) / 2
+        return max(s, 0) ** 0.5
+
+    words = lambda t: [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    refs = {}
+    for lang in {x for _, _, x, _ in rows if x}:
+        texts = [t or "" for _, t, x, _ in rows if x == lang]
+        chars, all_words = [sum(c) for c in zip(*map(classes, texts), strict=True)], [w for t in texts for w in words(t)]
+        common = sorted((-n, w) for w, n in Counter(all_words).items() if n >= 0.002 * len(all_words))[:24]
+        refs[lang] = ([c / sum(chars) for c in chars] if sum(chars) else None, [w for _, w in common], [-n / len(all_words) for n, _ in common])
+    out = []
+    for i, t, lang, _ in rows:
+        b, own, w = brute_base(t or ""), classes(t or ""), words(t)
+        failed, dc, dw = b[0] < 10 or 100 * b[4] > 20 * b[0], None, None
+        if lang:
+            chars, common, shares = refs[lang]
+            mine = [w.count(x) / max(len(w), 1) for x in common]
+            dc = round(distance([c / max(sum(own), 1) for c in own], chars), 6)
+            dw = round(distance([*mine, max(0, 1 - sum(mine))], [*shares, max(0, 1 - sum(shares))]), 6)
+        out.append((i, failed, not failed and not (b[0] >= 30 and lang is not None and (dc > 0.3 or dw > 0.42)), dc, dw))
+    return out
+
+
+def test_quality_by_brute_force(spark):
+    """Two languages, words of all lengths, ties among common words (all of a rare language's), texts of any kind."""
+    long = ["considerably", "Nevertheless", "the", "a", "extraordinarily", "of"]
+    rows = [(i, " ".join(long[(i + j) % 6] + ("" if j % 3 else str(j % 7)) for j in range(20 + i)), "en", "s") for i in range(30)]
+    rows += [(100 + i, prose(i, 45), "de", "s") for i in range(6)] + [(200, "Solo Una Vez 1 2 3", "es", "s"), (201, "$$ ## " * 40, "en", "s"), (202, "zzz yyy xxx " * 3 + prose(3, 40), "en", "s"), (203, prose(8, 50), None, "s"), (204, None, "en", "s"), (205, "", "en", "s"), (206, prose(9, 40).upper(), "de", "s"), (206, prose(9, 40).upper(), "de", "s")]
+    rows += [(300 + i, prose(700 + i, 40).replace("a", "4"), "de", "s") for i in range(2)]
+    got = [(r.doc_id, r.base_failed, r.kept, r.char_distance, r.word_distance) for r in quality.quality(table(spark, rows)).collect()]
+    want = brute_quality(rows)
+    close = lambda a, b: a == b or None not in (a, b) and abs(a - b) < 3e-6
+    assert len(got) == len(want)
+    for g, w in zip(sorted(got, key=repr), sorted(want, key=repr), strict=True):
+        assert g[:3] == w[:3] and close(g[3], w[3]) and close(g[4], w[4]), (g, w)
+    assert {k for _, _, k, _, _ in got} == {True, False} and any(not f and not k for _, f, k, _, _ in got)
