@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import mmap
+import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -197,22 +199,121 @@ def mapper(chunker, buckets: int, chunk: int, pack: int, twice: bool):
     return run
 
 
-def counted(count):
-    """count: of (docs, marks, firsts, strings) of whole buckets, gives batches of RANGES. Decided ranges pass through."""
+#: Bytes of text that a bucket gets on average, so that their number follows the input, up to MAX_BUCKETS.
+BUCKET_BYTES = 4 << 20
+MAX_BUCKETS = 50_000
+#: Files that a task splits an oversized bucket to.
+SPLITS = 32
+#: Bytes that a window takes in an oversized split.
+PER_WINDOW = 96
+
+
+def bucket_count(docs: DataFrame, least: int) -> int:
+    """docs: of keyed()."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(least, min(MAX_BUCKETS, -(-total // BUCKET_BYTES)))
+
+
+class Oversized:
+    """A bucket that doesn't fit the memory of its task: split by minimiser to files of this task, worked on one by one.
+
+    What is still too large, as one minimiser has most of it, is worked on by the share of its windows' hashes: equal
+    windows fall into one share, and their bytes are compared in the file. So nothing bounds the size of a bucket or of
+    a minimiser's group but the disk.
+    """
+
+    def __init__(self, minimisers, windows, limit: int):
+        self.minimisers, self.windows, self.limit = minimisers, windows, limit
+        self.files = [tempfile.TemporaryFile() for _ in range(SPLITS)]  # unlinked at once; only this task reads them
+        self.sizes = [0] * SPLITS
+
+    def add(self, docs: np.ndarray, marks: np.ndarray, firsts: np.ndarray, strings: list[bytes]) -> None:
+        split = (mixed(self.minimisers(strings)) % np.uint64(SPLITS)).astype(np.int64)
+        for k in np.unique(split).tolist():
+            own = np.flatnonzero(split == k)
+            some = [strings[i] for i in own.tolist()]
+            blob = packed(docs[own], marks[own], firsts[own], some)
+            self.files[k].write(len(blob).to_bytes(8, "little") + blob)
+            self.sizes[k] += sum(map(len, some)) + 80 * len(some)
+
+    def parts(self, k: int) -> Iterator[tuple]:
+        f = self.files[k]
+        f.seek(0)
+        while head := f.read(8):
+            yield unpacked(f.read(int.from_bytes(head, "little")))
+
+    def run(self, whole, later) -> Iterator[pa.RecordBatch]:
+        for k in range(SPLITS):
+            if self.sizes[k] > self.limit:
+                yield from self.by_hash(k, later)
+            elif self.sizes[k]:
+                yield from whole(list(self.parts(k)))
+            self.files[k].close()
+
+    def by_hash(self, k: int, later) -> Iterator[pa.RecordBatch]:
+        with tempfile.TemporaryFile() as f:
+            n = 0
+            for *_, strings in self.parts(k):
+                data, string, *_ = self.windows(strings)
+                f.write(data)
+                n += len(string)
+            f.flush()
+            if not n:
+                return
+            with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as disk:
+                shares = -(-n * PER_WINDOW // self.limit)
+                for share in range(shares):
+                    rows, base = [], 0
+                    for docs, marks, firsts, strings in self.parts(k):
+                        data, string, place, start, stop, width = self.windows(strings)
+                        h = range_hashes(np.frombuffer(data, np.uint8), start, stop)
+                        own = np.flatnonzero(h % np.uint64(shares) == share)
+                        at = string[own]
+                        rows.append((docs[at], marks[at], firsts[at] + place[own], start[own] + base, stop[own] + base, h[own]))
+                        base += len(data)
+                    doc, mark, first, start, stop, h = (np.concatenate(c) for c in zip(*rows, strict=True))
+                    order = np.lexsort((first, mark, doc))
+                    doc, mark, first = doc[order], mark[order], first[order]
+                    gone = later(doc, mark, first, equal_groups(disk, start[order], stop[order], h[order]))
+                    yield from range_rows(doc[gone], mark[gone], first[gone], first[gone] + width)
+
+
+def counted(count, minimisers, windows, later, limit: int):
+    """count: of (docs, marks, firsts, strings) of whole buckets, gives batches of RANGES. Decided ranges pass through.
+
+    A task keeps ``limit`` bytes of strings; more make an Oversized bucket. minimisers: of strings. windows: of strings,
+    gives the bytes, and by window its string, place in it, start and stop in the bytes; and the window. later: of
+    windows' documents, marks, places and first equal ones, which of them go.
+    """
+
+    def whole(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        docs, marks, firsts = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        strings = [s for p in parts for s in p[3]]
+        parts.clear()
+        order = np.lexsort((firsts, marks, docs))
+        yield from count(docs[order], marks[order], firsts[order], [strings[i] for i in order.tolist()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        parts, size, over = [], 0, None
         for b in batches:
             known = np.flatnonzero(b.column(0).to_numpy() < 0)
             if len(known):
                 yield pa.record_batch(b.take(pa.array(known)).columns[1:], ["doc", "mark", "ranges"])
-            parts += [unpacked(blob.as_py()) for target, blob in zip(b.column(0), b.column(3), strict=True) if target.as_py() >= 0]
-        if parts:
-            docs, marks, firsts = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            strings = [s for p in parts for s in p[3]]
-            parts.clear()
-            order = np.lexsort((firsts, marks, docs))
-            yield from count(docs[order], marks[order], firsts[order], [strings[i] for i in order.tolist()])
+            for target, blob in zip(b.column(0), b.column(3), strict=True):
+                if target.as_py() < 0:
+                    continue
+                part = unpacked(blob.as_py())
+                size += sum(map(len, part[3])) + 80 * len(part[3])
+                parts.append(part)
+                if size > limit:
+                    over = over or Oversized(minimisers, windows, limit)
+                    for p in parts:
+                        over.add(*p)
+                    parts.clear()
+        if over:
+            yield from over.run(whole, later)
+        elif parts:
+            yield from whole(parts)
 
     return run
 

@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import bound_arrow, require
-from .spans import RANGES, ROWS, apply_ranges, counted, equal_groups, keyed, mapper, mixed, range_hashes, range_rows
+from .spans import RANGES, ROWS, apply_ranges, bucket_count, counted, equal_groups, keyed, mapper, mixed, range_hashes, range_rows
 
 WINDOW = 100
 MER = 16
 CHUNK = 1 << 20
 PACK = 32 << 20
 LONGEST = 4096
+#: Bytes of strings that a shard's task holds; a larger shard goes to disk in parts.
+TASK_BYTES = 32 << 20
 #: Numbers that a priority queue holds in memory; tuples beyond it wait on disk.
 QUEUE = 8 << 20
 
@@ -40,11 +42,7 @@ def super_kmers(rows: list[tuple], window: int = WINDOW, mer: int = MER, longest
     if n <= 0:
         return data, empty, empty, empty, empty, empty, empty.astype(np.uint64), window
     raw = np.frombuffer(data, np.uint8)
-    h, width, scale = raw.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
-    while width < mer:  # hashes of doubling width
-        h = h[:-width] * np.uint64(scale) + h[width:]
-        scale, width = scale * scale % (1 << 64), 2 * width
-    h = mixed(h)
+    h = mer_hashes(raw, mer)
     span, low, width = window - mer + 1, h, 1
     while 2 * width <= span:
         low = np.minimum(low[:-width], low[width:])
@@ -223,17 +221,45 @@ def repeats(data: np.ndarray, valid: np.ndarray, window: int, limit: int = QUEUE
     return first[valid]
 
 
+def mer_hashes(raw: np.ndarray, mer: int = MER) -> np.ndarray:
+    h, width, scale = raw.astype(np.uint64) + np.uint64(1), 1, 0x9E3779B97F4A7C15
+    while width < mer:  # hashes of doubling width
+        h = h[:-width] * np.uint64(scale) + h[width:]
+        scale, width = scale * scale % (1 << 64), 2 * width
+    return mixed(h)
+
+
+def minimisers(strings: list[bytes], window: int = WINDOW, mer: int = MER) -> np.ndarray:
+    """Of super-k-mers: the least hash in the first window, as all of their windows share it."""
+    out = np.empty(len(strings), np.uint64)
+    for at in range(0, len(strings), 4096):
+        heads = mer_hashes(np.frombuffer(b"".join([s[:window] for s in strings[at : at + 4096]]), np.uint8), mer)
+        begin = np.arange(min(4096, len(strings) - at)) * window
+        out[at : at + 4096] = np.minimum.reduce([heads[begin + i] for i in range(window - mer + 1)])
+    return out
+
+
+def windows(strings: list[bytes], window: int = WINDOW):
+    """As superkmer.windows, over bytes."""
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    begin, count = np.cumsum(sizes) - sizes, sizes - window + 1
+    total = np.cumsum(count)
+    string = np.repeat(np.arange(len(sizes), dtype=np.int32), count)
+    place = np.arange(total[-1] if len(total) else 0) - np.repeat(total - count, count)
+    start = place + begin[string]
+    return b"".join(strings), string, place, start, start + window, window
+
+
+def later(doc: np.ndarray, mark: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return (first != np.arange(len(first))) & ~((doc == doc[first]) & (mark == mark[first]) & (at == at[first]))
+
+
 def counter(docs: np.ndarray, marks: np.ndarray, firsts: np.ndarray, strings: list[bytes], window: int = WINDOW, limit: int = QUEUE) -> Iterator[pa.RecordBatch]:
     """Super-k-mers of whole shards in order of (document, start): RANGES of the windows that start earlier too."""
-    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-    data = b"".join(strings)
+    data, string, place, start, stop, _ = windows(strings, window)
+    del stop
     raw = np.frombuffer(data, np.uint8)
     strings.clear()
-    begin = np.cumsum(sizes) - sizes
-    count = sizes - window + 1
-    total = np.cumsum(count)
-    string = np.repeat(np.arange(len(sizes), dtype=np.int32), count)
-    start = np.arange(total[-1]) - np.repeat(total - count - begin, count)
     h = range_hashes(raw, start, start + window)
     order = np.argsort(h)
     ranked = h[order]
@@ -246,7 +272,7 @@ def counter(docs: np.ndarray, marks: np.ndarray, firsts: np.ndarray, strings: li
     del dup
     if not len(win):
         return
-    s, at = string[win], start[win]
+    s, at, place = string[win], start[win], place[win]
     del string, start
     # runs of windows that may repeat become segments; equal segments are sorted once, by their first one
     cut = np.flatnonzero(np.r_[True, (np.diff(win) > 1) | (s[1:] != s[:-1])])
@@ -258,15 +284,15 @@ def counter(docs: np.ndarray, marks: np.ndarray, firsts: np.ndarray, strings: li
     text = np.frombuffer(b"".join([data[x:y] for x, y in zip(a[own].tolist(), (a[own] + length).tolist(), strict=True)]), np.uint8)
     total = np.cumsum(n[own])
     valid = np.arange(total[-1]) + np.repeat(np.cumsum(length) - length - (total - n[own]), n[own])  # windows' places in text
-    place = np.empty(len(cut), np.int64)  # of a first segment's windows among valid
-    place[own] = total - n[own]
+    base = np.empty(len(cut), np.int64)  # of a first segment's windows among valid
+    base[own] = total - n[own]
     back = (np.arange(len(win)) - np.repeat(cut, n))  # of a window in its segment
-    mine = np.repeat(place[same], n) + back
-    windows = np.flatnonzero(np.repeat(same == np.arange(len(same)), n))  # valid's windows among win
-    first = windows[np.searchsorted(valid, repeats(text, valid, window, limit))[mine]]
-    at = at - begin[s] + firsts[s]
+    mine = np.repeat(base[same], n) + back
+    places = np.flatnonzero(np.repeat(same == np.arange(len(same)), n))  # valid's windows among win
+    first = places[np.searchsorted(valid, repeats(text, valid, window, limit))[mine]]
+    at = place + firsts[s]
     d, m = docs[s], marks[s]
-    gone = (first != np.arange(len(first))) & ~((d == d[first]) & (m == m[first]) & (at == at[first]))
+    gone = later(d, m, at, first)
     yield from range_rows(d[gone], m[gone], at[gone], at[gone] + window)
 
 
@@ -285,13 +311,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A byte goes if a 100-byte string that covers it also starts earlier: in a document with a smaller id, or earlier in
     the same one; overlaps count, and strings are judged on the input. Rows with one id and one text are one document;
     rows with one id and different texts are in a fixed order, by a hash of the text. A null text has no bytes; a null
-    id is larger than any other. An empty table gives an empty result. Other columns are ignored.
+    id is larger than any other. Ids are integers under 2^63 - 1, which stands for null. An empty table gives an empty
+    result. Other columns are ignored. A shard may be of any size: beyond TASK_BYTES it goes through files, split by
+    minimiser and sorted part by part; of a part that is still larger, windows are compared by shares of their hashes.
     """
     require(docs, id_col, text_col)
     spark = docs.sparkSession
     bound_arrow(spark)
-    n = 6 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = keyed(docs, id_col, text_col)
+    n = bucket_count(base, 6 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     sent = base.mapInArrow(mapper(partial(super_kmers, window=window), n, CHUNK, PACK, True), ROWS)
-    ranges = sent.repartition(n, "target").mapInArrow(counted(partial(counter, window=window, limit=QUEUE)), RANGES)
+    ranges = sent.repartition(n, "target").mapInArrow(counted(partial(counter, window=window, limit=QUEUE), partial(minimisers, window=window), partial(windows, window=window), later, TASK_BYTES), RANGES)
     return apply_ranges(base, ranges, n, cut, list(names), list(kinds), schema)

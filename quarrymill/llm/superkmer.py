@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import bound_arrow, require
-from .spans import RANGES, ROWS, apply_ranges, counted, equal_groups, keyed, mapper, mixed, range_hashes, range_rows
+from .spans import RANGES, ROWS, apply_ranges, bucket_count, counted, equal_groups, keyed, mapper, mixed, range_hashes, range_rows
 
 WINDOW = 13
 MER = 3
@@ -27,6 +27,8 @@ CHUNK = 2 << 20
 PACK = 48 << 20
 #: Windows that a bucket's task sorts at once; more are sorted in passes by their hash.
 SORTED = 4 << 20
+#: Bytes of strings that a bucket's task holds; a larger bucket goes to disk in parts.
+TASK_BYTES = 64 << 20
 #: A super-k-mer has so many windows at most.
 LONGEST = 4096
 
@@ -57,11 +59,7 @@ def super_kmers(rows: list[tuple], window: int = WINDOW, mer: int = MER, longest
     if n <= 0:
         return none
     words = range_hashes(raw, start, stop)
-    m = len(start) - mer + 1
-    h = words[:m].copy()
-    for i in range(1, mer):
-        h = h * np.uint64(0xD6E8FEB86659FD93) + words[i : m + i]
-    h = mixed(h)
+    h = mer_hashes(words, mer)
     span, low = window - mer + 1, h
     width = 1
     while 2 * width <= span:  # minima of doubling width, then two that overlap
@@ -82,30 +80,56 @@ def super_kmers(rows: list[tuple], window: int = WINDOW, mer: int = MER, longest
     return data, row[at], in_row[at], size, start[at], stop[at + size + window - 2], low[at], window
 
 
-def counter(docs: np.ndarray, marks: np.ndarray, firsts: np.ndarray, strings: list[bytes], window: int = WINDOW, at_once: int = SORTED) -> Iterator[pa.RecordBatch]:
-    """Super-k-mers of whole buckets, sorted by document: RANGES of words whose windows start in a smaller document too."""
+def mer_hashes(words: np.ndarray, mer: int = MER) -> np.ndarray:
+    m = len(words) - mer + 1
+    h = words[:m].copy()
+    for i in range(1, mer):
+        h = h * np.uint64(0xD6E8FEB86659FD93) + words[i : m + i]
+    return mixed(h)
+
+
+def minimisers(strings: list[bytes], window: int = WINDOW, mer: int = MER) -> np.ndarray:
+    """Of super-k-mers: the least hash in the first window, as all of their windows share it."""
+    raw = np.frombuffer(b"\n".join([*strings, b""]), np.uint8)
+    start, stop = word_bounds(raw)
+    begin = np.r_[0, np.flatnonzero(raw[stop] == 10)[:-1] + 1]
+    h = mer_hashes(range_hashes(raw, start, stop), mer)
+    return np.minimum.reduce([h[begin + i] for i in range(window - mer + 1)])
+
+
+def windows(strings: list[bytes], window: int = WINDOW):
+    """The strings' bytes and, for each window, its string, place in it, and start and stop in the bytes; and the window."""
     data = b"\n".join([*strings, b""])
-    strings.clear()
     raw = np.frombuffer(data, np.uint8)
     start, stop = word_bounds(raw)
     last = np.flatnonzero(raw[stop] == 10)
-    count = np.diff(np.r_[-1, last])
-    left = np.repeat(last, count) - np.arange(len(start))  # words that follow in the string
+    begin = np.r_[0, last[:-1] + 1]
+    left = np.repeat(last, last - begin + 1) - np.arange(len(start))  # words that follow in the string
     win = np.flatnonzero(left >= window - 1)
     del left
     string = np.searchsorted(last, win).astype(np.int32)
-    a, b = start[win], stop[win + window - 1]
-    del start, stop
+    return data, string, win - begin[string], start[win], stop[win + window - 1], window
+
+
+def later(doc: np.ndarray, mark: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return doc > doc[first]
+
+
+def counter(docs: np.ndarray, marks: np.ndarray, firsts: np.ndarray, strings: list[bytes], window: int = WINDOW, at_once: int = SORTED) -> Iterator[pa.RecordBatch]:
+    """Super-k-mers of whole buckets, sorted by document: RANGES of words whose windows start in a smaller document too."""
+    data, string, place, a, b, _ = windows(strings, window)
+    strings.clear()
+    raw = np.frombuffer(data, np.uint8)
     h = range_hashes(raw, a, b)
-    gone = np.zeros(len(win), bool)
-    passes = max(1, -(-len(win) // at_once))
+    gone = np.zeros(len(string), bool)
+    passes = max(1, -(-len(string) // at_once))
     for p in range(passes):  # each sorts the windows of its share of hashes
-        own = np.flatnonzero(h % np.uint64(passes) == p) if passes > 1 else np.arange(len(win))
+        own = np.flatnonzero(h % np.uint64(passes) == p) if passes > 1 else np.arange(len(string))
         d = docs[string[own]]
         gone[own] = d > d[equal_groups(data, a[own], b[own], h[own])]
     hit = np.flatnonzero(gone)
     s = string[hit]
-    at = firsts[s] + win[hit] - (last[s] - count[s] + 1)
+    at = firsts[s] + place[hit]
     yield from range_rows(docs[s], marks[s], at, at + window)
 
 
@@ -124,13 +148,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A word goes if a window of 13 words that covers it also starts in a document with a smaller id; windows are judged
     on the input. Windows repeated within a document only, or between rows of one id, stay. A null text has no words;
-    a null id is larger than any other. An empty table gives an empty result. Other columns are ignored.
+    a null id is larger than any other. Ids are integers under 2^63 - 1, which stands for null. An empty table gives an
+    empty result. Other columns are ignored. A bucket may be of any size: beyond TASK_BYTES it goes through files.
     """
     require(docs, id_col, text_col)
     spark = docs.sparkSession
     bound_arrow(spark)
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = keyed(docs, id_col, text_col)
+    n = bucket_count(base, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     sent = base.mapInArrow(mapper(partial(super_kmers, window=window), n, CHUNK, PACK, False), ROWS)
-    ranges = sent.repartition(n, "target").mapInArrow(counted(partial(counter, window=window, at_once=SORTED)), RANGES)
+    ranges = sent.repartition(n, "target").mapInArrow(counted(partial(counter, window=window, at_once=SORTED), partial(minimisers, window=window), partial(windows, window=window), later, TASK_BYTES), RANGES)
     return apply_ranges(base, ranges, n, cut, list(names), list(kinds), schema)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from quarrymill.llm import suffixes
+from quarrymill.llm import spans, suffixes
 
 from .fixtures import SCHEMA, table
 from .test_superkmer import rows_with_passages
@@ -27,11 +27,13 @@ def brute(rows, window=100):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("chunk,queue", [(1 << 20, 8 << 20), (5000, 500)])
-def test_brute(spark, monkeypatch, chunk, queue):
+@pytest.mark.parametrize("chunk,queue,task,splits", [(1 << 20, 8 << 20, 32 << 20, 32), (5000, 500, 40_000, 5), (5000, 500, 12_000, 2)])
+def test_brute(spark, monkeypatch, chunk, queue, task, splits):
     rows = [r for r in rows_with_passages() if r[0] != 5 and r[0] is not None]
     rows += [(300, "z" * 250), (301, "z" * 99), (302, "\0" * 150 + "\x01" * 150), (303, "ab" * 300), (304, "é" * 60 + "x" + "é" * 60), (None, rows[-1][1]), (6, "a  b")]
     monkeypatch.setattr(suffixes, "CHUNK", chunk)
+    monkeypatch.setattr(suffixes, "TASK_BYTES", task)
+    monkeypatch.setattr(spans, "SPLITS", splits)
     monkeypatch.setattr(suffixes, "QUEUE", queue)
     got = suffixes.suffix_dedup(table(spark, rows).repartition(3)).collect()
     assert sorted(map(tuple, got), key=repr) == brute(rows)

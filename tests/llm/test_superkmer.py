@@ -6,7 +6,7 @@ from functools import partial
 import pyarrow as pa
 import pytest
 
-from quarrymill.llm import superkmer
+from quarrymill.llm import spans, superkmer
 
 from .fixtures import LONG, ROWS, SCHEMA, prose, table
 
@@ -44,11 +44,13 @@ def rows_with_passages():
     return out
 
 
-@pytest.mark.parametrize("chunk,pack", [(4 << 20, 48 << 20), (3000, 5000)])
-def test_brute(spark, monkeypatch, chunk, pack):
+@pytest.mark.parametrize("chunk,pack,task,splits", [(4 << 20, 48 << 20, 64 << 20, 32), (3000, 5000, 40_000, 5), (3000, 5000, 12_000, 2)])
+def test_brute(spark, monkeypatch, chunk, pack, task, splits):
     rows = rows_with_passages()
     docs = table(spark, rows).repartition(3)
     monkeypatch.setattr(superkmer, "CHUNK", chunk)
+    monkeypatch.setattr(superkmer, "TASK_BYTES", task)
+    monkeypatch.setattr(spans, "SPLITS", splits)
     monkeypatch.setattr(superkmer, "PACK", pack)
     monkeypatch.setattr(superkmer, "SORTED", pack)
     if chunk < 9999:
