@@ -1,13 +1,14 @@
-"""Anomalies by z-score, interquartile range and fraud patterns. All statistics come from one aggregate row."""
+"""Anomalies by z-score, interquartile range and fraud patterns. All statistics come from counts of values, in one row."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.cleaning import with_revenue
 from ..functions.numeric import half_even
+from ..functions.quantiles import moments, quantiles, value_counts
 
 MEASURES = {"revenue": "revenue", "quantity": "quantity", "discount": "discount_percent"}
 
@@ -30,11 +31,10 @@ def _valid(measure: str) -> Column:
 
 
 def _stats(df: DataFrame, measures) -> DataFrame:
-    some = []
-    for m in measures:
-        x = F.when(_valid(m), F.col(MEASURES[m]).cast("double"))
-        some += [F.avg(x).alias(f"_{m}_mean"), F.stddev_samp(x).alias(f"_{m}_std"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias(f"_{m}_q")]
-    return df.agg(*some)
+    counts = value_counts(df, **{m: F.when(_valid(m), F.col(MEASURES[m]).cast("double")) for m in measures})
+    rows = moments(counts).join(quantiles(counts, (0.25, 0.75)).drop("total"), "name")  # a row per measure
+    own = lambda m, c: F.max(F.when(F.col("name") == m, F.col(c)))
+    return rows.agg(*(own(m, c).alias(f"_{m}_{to}") for m in measures for c, to in (("mean", "mean"), ("std", "std"), ("q", "q"))))
 
 
 def detect(df: DataFrame, measures=tuple(MEASURES), z: float = 3.0, k: float = 1.5) -> DataFrame:
@@ -67,8 +67,6 @@ def top_records(df: DataFrame, n: int = 5, order=("order_id",)) -> DataFrame:
         "anomaly_types": F.concat_ws(", ", *(F.when(f, label(m)) for f, m in zip(any_flag, MEASURES, strict=True))),
         "detailed_anomaly_reason": F.concat_ws("; ", *(F.when(F.col(f"{m}_anomaly_reason") != "Normal", F.concat(F.lit(f"{label(m)}: "), F.col(f"{m}_anomaly_reason"))) for m in MEASURES)),
     }).orderBy(F.col("composite_anomaly_score").desc(), *order).limit(n)
-    from pyspark.sql import Window
-
     return best.withColumn("anomaly_rank", F.row_number().over(Window.orderBy(F.col("composite_anomaly_score").desc(), *order)))  # over n rows
 
 
@@ -84,14 +82,16 @@ def report(df: DataFrame) -> DataFrame:
 def thresholds(df: DataFrame, column: str, sensitivity: Sensitivity = PRESETS["medium"]) -> DataFrame:
     """(method, lower, upper) of a column; null and infinite values don't count."""
     x = F.col(column).cast("double")
-    d = df.filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).select(x.alias("x"))
+    counts = value_counts(df.filter(F.abs(x) < float("inf")), x=x)
     p = sensitivity.percentile
-    s = d.agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"), F.percentile("x", F.array(*map(F.lit, (0.25, 0.5, 0.75, (1 - p) / 2, p + (1 - p) / 2)))).alias("q"))
-    mad = d.crossJoin(F.broadcast(s)).agg(F.percentile(F.abs(F.col("x") - F.col("q")[1]), F.lit(0.5)).alias("mad"))  # one row
+    q = quantiles(counts, (0.25, 0.5, 0.75, (1 - p) / 2, p + (1 - p) / 2)).select("name", "q")
+    s = moments(counts).join(q, "name").select("name", F.col("mean").alias("m"), F.col("std").alias("sd"), "q")
+    far = counts.join(q, "name").groupBy("name", F.abs(F.col("x") - F.col("q")[1]).alias("x")).agg(F.sum("n").alias("n"))
+    mad = quantiles(far, (0.5,)).select("name", F.col("q")[0].alias("mad"))
     q, sd, k = F.col("q"), F.coalesce("sd", F.lit(0.0)), sensitivity.iqr
     wide = 3.5 * 1.4826 * F.col("mad")
     rows = [("zscore", F.col("m") - sensitivity.z * sd, F.col("m") + sensitivity.z * sd), ("iqr", q[0] - k * (q[2] - q[0]), q[2] + k * (q[2] - q[0])), ("percentile", q[3], q[4]), ("modified_zscore", q[1] - wide, q[1] + wide)]
-    out = s.crossJoin(mad).select("mad", F.explode(F.array(*(F.struct(F.lit(n).alias("method"), a.alias("lower"), b.alias("upper")) for n, a, b in rows))).alias("r"))
+    out = s.join(mad, "name").select("mad", F.explode(F.array(*(F.struct(F.lit(n).alias("method"), a.alias("lower"), b.alias("upper")) for n, a, b in rows))).alias("r"))
     return out.filter((F.col("r.method") != "modified_zscore") | (F.col("mad") > 0)).select("r.*")
 
 

@@ -6,43 +6,54 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.cleaning import with_revenue
 from ..functions.numeric import davg, dsum, half_even, ratio
+from ..functions.quantiles import moments, quantiles, top_sum
 
 TIERS = (("low", 0.0, 0.1), ("medium", 0.1, 0.3), ("high", 0.3, float("inf")))
 
 
-def _top_sum(df: DataFrame, c: str, k: int, n: int) -> float:
-    """Sum of the k largest, by the k-th largest value; no global sort."""
-    if k < 1:
-        return 0.0
-    at = df.agg(F.percentile(c, F.lit((n - k) / (n - 1) if n > 1 else 0.0))).first()[0]
-    over, many = df.filter(F.col(c) > at * (1 + 1e-12)).agg(dsum(c), F.count(F.lit(1))).first()
-    return (over or 0.0) + (k - many) * at
+def revenue_metrics(df: DataFrame) -> DataFrame:
+    """One row. Growth figures over months that occur; top shares are of int(n * 0.05) rows and int(n * 0.1) customers.
 
+    With a column sale_date, transactions, their means, the concentration and the customers are of rows with a date,
+    while revenue figures are of all rows; shares are of the revenue of all rows.
 
-def revenue_metrics(df: DataFrame) -> DataFrame:
-    """One row. Growth figures over months that occur; top shares are of int(n * 0.05) rows and int(n * 0.1) customers."""
+    Rows are gone over twice: grouped by revenue, from which all figures of rows come, and by customer and month.
+    """
     d = with_revenue(df).dropna(subset=["revenue", "quantity", "unit_price"])
-    q = F.percentile("revenue", F.array(*map(F.lit, (0.25, 0.5, 0.75, 0.9, 0.95, 0.99))))
-    one = d.agg(
-        half_even(dsum("revenue")).alias("total_revenue"), half_even(davg("revenue")).alias("avg_revenue_per_transaction"), half_even(F.stddev_samp("revenue")).alias("revenue_standard_deviation"), q.alias("q"),
-        F.count(F.lit(1)).alias("total_transactions"), half_even(davg("quantity")).alias("avg_transaction_size"), half_even(davg("unit_price")).alias("avg_unit_price"),
+    dated = F.col("sale_date").isNotNull() if "sale_date" in df.columns else F.lit(True)
+    exact = lambda c: F.sum(F.col(c).cast("decimal(20,6)")).alias(f"s_{c}")
+    by = d.groupBy(F.col("revenue").cast("double").alias("x"), dated.alias("dated")).agg(F.count(F.lit(1)).alias("n"), *(exact(c) for c in ("revenue", "quantity", "unit_price")))
+    all_ = by.groupBy(F.lit("all").alias("name"), "x").agg(F.sum("n").alias("n"))
+    on = F.col("dated")
+    total = lambda c: F.sum(f"s_{c}").cast("double")
+    mean = lambda c: half_even(F.try_divide(F.sum(F.when(on, F.col(f"s_{c}"))).cast("double"), F.sum(F.when(on, F.col("n")))))
+    one = by.agg(
+        half_even(total("revenue")).alias("total_revenue"), total("revenue").alias("_all"), half_even(F.try_divide(total("revenue"), F.sum("n"))).alias("avg_revenue_per_transaction"),
+        F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0)).alias("total_transactions"), mean("quantity").alias("avg_transaction_size"), mean("unit_price").alias("avg_unit_price"),
     )
-    names = ("revenue_25th_percentile", "median_revenue_per_transaction", "revenue_75th_percentile", "revenue_90th_percentile", "revenue_95th_percentile", "revenue_99th_percentile")
-    one = one.select("*", *(half_even(F.col("q")[i]).alias(n) for i, n in enumerate(names))).drop("q")
-    n, total = d.agg(F.count(F.lit(1)), dsum("revenue")).first()
-    share = _top_sum(d, "revenue", int(n * 0.05), n) / total if total else None
-    one = one.withColumn("revenue_concentration_ratio", half_even(F.lit(share).cast("double"), 4))
-    if "sale_date" in df.columns:
-        m = d.filter("sale_date IS NOT NULL").groupBy(F.date_format("sale_date", "yyyy-MM").alias("month")).agg(dsum("revenue").alias("r"))
+    marks = {0.25: "revenue_25th_percentile", 0.5: "median_revenue_per_transaction", 0.75: "revenue_75th_percentile", 0.9: "revenue_90th_percentile", 0.95: "revenue_95th_percentile", 0.99: "revenue_99th_percentile"}
+    q = quantiles(all_, tuple(marks)).agg(*(half_even(F.max(F.col("q")[i])).alias(n) for i, n in enumerate(marks.values())))
+    std = moments(all_).agg(half_even(F.max("std")).alias("revenue_standard_deviation"))
+    top = top_sum(by.filter("dated").select(F.lit("dated").alias("name"), "x", "n"), lambda n: F.floor(n * 0.05)).agg(F.max("top").alias("_top"))
+    one = one.crossJoin(q).crossJoin(std).crossJoin(top)  # one row each, as all that follow
+    one = one.withColumn("revenue_concentration_ratio", half_even(ratio(F.col("_top"), F.col("_all")), 4)).drop("_top")
+    dims = [c for c in ("customer_email", "sale_date") if c in df.columns]
+    if dims:
+        keys = [F.date_format(c, "yyyy-MM").alias("month") if c == "sale_date" else F.col(c) for c in dims]
+        cells = d.filter(dated).groupBy(*keys).agg(F.sum(F.col("revenue").cast("decimal(20,6)")).alias("r"))
+    if "sale_date" in dims:
+        m = cells.groupBy("month").agg(F.sum("r").cast("double").alias("r"))
         m = m.withColumn("g", ratio(F.col("r") - F.lag("r").over(Window.orderBy("month")), F.lag("r").over(Window.orderBy("month"))))  # a row per month
         first, last = F.min_by("r", "month"), F.max_by("r", "month")
-        one = one.crossJoin(m.agg(F.avg("g").alias("avg_monthly_growth_rate"), F.stddev_samp("g").alias("monthly_growth_volatility"), F.when(F.count(F.lit(1)) > 1, ratio(last - first, first)).alias("total_growth_rate")))  # one row each
-    if "customer_email" in df.columns:
-        c = d.filter("customer_email IS NOT NULL").groupBy("customer_email").agg(dsum("revenue").alias("r"))
-        k, all_ = c.agg(F.count(F.lit(1)), dsum("r")).first()
-        top = _top_sum(c, "r", int(k * 0.1), k) / all_ if all_ else None
-        one = one.crossJoin(c.agg(davg("r").alias("avg_customer_value"), F.percentile("r", F.lit(0.5)).alias("median_customer_value"))).withColumn("top_10_percent_customer_contribution", F.lit(top).cast("double"))
-    return one
+        one = one.crossJoin(m.agg(F.avg("g").alias("avg_monthly_growth_rate"), F.stddev_samp("g").alias("monthly_growth_volatility"), F.when(F.count(F.lit(1)) > 1, ratio(last - first, first)).alias("total_growth_rate")))
+    if "customer_email" in dims:
+        c = cells.filter("customer_email IS NOT NULL").groupBy("customer_email").agg(F.sum("r").cast("double").alias("x"))
+        counts = c.groupBy(F.lit("c").alias("name"), "x").agg(F.count(F.lit(1)).alias("n"))
+        value = counts.agg(F.try_divide(F.sum(F.col("x").cast("decimal(20,6)") * F.col("n")).cast("double"), F.sum("n")).alias("avg_customer_lifetime_value"))
+        median = quantiles(counts, (0.5,)).agg(F.max(F.col("q")[0]).alias("median_customer_lifetime_value"))
+        share = top_sum(counts, lambda n: F.floor(n * 0.1)).agg(F.max("top").alias("_top"))
+        one = one.crossJoin(value).crossJoin(median).crossJoin(share).withColumn("top_10_percent_customer_contribution", ratio(F.col("_top"), F.col("_all"))).drop("_top")
+    return one.drop("_all")
 
 
 def discount_effectiveness(df: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.cleaning import require, with_revenue
 from ..functions.numeric import davg, dsum, half_even, ratio
+from ..functions.quantiles import moments, quantiles
+from ..functions.written import written
 
 
 def monthly_sales_summary(df: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def _products(df: DataFrame) -> DataFrame:
 
 def top_products(df: DataFrame, n: int = 10) -> DataFrame:
     """The first n by revenue and by units (dense ranks, ties by name). The category is the smallest one."""
-    p = _products(df)
+    p = written(_products(df), "products")  # sales rows are gone over once
     rev, units = F.col("total_revenue").desc(), F.col("total_units").desc()
     # each top n is taken from partial top lists; ranks over all products are joined to these few rows
     best = p.orderBy(rev, "product_name").limit(n).union(p.orderBy(units, "product_name").limit(n)).distinct()
@@ -61,20 +63,34 @@ def dsum_over(c: str):
 
 
 def category_discount_map(df: DataFrame) -> DataFrame:
-    """discount_penetration_pct is distinct discounted orders over distinct orders."""
-    g = with_revenue(df).filter("category IS NOT NULL").groupBy("category").agg(
-        half_even(davg("discount_percent"), 4).alias("avg_discount"), half_even(F.percentile("discount_percent", F.lit(0.5)), 4).alias("median_discount"),
-        half_even(F.stddev_samp("discount_percent"), 4).alias("discount_std"), half_even(F.min("discount_percent"), 4).alias("min_discount"), half_even(F.max("discount_percent"), 4).alias("max_discount"),
-        half_even(dsum("revenue"), 4).alias("total_revenue"), F.sum("quantity").alias("total_quantity"), F.count_distinct("order_id").alias("order_count"),
-        F.count_distinct(F.when(F.col("discount_percent") > 0, F.col("order_id"))).alias("discounted"),
+    """discount_penetration_pct is distinct discounted orders over distinct orders.
+
+    Orders are counted by grouping to (category, order) first, so that rows aren't multiplied for distinct counts;
+    figures of discounts come from the counts of their values.
+    """
+    d = with_revenue(df).filter("category IS NOT NULL")
+    cut = F.col("discount_percent") > 0
+    orders = d.groupBy("category", "order_id").agg(F.sum(F.col("revenue").cast("decimal(20,6)")).alias("r"), F.sum("quantity").alias("q"), F.max(cut.cast("int")).alias("cut"))
+    has = F.col("order_id").isNotNull()
+    g = orders.groupBy("category").agg(
+        half_even(F.sum("r").cast("double"), 4).alias("total_revenue"), F.sum("q").alias("total_quantity"), F.count_if(has).alias("order_count"), F.count_if(has & (F.col("cut") == 1)).alias("discounted"),
+    )
+    counts = d.filter("discount_percent IS NOT NULL").groupBy(F.col("category").alias("name"), F.col("discount_percent").cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    means = counts.groupBy("name").agg(F.try_divide(F.sum(F.col("x").cast("decimal(20,6)") * F.col("n")).cast("double"), F.sum("n")).alias("m"))
+    figures = moments(counts).drop("total", "mean").join(means, "name").join(quantiles(counts, (0.5,)).drop("total"), "name").select(
+        F.col("name").alias("category"), half_even(F.col("m"), 4).alias("avg_discount"), half_even(F.col("q")[0], 4).alias("median_discount"), half_even(F.col("std"), 4).alias("discount_std"),
+        half_even(F.col("low"), 4).alias("min_discount"), half_even(F.col("high"), 4).alias("max_discount"),
     )
+    g = g.join(figures, "category", "left")
     a = F.col("avg_discount")
-    return g.withColumns({
+    g = g.withColumns({
         "discount_effectiveness_score": half_even(F.col("total_revenue") * a),
         "discount_penetration_pct": half_even(ratio(F.col("discounted"), F.col("order_count")) * 100),
         "avg_discount_amount": half_even(ratio(F.col("total_revenue") * a, F.col("order_count"))),
         "discount_strategy": F.when(a < 0.05, "Low Discount").when(a < 0.15, "Moderate Discount").when(a < 0.30, "High Discount").otherwise("Very High Discount"),
-    }).drop("discounted").orderBy(a.desc(), "category")
+    })
+    names = ("category", "avg_discount", "median_discount", "discount_std", "min_discount", "max_discount", "total_revenue", "total_quantity", "order_count", "discount_effectiveness_score", "discount_penetration_pct", "avg_discount_amount", "discount_strategy")
+    return g.select(*names).orderBy(a.desc(), "category")
 
 
 def dashboard_monthly(df: DataFrame) -> DataFrame:

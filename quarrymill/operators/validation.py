@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Fixed values of the default rules.
 CATEGORY_VALUES = ["Electronics", "Fashion", "Home & Garden", "Unknown"]
@@ -91,4 +91,4 @@ def first_failures(df: DataFrame, rule: Rule, n: int = 10) -> DataFrame:
     return df.filter(~rule.valid(F.col(rule.field))).select(F.col(rule.field).alias("value")).distinct().orderBy("value").limit(n)
 
 
-__all__ = ["DEFAULT_RULES", "Rule", "Window", "by_field", "duplicate_order_ids", "first_failures", "in_range", "one_of", "status", "validate"]
+__all__ = ["DEFAULT_RULES", "Rule", "by_field", "duplicate_order_ids", "first_failures", "in_range", "one_of", "status", "validate"]

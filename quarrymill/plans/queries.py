@@ -90,12 +90,27 @@ _query("alt4_dashboard_discounts", lambda s: tables.dashboard_discounts(s).withC
        count(*) FILTER (discount_percent > 0) AS discount_count, {_s('revenue')} AS t, count(*) AS n FROM sales GROUP BY 1)""")
 _query("dsh1_dashboard_metrics", lambda s: tables.dashboard_metrics(tables.monthly_sales_summary(s)))
 
-_query("met1_revenue_metrics", lambda s: metrics.revenue_metrics(s).select("total_revenue", "avg_revenue_per_transaction", "revenue_standard_deviation", "median_revenue_per_transaction", "revenue_95th_percentile", "total_transactions", "revenue_concentration_ratio", half_even(F.col("avg_monthly_growth_rate"), 6).alias("avg_monthly_growth_rate"), half_even(F.col("total_growth_rate"), 6).alias("total_growth_rate"), half_even(F.col("top_10_percent_customer_contribution"), 6).alias("top_10_percent_customer_contribution")),
-       f""", m AS (SELECT strftime(sale_date, '%Y-%m') AS month, {_s('revenue')} AS r FROM sales GROUP BY 1), g AS (SELECT *, (r - lag(r) OVER (ORDER BY month)) / lag(r) OVER (ORDER BY month) AS g FROM m),
-       k AS (SELECT revenue, row_number() OVER (ORDER BY revenue DESC) AS n, count(*) OVER () AS c FROM sales), u AS (SELECT customer_email, {_s('revenue')} AS r FROM sales GROUP BY 1), v AS (SELECT r, row_number() OVER (ORDER BY r DESC) AS n, count(*) OVER () AS c FROM u)
-       SELECT {_r(_s('revenue'))} AS total_revenue, {_r(_a('revenue'))} AS avg_revenue_per_transaction, {_r('stddev_samp(revenue)')} AS revenue_standard_deviation, {_r('quantile_cont(revenue, 0.5)')} AS median_revenue_per_transaction, {_r('quantile_cont(revenue, 0.95)')} AS revenue_95th_percentile,
-       count(*) AS total_transactions, {_r('(SELECT ' + _s('revenue') + ' FROM k WHERE n <= floor(c * 0.05)) / ' + _s('revenue'), 4)} AS revenue_concentration_ratio, {_r('(SELECT avg(g) FROM g)', 6)} AS avg_monthly_growth_rate,
-       {_r('(SELECT (max_by(r, month) - min_by(r, month)) / min_by(r, month) FROM m)', 6)} AS total_growth_rate, {_r('(SELECT ' + _s('r') + ' FROM v WHERE n <= floor(c * 0.1)) / (SELECT ' + _s('r') + ' FROM u)', 6)} AS top_10_percent_customer_contribution FROM sales""")
+_MARKS = {0.25: "revenue_25th_percentile", 0.5: "median_revenue_per_transaction", 0.75: "revenue_75th_percentile", 0.9: "revenue_90th_percentile", 0.95: "revenue_95th_percentile", 0.99: "revenue_99th_percentile"}
+_LOOSE = ("avg_monthly_growth_rate", "monthly_growth_volatility", "total_growth_rate", "top_10_percent_customer_contribution", "avg_customer_lifetime_value", "median_customer_lifetime_value")
+
+
+def _met1_sql(rows: str) -> str:
+    """rows: SQL for the sales rows; some may have no date."""
+    return f""", a AS ({rows}), d AS (SELECT * FROM a WHERE sale_date IS NOT NULL), m AS (SELECT strftime(sale_date, '%Y-%m') AS month, {_s('revenue')} AS r FROM d GROUP BY 1), g AS (SELECT *, (r - lag(r) OVER (ORDER BY month)) / lag(r) OVER (ORDER BY month) AS g FROM m),
+       k AS (SELECT revenue, row_number() OVER (ORDER BY revenue DESC) AS n, count(*) OVER () AS c FROM d), u AS (SELECT customer_email, {_s('revenue')} AS r FROM d GROUP BY 1), v AS (SELECT r, row_number() OVER (ORDER BY r DESC) AS n, count(*) OVER () AS c FROM u)
+       SELECT {_r(_s('revenue'))} AS total_revenue, {_r(_a('revenue'))} AS avg_revenue_per_transaction, {_r('stddev_samp(revenue)')} AS revenue_standard_deviation, {', '.join(f"{_r(f'quantile_cont(revenue, {p})')} AS {n}" for p, n in _MARKS.items())},
+       (SELECT count(*) FROM d) AS total_transactions, (SELECT {_r(_a('quantity'))} FROM d) AS avg_transaction_size, (SELECT {_r(_a('unit_price'))} FROM d) AS avg_unit_price,
+       {_r('(SELECT ' + _s('revenue') + ' FROM k WHERE n <= floor(c * 0.05)) / ' + _s('revenue'), 4)} AS revenue_concentration_ratio, {_r('(SELECT avg(g) FROM g)', 6)} AS avg_monthly_growth_rate, {_r('(SELECT stddev_samp(g) FROM g)', 6)} AS monthly_growth_volatility,
+       {_r('(SELECT (max_by(r, month) - min_by(r, month)) / min_by(r, month) FROM m)', 6)} AS total_growth_rate, {_r('(SELECT ' + _s('r') + ' FROM v WHERE n <= floor(c * 0.1)) / ' + _s('revenue'), 6)} AS top_10_percent_customer_contribution,
+       {_r('(SELECT ' + _a('r') + ' FROM u)', 6)} AS avg_customer_lifetime_value, {_r('(SELECT quantile_cont(r, 0.5) FROM u)', 6)} AS median_customer_lifetime_value FROM a"""
+
+
+def _met1(s: DataFrame) -> DataFrame:
+    return metrics.revenue_metrics(s).withColumns({c: half_even(F.col(c), 6) for c in _LOOSE})
+
+
+_query("met1_revenue_metrics", _met1, _met1_sql("SELECT * FROM sales"))
+_query("met1_some_dates_missing", lambda s: _met1(s.withColumn("sale_date", F.when(F.col("part") % 5 != 0, F.col("sale_date")))), _met1_sql("SELECT * REPLACE (CASE WHEN part % 5 <> 0 THEN sale_date END AS sale_date) FROM sales"))
 _query("met2_discount_effectiveness", metrics.discount_effectiveness)
 _query("met2_category_effectiveness", metrics.category_effectiveness, f"SELECT category, coalesce({_r(_a('CASE WHEN discount_percent > 0 THEN revenue END') + ' / ' + _a('CASE WHEN discount_percent = 0 THEN revenue END'), 4)}, 0) AS effectiveness_ratio FROM sales GROUP BY 1")
 _query("met3_regional_performance", metrics.regional_performance)
