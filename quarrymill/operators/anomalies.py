@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.cleaning import with_revenue
 from ..functions.numeric import half_even
 from ..functions.quantiles import moments, quantiles, value_counts
+from ..functions.written import written
 
 MEASURES = {"revenue": "revenue", "quantity": "quantity", "discount": "discount_percent"}
 
@@ -31,7 +32,7 @@ def _valid(measure: str) -> Column:
 
 
 def _stats(df: DataFrame, measures) -> DataFrame:
-    counts = value_counts(df, **{m: F.when(_valid(m), F.col(MEASURES[m]).cast("double")) for m in measures})
+    counts = written(value_counts(df, **{m: F.when(_valid(m), F.col(MEASURES[m]).cast("double")) for m in measures}), "counts")
     rows = moments(counts).join(quantiles(counts, (0.25, 0.75)).drop("total"), "name")  # a row per measure
     own = lambda m, c: F.max(F.when(F.col("name") == m, F.col(c)))
     return rows.agg(*(own(m, c).alias(f"_{m}_{to}") for m in measures for c, to in (("mean", "mean"), ("std", "std"), ("q", "q"))))
@@ -82,7 +83,7 @@ def report(df: DataFrame) -> DataFrame:
 def thresholds(df: DataFrame, column: str, sensitivity: Sensitivity = PRESETS["medium"]) -> DataFrame:
     """(method, lower, upper) of a column; null and infinite values don't count."""
     x = F.col(column).cast("double")
-    counts = value_counts(df.filter(F.abs(x) < float("inf")), x=x)
+    counts = written(value_counts(df.filter(F.abs(x) < float("inf")), x=x), "counts")
     p = sensitivity.percentile
     q = quantiles(counts, (0.25, 0.5, 0.75, (1 - p) / 2, p + (1 - p) / 2)).select("name", "q")
     s = moments(counts).join(q, "name").select("name", F.col("mean").alias("m"), F.col("std").alias("sd"), "q")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.cleaning import with_revenue
 from ..functions.numeric import davg, dsum, half_even, ratio
 from ..functions.quantiles import moments, quantiles, top_sum
+from ..functions.written import written
 
 TIERS = (("low", 0.0, 0.1), ("medium", 0.1, 0.3), ("high", 0.3, float("inf")))
 
@@ -22,7 +23,7 @@ def revenue_metrics(df: DataFrame) -> DataFrame:
     d = with_revenue(df).dropna(subset=["revenue", "quantity", "unit_price"])
     dated = F.col("sale_date").isNotNull() if "sale_date" in df.columns else F.lit(True)
     exact = lambda c: F.sum(F.col(c).cast("decimal(20,6)")).alias(f"s_{c}")
-    by = d.groupBy(F.col("revenue").cast("double").alias("x"), dated.alias("dated")).agg(F.count(F.lit(1)).alias("n"), *(exact(c) for c in ("revenue", "quantity", "unit_price")))
+    by = written(d.groupBy(F.col("revenue").cast("double").alias("x"), dated.alias("dated")).agg(F.count(F.lit(1)).alias("n"), *(exact(c) for c in ("revenue", "quantity", "unit_price"))), "revenues")
     all_ = by.groupBy(F.lit("all").alias("name"), "x").agg(F.sum("n").alias("n"))
     on = F.col("dated")
     total = lambda c: F.sum(f"s_{c}").cast("double")
@@ -40,7 +41,7 @@ def revenue_metrics(df: DataFrame) -> DataFrame:
     dims = [c for c in ("customer_email", "sale_date") if c in df.columns]
     if dims:
         keys = [F.date_format(c, "yyyy-MM").alias("month") if c == "sale_date" else F.col(c) for c in dims]
-        cells = d.filter(dated).groupBy(*keys).agg(F.sum(F.col("revenue").cast("decimal(20,6)")).alias("r"))
+        cells = written(d.filter(dated).groupBy(*keys).agg(F.sum(F.col("revenue").cast("decimal(20,6)")).alias("r")), "customers")
     if "sale_date" in dims:
         m = cells.groupBy("month").agg(F.sum("r").cast("double").alias("r"))
         m = m.withColumn("g", ratio(F.col("r") - F.lag("r").over(Window.orderBy("month")), F.lag("r").over(Window.orderBy("month"))))  # a row per month

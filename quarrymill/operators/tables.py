@@ -75,7 +75,7 @@ def category_discount_map(df: DataFrame) -> DataFrame:
     g = orders.groupBy("category").agg(
         half_even(F.sum("r").cast("double"), 4).alias("total_revenue"), F.sum("q").alias("total_quantity"), F.count_if(has).alias("order_count"), F.count_if(has & (F.col("cut") == 1)).alias("discounted"),
     )
-    counts = d.filter("discount_percent IS NOT NULL").groupBy(F.col("category").alias("name"), F.col("discount_percent").cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    counts = written(d.filter("discount_percent IS NOT NULL").groupBy(F.col("category").alias("name"), F.col("discount_percent").cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n")), "discounts")
     means = counts.groupBy("name").agg(F.try_divide(F.sum(F.col("x").cast("decimal(20,6)") * F.col("n")).cast("double"), F.sum("n")).alias("m"))
     figures = moments(counts).drop("total", "mean").join(means, "name").join(quantiles(counts, (0.5,)).drop("total"), "name").select(
         F.col("name").alias("category"), half_even(F.col("m"), 4).alias("avg_discount"), half_even(F.col("q")[0], 4).alias("median_discount"), half_even(F.col("std"), 4).alias("discount_std"),
