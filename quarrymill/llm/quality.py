@@ -71,13 +71,17 @@ def base_columns(docs: DataFrame) -> DataFrame:
     return d.withColumn("base_failed", failed)
 
 
-def references(base: DataFrame) -> DataFrame:
+def references(base: DataFrame, scratch: Scratch) -> DataFrame:
     """Of base_columns. A row per language: lang, ref_chars (shares by CLASSES), ref_words (the common words), ref_shares
     (theirs)."""
     d = base.filter("lang is not null")
     sums = d.groupBy("lang").agg(F.sum("n_chars").alias("n"), F.sum("n_words").alias("words"), *(F.sum(c).alias(c) for c in CLASSES))
     words = d.select("lang", F.explode("lw").alias("word"))
-    common = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c")).join(sums.select("lang", "words"), "lang").filter(F.col("c") >= COMMON_SHARE * F.col("words"))
+    path = scratch.write(sums, "sums")
+    sums = scratch.spark.read.parquet(path)
+    # most words may be of one language: its row goes to them, not they to it
+    n = sums.select("lang", "words")
+    common = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(n) if scratch.small(path) else n, "lang").filter(F.col("c") >= COMMON_SHARE * F.col("words"))
     top = common.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("c")).alias("c"), "word"))), 1, COMMON_WORDS).alias("top"))
     return sums.join(top, "lang", "left").select(
         "lang", F.array(*(F.col(c) / F.col("n") for c in CLASSES)).alias("ref_chars"),
@@ -103,14 +107,15 @@ def quality(docs: DataFrame, max_char: float = MAX_CHAR_DISTANCE, max_word: floa
     require(docs, "doc_id", "text", "lang")
     scratch = Scratch(docs.sparkSession, "quality")
     base = scratch.table(base_columns(docs), "base", "zstd")  # texts are gone over once
-    path = scratch.write(references(base), "references")
+    path = scratch.write(references(base, scratch), "references")
     refs = docs.sparkSession.read.parquet(path)
     # a language's row has some 2 KB, and files are few; beyond a checked size it is a shuffled join
     refs = F.broadcast(refs) if scratch.small(path) else refs.hint("merge")
     d = base.join(refs, "lang", "left")
     d = d.withColumn("own", F.array(*(F.col(c) / F.greatest("n_chars", F.lit(1)) for c in CLASSES)))
-    d = d.withColumn("common", F.expr("filter(lw, x -> array_contains(ref_words, x))")).drop("lw")
-    d = d.withColumn("shares", F.expr("transform(ref_words, r -> (size(common) - size(array_remove(common, r))) / greatest(n_words, 1))")).drop("common")
+    # common words by their number, so that counting goes over numbers
+    d = d.withColumn("common", F.expr("array_remove(transform(lw, x -> array_position(ref_words, x)), 0L)")).drop("lw")
+    d = d.withColumn("shares", F.expr("transform(ref_words, (r, i) -> (size(common) - size(array_remove(common, bigint(i + 1)))) / greatest(n_words, 1))")).drop("common")
     rest = lambda c: F.concat(F.col(c), F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(c, F.lit(0.0), lambda s, x: s + x))))
     d = d.withColumns({"p": rest("shares"), "q": rest("ref_shares")})
     d = d.withColumns({"char_distance": F.round(js_distance("own", "ref_chars"), 6), "word_distance": F.round(js_distance("p", "q"), 6)})
