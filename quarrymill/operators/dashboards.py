@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cleaning import with_revenue
-from ..functions.numeric import dsum, half_even, ratio
+from ..functions.numeric import davg, dsum, half_even, ratio
 from .tables import dsum_over
 
 # Fixed value: the reason of an anomaly that has none.
@@ -13,10 +13,10 @@ DEFAULT_REASON = "Statistical outlier detected by ETL pipeline"
 ANOMALY_COLUMNS = ("order_id", "product_name", "revenue", "quantity", "unit_price", "anomaly_score", "anomaly_type")
 
 
-def dashboard_regions(df: DataFrame) -> DataFrame:
-    """The region table without rounding; the best category by revenue, ties by name."""
+def dashboard_regions(df: DataFrame, with_discount: bool = False) -> DataFrame:
+    """The region table without rounding; the best category by revenue, ties by name; the mean discount, if asked for."""
     d = with_revenue(df).filter("region IS NOT NULL")
-    g = d.groupBy("region").agg(dsum("revenue").alias("total_revenue"), F.count_distinct("order_id").alias("unique_orders"), F.sum("quantity").alias("total_quantity"))
+    g = d.groupBy("region").agg(dsum("revenue").alias("total_revenue"), F.count_distinct("order_id").alias("unique_orders"), F.sum("quantity").alias("total_quantity"), *[davg("discount_percent").alias("avg_discount")] * with_discount)
     by = d.filter("category IS NOT NULL").groupBy("region", "category").agg(dsum("revenue").alias("r"))
     top = by.groupBy("region").agg(F.min_by("category", F.struct(-F.col("r"), "category")).alias("top_category"))
     g = g.join(top, "region", "left").withColumn("avg_order_value", ratio(F.col("total_revenue"), F.col("unique_orders")))

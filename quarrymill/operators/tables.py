@@ -106,6 +106,17 @@ def dashboard_products(df: DataFrame, n: int = 20) -> DataFrame:
     return best.withColumns({"revenue_rank": by("total_revenue"), "units_rank": by("total_units")})
 
 
+def all_products_ranked(df: DataFrame, n: int = 50) -> DataFrame:
+    """The first n by revenue; units_rank is among all products, ties by name."""
+    p = written(_products(df), "products")
+    best = p.orderBy(F.col("total_revenue").desc(), "product_name").limit(n)
+    own = F.broadcast(best.select(F.col("product_name").alias("_name"), F.col("total_units").alias("_units")))  # n rows
+    ahead = (F.col("total_units") > F.col("_units")) | ((F.col("total_units") == F.col("_units")) & (F.col("product_name") < F.col("_name")))
+    before = p.select("product_name", "total_units").join(own, ahead).groupBy(F.col("_name").alias("product_name")).agg(F.count(F.lit(1)).alias("_before"))
+    rank = F.row_number().over(Window.orderBy(F.col("total_revenue").desc(), "product_name"))  # over n rows
+    return best.join(F.broadcast(before), "product_name", "left").withColumns({"revenue_rank": rank, "units_rank": (F.coalesce("_before", F.lit(0)) + 1).cast("int")}).drop("_before")
+
+
 def dashboard_discounts(df: DataFrame) -> DataFrame:
     g = with_revenue(df).filter("category IS NOT NULL").groupBy("category").agg(
         davg("discount_percent").alias("avg_discount"), F.count_if(F.col("discount_percent") > 0).alias("discount_count"), dsum("revenue").alias("total_revenue"),

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import cleaning
 from ..functions.numeric import half_even
 from ..operators import anomalies, dashboards, field_rules, operations, tables, validation
-from .queries import _STATS, DIRTY_DISCOUNT, DIRTY_QUANTITY, MONTHLY, SALES, _a, _r, _s, _t, sales
+from .queries import _STATS, DIRTY_DISCOUNT, DIRTY_QUANTITY, MONTHLY, PRODUCTS, SALES, _a, _r, _s, _t, sales
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +172,48 @@ _query("ops24_profile", lambda s: operations.profile(s).withColumns({c: F.date_f
 _query("ops24_value_counts", lambda s: operations.value_counts(s, "category", "region"), "SELECT 'category' AS field, category AS value, count(*) AS n FROM sales GROUP BY 2 UNION ALL SELECT 'region', region, count(*) FROM sales GROUP BY 2")
 _query("ops24_null_counts", lambda s: operations.null_counts(s.select("order_id", "customer_email")), "SELECT 'order_id' AS field, count(*) FILTER (order_id IS NULL) AS nulls FROM sales UNION ALL SELECT 'customer_email', count(*) FILTER (customer_email IS NULL) FROM sales")
 
+
+# Variants of the tables, reasons of anomalies, and the cleaning of the other fields
+_query("alt2_all_products_ranked", tables.all_products_ranked, f""", p AS ({PRODUCTS}), r AS (SELECT *, row_number() OVER (ORDER BY total_revenue DESC, product_name)::INT AS revenue_rank, row_number() OVER (ORDER BY total_units DESC, product_name)::INT AS units_rank FROM p)
+    SELECT * FROM r WHERE revenue_rank <= 50""")
+_query("alt3_regions_with_discount", lambda s: _rounded(dashboards.dashboard_regions(s, with_discount=True), "total_revenue", "avg_order_value", "market_share_pct", "avg_discount"),
+       f", {REGIONS} SELECT regions.*, avg_discount FROM regions JOIN (SELECT region, {_r(_a('discount_percent'), 4)} AS avg_discount FROM sales GROUP BY 1) USING (region)")
+
+
+def _reason_sql(m: str, c: str) -> str:
+    lo, hi = f"{m}_a - 1.5 * ({m}_b - {m}_a)", f"{m}_b + 1.5 * ({m}_b - {m}_a)"
+    far, above, below = f"abs({c} - {m}_m) / {m}_s > 3", f"{c} > {hi}", f"{c} < {lo}"
+    iqr = above if m == "quantity" else f"({above} OR {below})"
+    one = f"WHEN {above} THEN 'Unusually High Discount' WHEN {below} THEN 'Unusually Low Discount'" if m == "discount" else f"WHEN {iqr} THEN 'IQR Outlier'"
+    reason = f"CASE WHEN {far} AND {iqr} THEN 'Z-score + IQR Outlier' {one} WHEN {far} THEN 'High Z-score' ELSE 'Normal' END"
+    return f"SELECT '{m}_anomaly_reason' AS field, {reason} AS value, count(*) AS n FROM sales, t GROUP BY 2"
+
+
+_query("ano_reasons", lambda s: operations.value_counts(anomalies.detect(s), *(f"{m}_anomaly_reason" for m in anomalies.MEASURES)),
+       f", t AS (SELECT {_STATS} FROM sales) {' UNION ALL '.join(_reason_sql(m, c) for m, c in anomalies.MEASURES.items())}")
+
+# Raw spellings by part key with what cleaning makes of them.
+RAW_PRODUCTS = [("apple iphone 13", "Apple Iphone 13"), ("  extra   spaces  ", "Extra Spaces"), ("product@#$%with&*special()chars", "Productwith&special()chars"), ("", "Unknown Product"), (None, "Unknown Product"), ("product with and in the name", "Product w/ & in the Name"), ("a", "A")]
+RAW_CATEGORIES = [("electronics", "Electronics"), ("FASHION", "Fashion"), ("home goods", "Home Goods"), ("elec", "Electronics"), ("unknown_category", "Unknown Category"), ("", "Other"), (None, "Other")]
+RAW_PRICES = [("10.99", 10.99), ("0", 0.01), ("-5.50", 0.01), ("abc", 0.01), ("", 0.01), (None, 0.01), ("$15.99", 15.99), ("2000000", 1e6)]
+RAW_EMAILS = [("user@example.com", "user@example.com"), ("INVALID.EMAIL", None), ("test@domain.co.uk", "test@domain.co.uk"), ("", None), (None, None), ("user@", None), ("@domain.com", None)]
+
+
+def _pick(values: list, step: int) -> str:
+    """SQL: one of the values by part key, in turns of step rows."""
+    said = lambda v: "NULL" if v is None else repr(v) if isinstance(v, float) else "'" + v + "'"
+    return f"CASE (p_partkey // {step}) % {len(values)} " + " ".join(f"WHEN {i} THEN {said(v)}" for i, v in enumerate(values)) + " END"
+
+
+_FIELDS = {"product_name": (RAW_PRODUCTS, 1), "category": (RAW_CATEGORIES, 2), "unit_price": (RAW_PRICES, 3), "customer_email": (RAW_EMAILS, 5)}
+
+
+def _clean_fields(spark: SparkSession, d: str) -> DataFrame:
+    raw = _t(spark, d, "part").selectExpr("p_partkey", *(f"{_pick([a for a, _ in v], n).replace('//', 'div')} AS {c}" for c, (v, n) in _FIELDS.items()), f"{DIRTY_QUANTITY} AS quantity", f"{DIRTY_DISCOUNT} AS discount_percent")
+    return cleaning.with_revenue(cleaning.clean(raw)).withColumn("revenue", half_even(F.col("revenue"), 4)).drop("quantity", "discount_percent")
+
+
+QUERIES["cln_fields"] = _clean_fields
+ORACLES["cln_fields"] = f"""WITH c AS (SELECT p_partkey, {', '.join(f"{_pick([b for _, b in v], n)}{'::DOUBLE' * (c == 'unit_price')} AS {c}" for c, (v, n) in _FIELDS.items())},
+    CASE p_partkey % 9 WHEN 0 THEN 20 WHEN 5 THEN 10 WHEN 6 THEN 10000 WHEN 8 THEN 7 ELSE 1 END AS q, CASE p_partkey % 8 WHEN 0 THEN 0.25 WHEN 5 THEN 1.0 WHEN 6 THEN 0.15 WHEN 7 THEN 0.5 ELSE 0.0 END::DOUBLE AS cut FROM part)
+    SELECT * EXCLUDE (q, cut), {_r('q * unit_price * (1 - cut)', 4)} AS revenue FROM c"""

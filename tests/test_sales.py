@@ -41,3 +41,52 @@ def test_export_round_trip(spark, tmp_path):
     out = files.export(df, str(tmp_path), "t")
     assert files.consistent(df, spark.read.parquet(out["parquet"]))
     assert spark.read.csv(out["csv"], header=True).count() == 3
+
+
+def test_quantiles(spark):
+    """Against numpy, with long tails, negatives, ties, one value, and values that don't count."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from quarrymill.functions import quantiles as q
+
+    rng = np.random.default_rng(5)
+    sets = {"a": rng.lognormal(0, 4, 500), "b": rng.integers(-3, 3, 400).astype(float), "c": np.array([7.5]), "d": -rng.lognormal(3, 2, 301)}
+    rows = [(k, float(v)) for k, x in sets.items() for v in x] + [("a", None), ("b", float("nan"))]
+    df = spark.createDataFrame(rows, "k string, v double")
+    counts = q.value_counts(df, **{k: F.when(F.col("k") == k, F.col("v")) for k in sets})
+    at = (0.0, 0.05, 0.25, 0.5, 0.77, 0.99, 1.0)
+    got = {r.name: r for r in q.quantiles(counts, at).collect()}
+    spread = {r.name: r for r in q.moments(counts).collect()}
+    top = {r.name: r.top for r in q.top_sum(counts, lambda n: F.floor(n * 0.1)).collect()}
+    for k, x in sets.items():
+        assert got[k].total == len(x) and np.allclose(got[k].q, np.quantile(x, at), rtol=1e-12)
+        assert np.isclose(spread[k].mean, x.mean()) and (len(x) < 2 or np.isclose(spread[k].std, x.std(ddof=1))) and (spread[k].std is None) == (len(x) < 2)
+        assert np.isclose(top[k], np.sort(x)[::-1][: len(x) // 10].sum(), rtol=1e-6, atol=1e-4)
+    assert not q.quantiles(counts.limit(0), at).collect()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quarrymill.__main__ import main
+
+    path = tmp_path / "sales.csv"
+    path.write_text("order_id,product_name,category,quantity,unit_price,discount_percent,region,sale_date,customer_email\n" + "".join(f"o{i},lamp,home goods,{i % 4 + 1},10,0.1,north,2024-01-0{i % 9 + 1},a{i}@b.co\n" for i in range(30)))
+    dry = main(["--input", str(path), "--output", str(tmp_path / "out"), "--dry-run"], spark)
+    assert dry["input"] == {str(path): "ok"} and "exports" not in dry and not (tmp_path / "out").exists()
+    done = main(["--input", str(path), "--output", str(tmp_path / "out"), "--skip-stages", "tables"], spark)
+    assert list(done["exports"]) == ["sales"] and done["validation"]["status"] in ("passed", "warning", "error", "critical")
+    assert spark.read.parquet(done["exports"]["sales"]["parquet"]).count() == 30
+    assert main(["--input", str(tmp_path / "none.csv")], spark)["input"][str(tmp_path / "none.csv")] != "ok"
+
+
+def test_monthly_stream(spark, tmp_path):
+    from quarrymill.streaming.monthly import monthly_stream
+
+    (tmp_path / "in").mkdir()
+    for n in (1, 2):
+        (tmp_path / "in" / f"{n}.csv").write_text("order_id,product_name,category,quantity,unit_price,discount_percent,region,sale_date,customer_email\n" + f"o{n},lamp,home goods,{n},10,0.5,north,2024-0{n}-03,a@b.co\n" + f"p{n},lamp,home goods,1,10,0,north,2024-01-05,a@b.co\n")
+    q = monthly_stream(spark, str(tmp_path / "in")).writeStream.outputMode("complete").format("memory").queryName("months").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {r.month: (r.total_revenue, r.transaction_count, r.total_quantity, r.avg_discount) for r in spark.table("months").collect()}
+    assert got == {"2024-01": (25.0, 3, 3, 0.17), "2024-02": (10.0, 1, 2, 0.5)}
