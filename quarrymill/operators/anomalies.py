@@ -80,10 +80,11 @@ def report(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total_records"), F.count_if(any_flag).alias("total_anomalies"), *(F.count_if(f).alias(n) for n, f in flags.items()))
 
 
-def thresholds(df: DataFrame, column: str, sensitivity: Sensitivity = PRESETS["medium"]) -> DataFrame:
-    """(method, lower, upper) of a column; null and infinite values don't count."""
-    x = F.col(column).cast("double")
-    counts = written(value_counts(df.filter(F.abs(x) < float("inf")), x=x), "counts")
+def thresholds_of(df: DataFrame, columns, sensitivity: Sensitivity = PRESETS["medium"]) -> DataFrame:
+    """(name, method, lower, upper) of numeric columns, counted in one pass; null and infinite values don't count. A
+    column without values has no rows."""
+    finite = {c: F.when(F.abs(F.col(c).cast("double")) < float("inf"), F.col(c).cast("double")) for c in columns}
+    counts = written(value_counts(df, **finite), "counts")
     p = sensitivity.percentile
     q = quantiles(counts, (0.25, 0.5, 0.75, (1 - p) / 2, p + (1 - p) / 2)).select("name", "q")
     s = moments(counts).join(q, "name").select("name", F.col("mean").alias("m"), F.col("std").alias("sd"), "q")
@@ -92,8 +93,13 @@ def thresholds(df: DataFrame, column: str, sensitivity: Sensitivity = PRESETS["m
     q, sd, k = F.col("q"), F.coalesce("sd", F.lit(0.0)), sensitivity.iqr
     wide = 3.5 * 1.4826 * F.col("mad")
     rows = [("zscore", F.col("m") - sensitivity.z * sd, F.col("m") + sensitivity.z * sd), ("iqr", q[0] - k * (q[2] - q[0]), q[2] + k * (q[2] - q[0])), ("percentile", q[3], q[4]), ("modified_zscore", q[1] - wide, q[1] + wide)]
-    out = s.join(mad, "name").select("mad", F.explode(F.array(*(F.struct(F.lit(n).alias("method"), a.alias("lower"), b.alias("upper")) for n, a, b in rows))).alias("r"))
-    return out.filter((F.col("r.method") != "modified_zscore") | (F.col("mad") > 0)).select("r.*")
+    out = s.join(mad, "name").select("name", "mad", F.explode(F.array(*(F.struct(F.lit(n).alias("method"), a.alias("lower"), b.alias("upper")) for n, a, b in rows))).alias("r"))
+    return out.filter((F.col("r.method") != "modified_zscore") | (F.col("mad") > 0)).select("name", "r.*")
+
+
+def thresholds(df: DataFrame, column: str, sensitivity: Sensitivity = PRESETS["medium"]) -> DataFrame:
+    """(method, lower, upper) of a column."""
+    return thresholds_of(df, (column,), sensitivity).drop("name")
 
 
 def fraud(df: DataFrame, sensitivity: Sensitivity = PRESETS["medium"]) -> DataFrame:

@@ -91,3 +91,8 @@ def problem_fields(results: DataFrame, n: int = 1) -> DataFrame:
 
 def quality_colour(score: Column) -> Column:
     return F.when(score >= 95, "green").when(score >= 85, "orange").otherwise("red")
+
+
+def slowest_rules(timings: DataFrame, n: int = 5) -> DataFrame:
+    """The n slowest of (rule_name, seconds), ties by name, in milliseconds."""
+    return timings.orderBy(F.col("seconds").desc_nulls_last(), "rule_name").limit(n).select("rule_name", half_even(F.col("seconds") * 1000, 4).alias("milliseconds"))

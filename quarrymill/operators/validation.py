@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Fixed values of the default rules.
 CATEGORY_VALUES = ["Electronics", "Fashion", "Home & Garden", "Unknown"]
@@ -16,13 +16,15 @@ THRESHOLDS = {"info": 1.0, "warning": 5.0, "error": 10.0, "critical": 20.0}
 
 @dataclass(frozen=True)
 class Rule:
-    """valid: from the column to a predicate, true where the value is fine; "unique" and "zscore" are built in."""
+    """valid: from the column to a predicate, true where the value is fine; "unique" and "zscore" are built in.
+    kind: what error distributions call the rule."""
 
     name: str
     field: str
     severity: str
     valid: Callable[[Column], Column] | str
     enabled: bool = True
+    kind: str = "custom"
 
 
 def in_range(low, high):
@@ -34,18 +36,26 @@ def one_of(values):
 
 
 DEFAULT_RULES = (
-    Rule("order_id_not_null", "order_id", "critical", lambda c: c.isNotNull()), Rule("order_id_unique", "order_id", "error", "unique"),
-    Rule("product_name_not_null", "product_name", "error", lambda c: c.isNotNull()), Rule("product_name_length", "product_name", "warning", lambda c: c.isNull() | F.length(c).between(1, 200)),
-    Rule("category_enum", "category", "warning", one_of(CATEGORY_VALUES)), Rule("quantity_positive", "quantity", "error", in_range(1, 10000)), Rule("quantity_statistical", "quantity", "warning", "zscore"),
-    Rule("unit_price_positive", "unit_price", "error", in_range(0.01, 100000)), Rule("discount_range", "discount_percent", "error", in_range(0, 1)), Rule("region_enum", "region", "warning", one_of(REGION_VALUES)),
-    Rule("email_format", "customer_email", "warning", lambda c: c.isNull() | c.rlike(EMAIL)),
-    Rule("sale_date_range", "sale_date", "error", lambda c: c.isNull() | c.cast("date").between("2020-01-01", "2030-12-31")), Rule("revenue_calculation", "revenue", "error", lambda c: c.isNull() | F.coalesce(c.try_cast("double") > 0, F.lit(False))),
+    Rule("order_id_not_null", "order_id", "critical", lambda c: c.isNotNull(), kind="not_null"),
+    Rule("order_id_unique", "order_id", "error", "unique", kind="unique"),
+    Rule("product_name_not_null", "product_name", "error", lambda c: c.isNotNull(), kind="not_null"),
+    Rule("product_name_length", "product_name", "warning", lambda c: c.isNull() | F.length(c).between(1, 200), kind="range"),
+    Rule("category_enum", "category", "warning", one_of(CATEGORY_VALUES), kind="enum"),
+    Rule("quantity_positive", "quantity", "error", in_range(1, 10000), kind="range"),
+    Rule("quantity_statistical", "quantity", "warning", "zscore", kind="statistical"),
+    Rule("unit_price_positive", "unit_price", "error", in_range(0.01, 100000), kind="range"),
+    Rule("discount_range", "discount_percent", "error", in_range(0, 1), kind="range"),
+    Rule("region_enum", "region", "warning", one_of(REGION_VALUES), kind="enum"),
+    Rule("email_format", "customer_email", "warning", lambda c: c.isNull() | c.rlike(EMAIL), kind="format"),
+    Rule("sale_date_range", "sale_date", "error", lambda c: c.isNull() | c.cast("date").between("2020-01-01", "2030-12-31"), kind="range"),
+    Rule("revenue_calculation", "revenue", "error", lambda c: c.isNull() | F.coalesce(c.try_cast("double") > 0, F.lit(False)), kind="business_logic"),
 )
 
 
 def validate(df: DataFrame, rules=DEFAULT_RULES, z: float = 3.0) -> DataFrame:
     """A row per rule: rule_name, field, severity, total_records, valid_records, error_rate, passed. Rules that are off
-    or whose field is missing are skipped."""
+    or whose field is missing are skipped. A rule that can't be planned (it raises, or names a column that isn't there)
+    counts every record as invalid; the others aren't touched."""
     used = [r for r in rules if r.enabled and r.field in df.columns]
     scored = [r.field for r in used if r.valid == "zscore"]
     d = df
@@ -62,7 +72,18 @@ def validate(df: DataFrame, rules=DEFAULT_RULES, z: float = 3.0) -> DataFrame:
             return F.count_if(c.isNull() | F.coalesce(s <= 0, F.lit(True)) | (F.abs(c.cast("double") - F.col(f"_m_{r.field}")) / F.when(s > 0, s) <= z))
         return F.count_if(r.valid(c))
 
-    one = d.agg(F.count(F.lit(1)).alias("n"), *(count(r).alias(r.name) for r in used))
+    def guarded(r: Rule) -> Column:
+        try:
+            d.agg(count(r))  # analysed, not run
+            return count(r)
+        except Exception:  # a user's rule may raise anything
+            return F.lit(0).cast("long")
+
+    n = F.count(F.lit(1)).alias("n")
+    try:
+        one = d.agg(n, *(count(r).alias(r.name) for r in used))
+    except Exception:
+        one = d.agg(n, *(guarded(r).alias(r.name) for r in used))
     rows = F.array(*(F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.field).alias("field"), F.lit(r.severity).alias("severity"), F.lit(THRESHOLDS[r.severity]).alias("limit"), F.coalesce(F.col(r.name), F.lit(0)).cast("long").alias("valid_records")) for r in used))
     rate = F.rint(F.try_divide((F.col("n") - F.col("r.valid_records")).cast("double"), F.col("n").cast("double")) * 1e6) / 1e4
     return one.select("n", F.explode(rows).alias("r")).select("r.rule_name", "r.field", "r.severity", F.col("n").alias("total_records"), "r.valid_records", F.coalesce(rate, F.lit(0.0)).alias("error_rate"), (F.coalesce(rate, F.lit(0.0)) <= F.col("r.limit")).alias("passed"))
@@ -91,4 +112,36 @@ def first_failures(df: DataFrame, rule: Rule, n: int = 10) -> DataFrame:
     return df.filter(~rule.valid(F.col(rule.field))).select(F.col(rule.field).alias("value")).distinct().orderBy("value").limit(n)
 
 
-__all__ = ["DEFAULT_RULES", "Rule", "by_field", "duplicate_order_ids", "first_failures", "in_range", "one_of", "status", "validate"]
+def problematic_values(df: DataFrame, rules=DEFAULT_RULES, n: int = 10) -> DataFrame:
+    """(rule_name, value, records, place): by predicate rule, the n most frequent values that fail it; ties by value, null
+    being one. Values are counted before they are ranked, and ranks are cut in each task first."""
+    used = [r for r in rules if r.enabled and r.field in df.columns and not isinstance(r.valid, str)]
+    failed = F.array_compact(F.array(*(F.when(~F.coalesce(r.valid(F.col(r.field)), F.lit(False)), F.struct(F.lit(r.name).alias("rule_name"), F.col(r.field).cast("string").alias("value"))) for r in used)))
+    counts = df.select(F.explode(failed).alias("f")).groupBy("f.rule_name", "f.value").agg(F.count(F.lit(1)).alias("records"))
+    place = F.row_number().over(Window.partitionBy("rule_name").orderBy(F.col("records").desc(), F.col("value").asc_nulls_first()))
+    return counts.withColumn("place", place).filter(F.col("place") <= n)
+
+
+def error_distribution(results: DataFrame, rules=DEFAULT_RULES) -> DataFrame:
+    """(error_type, rules): failed rules by kind and severity, as kind_severity. Unknown rules are custom."""
+    kinds = F.create_map(*(F.lit(x) for r in rules for x in (r.name, r.kind)))
+    kind = F.coalesce(F.try_element_at(kinds, F.col("rule_name")), F.lit("custom"))
+    return results.filter(~F.col("passed")).groupBy(F.concat_ws("_", kind, "severity").alias("error_type")).agg(F.count(F.lit(1)).alias("rules"))
+
+
+def history_summary(history: DataFrame) -> DataFrame:
+    """Of results of many runs, a row for all ("all"), each severity and each field: total, passed, failed, avg_error_rate,
+    success_rate in %. Each mean is of its own group. operations.recent() picks the last hours."""
+    severity, field = F.grouping("severity") == 0, F.grouping("field") == 0
+    g = history.groupingSets([(), ("severity",), ("field",)], "severity", "field")
+    mean = F.try_divide(F.sum(F.col("error_rate").cast("decimal(20,6)")).cast("double"), F.count("error_rate").cast("double"))
+    out = g.agg(
+        F.when(severity, "severity").when(field, "field").otherwise("all").alias("by"), F.coalesce(F.when(severity, F.col("severity")), F.when(field, F.col("field")), F.lit("all")).alias("key"), F.count(F.lit(1)).alias("total"),
+        F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"), (F.rint(mean * 1e4) / 1e4).alias("avg_error_rate"), (F.rint(F.try_divide(F.count_if("passed") * F.lit(100.0), F.count(F.lit(1)).cast("double")) * 1e4) / 1e4).alias("success_rate"),
+    )
+    return out.drop("severity", "field")
+
+
+def recent_failures(history: DataFrame, n: int = 10) -> DataFrame:
+    """The last n failed results by timestamp, ties by rule name."""
+    return history.filter(~F.col("passed")).orderBy(F.col("timestamp").desc(), "rule_name").limit(n)

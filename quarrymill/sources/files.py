@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import csv
+import hashlib
 import json
+import logging
 import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 RAW_COLUMNS = ("order_id", "product_name", "category", "quantity", "unit_price", "discount_percent", "region", "sale_date", "customer_email")
 EXTENSIONS = (".csv", ".tsv", ".txt")
+ENCODINGS = ("utf-8", "cp1252", "latin-1")
+LARGE = 10 << 30  # bytes from which a file gets a warning
+PROBE = 64 << 10  # bytes that are looked at before a file is read
+STAMP = "yyyy-MM-dd HH:mm:ss"
+log = logging.getLogger(__name__)
 
 
 def head(spark: SparkSession, path: str, lines: int = 20) -> list[str]:
@@ -23,17 +30,98 @@ def detect_delimiter(sample: str) -> str:
         return ","
 
 
-def check_file(spark: SparkSession, path: str) -> tuple[bool, str]:
-    """(fine, message), before anything is read in full."""
+def _status(spark: SparkSession, path: str):
+    """Of a path: its file system, its status; None if there is nothing."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return fs, fs.getFileStatus(p) if fs.exists(p) else None
+
+
+def _first_bytes(fs, status, size: int = PROBE) -> bytes:
+    at = fs.open(status.getPath())
+    try:
+        return bytes(at.readNBytes(size))
+    finally:
+        at.close()
+
+
+def detect_encoding(start: bytes, whole: bool = False) -> str:
+    """The first of ENCODINGS that reads the bytes. A character that the end cuts off is no error, unless they are whole."""
+    for name in ENCODINGS:
+        try:
+            start.decode(name)
+        except UnicodeDecodeError as e:
+            if whole or name != "utf-8" or e.start < len(start) - 3 or e.reason != "unexpected end of data":
+                continue
+        return name
+    return ENCODINGS[-1]
+
+
+def inspect(spark: SparkSession, path: str) -> dict:
+    """fine, message, and as far as known: bytes, encoding, delimiter, columns. Looks at the first PROBE bytes alone.
+
+    A folder is not a file; read_sales_csv() takes both. Sizes from LARGE on are only warned of.
+    """
+    out: dict = {"fine": False}
     if not path.lower().endswith(EXTENSIONS):
-        return False, f"unsupported extension: {path}"
+        return out | {"message": f"unsupported extension: {path}"}
     try:
-        first = head(spark, path, 1)
-    except Exception as e:  # a missing path, or one that can't be read
-        return False, f"can't be read: {type(e).__name__}"
+        fs, status = _status(spark, path)
+        if status is None or status.isDirectory():
+            return out | {"message": f"not a file: {path}" if status else f"can't be read: no such file: {path}"}
+        start = _first_bytes(fs, status)
+    except Exception as e:  # a file system that isn't there, or a file that may not be read
+        return out | {"message": f"can't be read: {type(e).__name__}"}
+    out |= {"bytes": status.getLen(), "encoding": detect_encoding(start, status.getLen() <= len(start))}
+    if out["bytes"] >= LARGE:
+        log.warning("%s has %.1f GB", path, out["bytes"] / (1 << 30))
+    text = start.decode(out["encoding"], "replace")
+    first = text.splitlines()[0] if text.strip() else ""
+    if not first.strip():
+        return out | {"message": "no header line"}
+    out["delimiter"] = detect_delimiter(text)
+    out["columns"] = [c.strip() for c in next(csv.reader([first], delimiter=out["delimiter"]))]
+    return out | ({"fine": True, "message": "ok"} if any(out["columns"]) else {"message": "no columns in the header"})
+
+
+def check_file(spark: SparkSession, path: str) -> tuple[bool, str]:
+    """(fine, message), before anything is read in full. A folder is judged by its first line."""
+    _, status = _status(spark, path) if path.lower().endswith(EXTENSIONS) else (None, None)
+    if status is None or not status.isDirectory():
+        found = inspect(spark, path)
+        return found["fine"], found["message"]
+    first = head(spark, path, 1)
     return (True, "ok") if first and first[0].strip() else (False, "no header line")
 
 
+def estimated_rows(spark: SparkSession, path: str, exact_up_to: int = 100 << 20) -> tuple[int, bool]:
+    """(lines without the header, exact): counted for files up to exact_up_to bytes; beyond, bytes by the mean length of
+    the lines in the first PROBE bytes. For progress only: quoted line breaks count as lines."""
+    fs, status = _status(spark, path)
+    if status is None:
+        raise FileNotFoundError(path)
+    size = fs.getContentSummary(status.getPath()).getLength()
+    if size <= exact_up_to or status.isDirectory():
+        return max(spark.read.text(path).count() - 1, 0), True
+    start = _first_bytes(fs, status)
+    return max(size * start.count(b"\n") // len(start) - 1, 0) if b"\n" in start else size // 100, False
+
+
+def ingestion_stats(read: int, dropped: int, seconds: float) -> dict:
+    """Rows a second and success in % of a read; nothing read is no failure."""
+    total = read + dropped
+    return {"rows": read, "dropped": dropped, "seconds": seconds, "rows_per_second": read / seconds if seconds > 0 else 0.0, "success_rate": 100.0 * read / total if total else 100.0}
+
+
+def timed_ingestion(spark: SparkSession, path: str, **options) -> tuple[DataFrame, dict]:
+    """The rows, and ingestion_stats() of counting them once: lines that the reader drops are the rest of the file's."""
+    began = time.monotonic()
+    df = read_sales_csv(spark, path, **options)
+    n = metadata(df)["rows"]  # reads all columns, so that malformed lines show
+    lines, _ = estimated_rows(spark, path)
+    return df, ingestion_stats(n, max(lines - n, 0), time.monotonic() - began)
+
+
 def read_sales_csv(spark: SparkSession, paths: str | list[str], delimiter: str | None = None, encoding: str = "utf-8", with_path: bool = False) -> DataFrame:
     """One lazy scan, all columns as strings, malformed lines dropped. Files of one call share a header."""
     paths = [paths] if isinstance(paths, str) else paths
@@ -46,28 +134,39 @@ def read_sales_csv(spark: SparkSession, paths: str | list[str], delimiter: str |
 
 
 def metadata(df: DataFrame) -> dict:
-    """Rows, columns, types and nulls by column, in one aggregate."""
+    """Rows, columns, types, nulls by column, and a digest of these that doesn't depend on the order of rows; one aggregate."""
     one = df.agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns)).first()
-    return {"rows": one["_n"], "columns": df.columns, "dtypes": dict(df.dtypes), "nulls": {c: one[c] for c in df.columns}}
+    out = {"rows": one[0], "columns": df.columns, "dtypes": dict(df.dtypes), "nulls": dict(zip(df.columns, one[1:], strict=True))}
+    return out | {"digest": hashlib.md5(json.dumps(out, sort_keys=True).encode()).hexdigest()[:8]}
+
 
+def export(df: DataFrame, folder: str, name: str, formats=("csv", "parquet"), stamp: str | None = None, skip_empty: bool = False) -> dict[str, str]:
+    """Writes <folder>/<name>_<stamp>.<format> and a manifest beside each. Unknown formats are warned of and left out.
 
-def export(df: DataFrame, folder: str, name: str, formats=("csv", "parquet"), stamp: str | None = None) -> dict[str, str]:
-    """Writes <folder>/<name>_<stamp>.<format> and a manifest beside each."""
-    stamp = stamp or time.strftime("%Y%m%d_%H%M%S")
-    out = {}
+    df is computed once: what is written first is read back for the other format and for the manifest. stamp "" writes
+    <name>.<format>. skip_empty: a table without rows leaves nothing.
+    """
+    stamp = time.strftime("%Y%m%d_%H%M%S") if stamp is None else stamp
     for kind in formats:
         if kind not in ("csv", "parquet"):
-            raise ValueError(f"unknown format: {kind}")
-        path = f"{folder}/{name}_{stamp}.{kind}"
+            log.warning("unknown format: %s", kind)
+    kinds = [k for k in ("parquet", "csv") if k in formats]
+    if not kinds or (skip_empty and df.isEmpty()):
+        return {}
+    spark, out, facts = df.sparkSession, {}, None
+    for kind in kinds:
+        path = f"{folder}/{name}{'_' * bool(stamp)}{stamp}.{kind}"
         w = df.write.mode("overwrite")
         if kind == "csv":
-            w.csv(path, header=True, timestampFormat="yyyy-MM-dd HH:mm:ss")
+            w.options(header=True, timestampFormat=STAMP, timestampNTZFormat=STAMP).csv(path)
         else:
             w.parquet(path, compression="snappy")
-        manifest = json.dumps(metadata(df) | {"path": path, "created": stamp})
-        df.sparkSession.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.manifest")
+            df = spark.read.schema(df.schema).parquet(path)
+        facts = facts or metadata(df if kind == "parquet" else spark.read.schema(df.schema).options(header=True, timestampFormat=STAMP, timestampNTZFormat=STAMP).csv(path))
+        manifest = json.dumps(facts | {"path": path, "created": stamp})
+        spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.manifest")
         out[kind] = path
-    return out
+    return {k: out[k] for k in formats if k in out}
 
 
 def export_tables(tables: dict[str, DataFrame], folder: str, stamp: str | None = None) -> dict[str, dict[str, str]]:

@@ -12,9 +12,7 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .files import consistent, metadata
-
-STAMP = "yyyy-MM-dd HH:mm:ss"
+from .files import STAMP, consistent, metadata
 
 
 class Folder:
@@ -41,9 +39,9 @@ class Folder:
         finally:
             out.close()
 
-    def read_json(self) -> list[dict]:
-        """All JSON files of the folder."""
-        fs, p = self._at("*.json")
+    def read_json(self, pattern: str = "*.json") -> list[dict]:
+        """The JSON files of the folder that match, all by default."""
+        fs, p = self._at(pattern)
         found = fs.globStatus(p) or []
         if not len(found):
             return []
@@ -100,9 +98,9 @@ class Cache(Folder):
                 total -= e["bytes"]
 
     def get(self, identifier: str, params: dict | None = None) -> DataFrame | None:
-        key, now = self.key(identifier, params), time.time()
-        fresh = [e for e in self.read_json() if e["key"] == key and now - e["created"] <= self.max_age]
-        return self.load(key) if fresh else None
+        key = self.key(identifier, params)
+        entry = self.read_json(f"{key}.json")
+        return self.load(key) if entry and time.time() - entry[0]["created"] <= self.max_age else None
 
 
 class Checkpoints(Versions):
