@@ -146,17 +146,19 @@ def divergence_audit(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP,
     sums = counted(docs, lang_col, source_col, text_col).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     terms = sums.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all_n"), F.collect_list(F.struct("source", "n")).alias("postings")).filter(F.col("docs") >= min_docs)  # a posting for a source
     terms = scratch.table(terms.drop("docs"), "terms")
-    langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("all_n").alias("lang_n"))
     totals = terms.select("lang", F.explode("postings").alias("o")).groupBy("lang", "o.source").agg(F.sum("o.n").alias("group_n"))
-    by = Window.partitionBy("lang")  # a row for a group
     groups = docs.select(_text(lang_col).alias("lang"), _text(source_col).alias("source")).distinct()
+    by = Window.partitionBy("lang")  # a row for a group
     groups = groups.withColumns({"gid": F.row_number().over(by.orderBy("source")).cast("long") - 1, "groups": F.count(F.lit(1)).over(by)})
-    groups = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["group_n", "v", "lang_n"])
+    # what holds for a language goes to its groups, not to its terms: of terms, each language has any number
+    many = (F.col("has") > light) | (2 * F.col("has") > F.col("groups"))
+    langs = terms.groupBy("lang", F.size("postings").alias("has")).agg(F.count(F.lit(1)).alias("k"), F.sum("all_n").alias("s")).join(groups.select("lang", "groups").distinct(), "lang")
+    langs = langs.groupBy("lang").agg(F.sum("k").alias("v"), F.sum("s").alias("lang_n"), F.sum(F.when(many, F.col("k")).otherwise(0)).alias("heavy_v"))
+    groups = groups.join(totals, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["group_n", "v", "lang_n", "heavy_v"])
     groups = scratch.table(groups.withColumn("p0", _scaled(F.lit(0), F.col("group_n"), F.col("v"))), "groups")
     own = terms.select("lang", "term", "all_n", F.size("postings").alias("has"), F.explode("postings").alias("o")).select("lang", "term", "all_n", "has", "o.source", "o.n").join(groups, ["lang", "source"])
     p, q = _scaled(F.col("n"), F.col("group_n"), F.col("v")), _scaled(F.col("all_n"), F.col("lang_n"), F.col("v"))
-    many = (F.col("has") > light) | (2 * F.col("has") > F.col("groups"))
-    own = scratch.table(own.select("lang", "source", "gid", "groups", "term", p.alias("p"), q.alias("q"), "p0", many.alias("heavy")), "cells")
+    own = scratch.table(own.select("lang", "source", "gid", "groups", "heavy_v", "term", p.alias("p"), q.alias("q"), "p0", many.alias("heavy")), "cells")
 
     ranks = lambda: F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item"))
     most = own.filter("p > q").select("lang", "source", F.col("term").cast("string").alias("item"), _f(F.col("p"), F.col("q")).alias("value")).withColumn("rank", ranks()).filter(F.col("rank") <= top)
@@ -173,8 +175,7 @@ def _pair_sums(own: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, a, b, value) of all pairs a < b of a language's groups."""
     heavy, light = own.filter("heavy"), own.filter("NOT heavy")
     # light terms as if no group had them, and each group's terms against a group without them
-    kept = light.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("times"))
-    none = groups.join(kept, "lang", "left").select("lang", "gid", "p0", F.col("p0").alias("p"), F.coalesce("times", F.lit(0)).alias("times"), F.lit(True).alias("base"))
+    none = groups.select("lang", "gid", "p0", F.col("p0").alias("p"), (F.col("v") - F.col("heavy_v")).alias("times"), F.lit(True).alias("base"))
     some = light.groupBy("lang", "gid", "p0", "p").agg(F.count(F.lit(1)).alias("times")).select("lang", "gid", "p0", "p", "times", F.lit(False).alias("base"))
     dealt = none.unionByName(some).withColumn("part", F.pmod(F.col("gid"), F.lit(PARTS)))
     others = groups.select("lang", F.col("gid").alias("other"), F.col("p0").alias("q0"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long"))).alias("part"))
@@ -185,9 +186,9 @@ def _pair_sums(own: DataFrame, groups: DataFrame) -> DataFrame:
     lists = light.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("gid", "p", "p0"))).alias("postings"))  # as short as light says
     second = lists.select("lang", "postings").mapInArrow(_pairs, "lang string, a long, b long, v long")
     # dense tiles: the number of tiles follows a language's heavy terms
-    tiles = heavy.select("lang", "term").distinct().groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE_TERMS)).alias("tiles"))
-    cells = heavy.join(tiles, "lang").select("lang", F.pmod(F.xxhash64("term"), "tiles").alias("tile"), "gid", "groups", "term", "p")
-    absent = groups.join(tiles, "lang").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("tile"), "gid", "groups", F.lit(None).cast("binary").alias("term"), F.col("p0").alias("p"))
+    tiles = F.ceil(F.col("heavy_v") / F.lit(TILE_TERMS)).cast("long")
+    cells = heavy.select("lang", F.pmod(F.xxhash64("term"), tiles).alias("tile"), "gid", "groups", "term", "p")
+    absent = groups.filter("heavy_v > 0").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)).alias("tile"), "gid", "groups", F.lit(None).cast("binary").alias("term"), F.col("p0").alias("p"))
     block = F.expr(f"gid div {TILE_GROUPS}")
     blocks = cells.unionByName(absent).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(groups - 1) div {TILE_GROUPS}"))))
     blocks = blocks.select("lang", "tile", F.least(block, "other").alias("x"), F.greatest(block, "other").alias("y"), "gid", "term", "p")
