@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of one Arrow batch sent to a Python worker; a single longer row still travels alone.
 ARROW_BATCH_BYTES = 8 << 20
@@ -78,6 +78,21 @@ def bound_arrow(spark: SparkSession, limit: int = ARROW_BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns as a struct, whatever their names; own() takes them out again."""
+    return F.struct(*(named(c).alias(c) for c in df.columns))
+
+
+def own(row: str, names: list[str]) -> list[Column]:
+    """The columns that whole_row() has put under the name ``row``."""
+    return [F.col(row)[c].alias(c) for c in names]
+
+
 def require(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

@@ -13,9 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import bound_arrow, require
+from .common import bound_arrow, named, require
 
 DIMS = 8192
 #: Bound of the labelled sample from which centroids are clustered, over all languages.
@@ -117,8 +117,9 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS, k: int = CENTROIDS) -> Model:
     """train: labelled rows; rows without text, letters or language don't count.
 
-    The sample takes about sample_docs / languages documents of each language (one at least), by a hash of key_col; it
-    reaches the driver as sparse counts (at most DIMS each). Every language is learned; more than MAX_LANGUAGES raise.
+    The sample takes sample_docs / languages documents of each language (one at least), or all if it has fewer: those
+    with the lowest hashes of key_col, ties by their texts. It is cut in Spark, so no more rows reach the driver, however
+    many share a key; as sparse counts, at most DIMS each. Every language is learned; more than MAX_LANGUAGES raise.
     """
     bound_arrow(train.sparkSession)
     train = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(key_col).cast("string")), F.lit(1 << 40)).alias("u")).filter("text is not null and lang is not null and text rlike '\\\\p{L}'")
@@ -132,7 +133,9 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", key_co
         return Model((), np.zeros((0, DIMS), np.float32), idf)
     share = max(1, sample_docs // len(by))
     want = F.create_map(*(F.lit(x) for lang, (size, low) in sorted(by.items()) for x in (lang, max(low + 1, int((1 << 40) * min(1.0, 1.5 * share / size))))))
-    picked = train.filter(F.col("u") < want[F.col("lang")]).select("u", "lang", "text").mapInArrow(_sparse, "u long, lang string, at array<int>, tf array<int>").toArrow()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("u", F.xxhash64("text"), "text"))  # of the few that are left
+    few = train.filter(F.col("u") < want[F.col("lang")]).withColumn("place", place).filter(F.col("place") <= share)
+    picked = few.select("u", "lang", "text").mapInArrow(_sparse, "u long, lang string, at array<int>, tf array<int>").toArrow()
     rows: dict[str, list] = {}
     for i, (u, lang) in enumerate(zip(picked["u"].to_pylist(), picked["lang"].to_pylist(), strict=True)):
         rows.setdefault(lang, []).append((u, i))
@@ -158,7 +161,7 @@ def _judged(docs: DataFrame, model: Model, columns: list[str], text_col: str, mi
     bound_arrow(spark)
     shared = spark.sparkContext.broadcast(model)  # DIMS * 4 bytes for each of MAX_LANGUAGES centroids at most
     bound = model.bound if min_cosine is None else min_cosine
-    own = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)), F.col(text_col).alias("text"))
+    own = docs.select(*(named(c).alias(f"c{i}") for i, c in enumerate(columns)), F.col(text_col).alias("text"))
     names = [*own.columns[:-1], "lang_pred", "score", "rejected"]
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in own.schema.fields[:-1]) + "lang_pred string, score double, rejected boolean"
 

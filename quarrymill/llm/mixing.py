@@ -13,7 +13,7 @@ import warnings
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, require
+from .common import Scratch, own, require, whole_row
 
 DIMS = ("source", "lang", "topic")
 #: Share of all tokens to keep.
@@ -106,8 +106,8 @@ def rake(cells: DataFrame, scratch: Scratch, rate: float = RATE, temper: float =
             break
     worst = None
     for dim in DIMS:
-        own = now.groupBy(dim, f"t_{dim}").agg(F.sum(weight).alias("s")).agg(F.max(off(dim)).alias(dim))
-        worst = own if worst is None else worst.crossJoin(own)  # one row each
+        part = now.groupBy(dim, f"t_{dim}").agg(F.sum(weight).alias("s")).agg(F.max(off(dim)).alias(dim))
+        worst = part if worst is None else worst.crossJoin(part)  # one row each
     share = F.when(tokens > 0, weight / tokens).otherwise(F.lit(0.0))
     residual = worst.select(F.round(F.greatest(*DIMS), 6).alias("residual"))
     return now.select(*DIMS, "tokens", weight.alias("weight"), F.round(share, 9).alias("probability")).crossJoin(F.broadcast(residual))  # one row
@@ -136,14 +136,14 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The kept rows of docs with their own columns, whatever their names; warns if a target is missed by UNMET."""
     require(docs, "doc_id", "text", "source", "lang")
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), *described(docs))
+    rows = docs.select(whole_row(docs).alias("row"), *described(docs))
     cells = rake(scratch.table(_cells(rows.drop("row")), "counted"), scratch, **options)
     path = scratch.write(cells.select(*DIMS, "probability", "residual"), "probabilities")
     cells = scratch.spark.read.parquet(path)
     if (miss := cells.agg(F.max("residual")).first()[0] or 0.0) > UNMET:
         warnings.warn(f"a marginal misses its target by {miss:.1%}", stacklevel=2)
     # cells are few and only checked sizes are broadcast; else texts are shuffled to their cells
-    return rows.join(F.broadcast(cells) if scratch.small(path) else cells, [*DIMS]).filter("u < probability").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    return rows.join(F.broadcast(cells) if scratch.small(path) else cells, [*DIMS]).filter("u < probability").select(*own("row", docs.columns))
 
 
 def oracle(rate: float = RATE, temper: float = TEMPER) -> str:

@@ -187,6 +187,16 @@ def test_langid_learns_every_language(spark, monkeypatch):
         langid.fit(table(spark, rows))
 
 
+def test_langid_sample_is_bounded(spark, monkeypatch):
+    """Rows that share an id are cut to the sample in Spark."""
+    taken, sparse = [], langid.cluster
+    monkeypatch.setattr(langid, "cluster", lambda v, k: taken.append(len(v)) or sparse(v, k))
+    words = "ba be bi bo bu kro kra kri stru".split()
+    df = spark.range(3000).select(F.lit(7).alias("doc_id"), F.concat_ws(" ", *(F.element_at(F.array(*map(F.lit, words)), (F.pmod(F.hash("id", F.lit(i)), F.lit(9)) + 1).cast("int")) for i in range(6))).alias("text"), F.when(F.col("id") % 2 == 0, "xx").otherwise("yy").alias("lang"))
+    model = langid.fit(df, sample_docs=100)
+    assert set(model.langs) == {"xx", "yy"} and all(0 < n <= 50 for n in taken)
+
+
 @pytest.mark.parametrize("text", [r[1] for r in ROWS[:12]])
 def test_counts_handle(text):
     assert langid.counts(text or "").min() >= 0

@@ -72,6 +72,20 @@ def test_names_clash(spark):
     assert pipeline.STAGES[4][1](spark, docs, "").count() == 15
 
 
+def test_dots_backticks_and_maps(spark):
+    rows = [(i, prose(i, 80), "en", "s", 5, {"k": i}, 1, "q", [{"a": 1}]) for i in range(12)] + [(3, prose(3, 80), "en", "s", 5, {"k": 0}, 2, "p", None), (20, prose(2, 80).upper(), "en", "s", 5, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `a map` map<string,int>, `a.b` int, `c``d` string, maps array<map<string,int>>").cache()
+    sizes = []
+    for _, stage in pipeline.STAGES[:4]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns
+        back = got.collect()
+        assert all(r in docs.collect() for r in back)
+        sizes.append(len(back))
+    assert sizes[:3] == [14, 13, 13]
+    assert pipeline.STAGES[4][1](spark, docs, "").count() == 14
+
+
 def test_empty_table(spark):
     docs = table(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in pipeline.STAGES:
