@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quarrymill.llm import bpe, exact_dedup, langid, mixing, simhash
-from quarrymill.llm.common import Scratch
+from quarrymill.llm.common import Scratch, own, whole_row
 
 
 #: With its id, a row's key: a null id or one that repeats doesn't name a row.
@@ -19,15 +19,10 @@ SHA = "unhex(sha2(text, 256))"
 
 def _kept(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(id, sha, row) of docs whose doc_id and SHA, nulls too, are a row's kept_id and kept_sha."""
-    rows = docs.select(F.col("doc_id").alias("id"), F.expr(SHA).alias("sha"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.col("doc_id").alias("id"), F.expr(SHA).alias("sha"), whole_row(docs).alias("row"))
     return rows.join(keys, F.col("id").eqNullSafe(F.col("kept_id")) & F.col("sha").eqNullSafe(F.col("kept_sha")), "left_semi")
 
 
-def _own(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """The columns of docs out of row, whatever their names."""
-    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
-
-
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what language ID rejects. Decisions are made beside the whole row, so nothing is joined: ids may be null or
     repeat, and each row is judged by its own text. No rows, or none with a language, give none."""
@@ -35,11 +30,13 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Exactly the rows that exact dedup keeps. Of rows with one id and one text it keeps one: the least by its other columns."""
+    """Exactly the rows that exact dedup keeps. Of rows with one id and one text it keeps one: the least by its other columns
+    as JSON, which orders any type, maps too."""
     rows = docs.select(F.struct(F.col("doc_id").alias("id"), F.expr(SHA).alias("sha")).alias("key"), "text")
     keys = exact_dedup.exact_dedup(rows, "key").filter("kept").select(F.col("key.id").alias("kept_id"), F.col("key.sha").alias("kept_sha"))
-    rest = F.struct(*(F.col("row")[c] for c in docs.columns if c not in ("doc_id", "text")), F.lit(0))
-    return _own(_kept(docs, keys).groupBy("id", "sha").agg(F.min_by("row", rest).alias("row")), docs)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = _kept(docs, keys).withColumn("rest", F.to_json(F.struct(*(F.col("row")[c].alias(f"c{i}") for i, c in enumerate(others)))) if others else F.lit(""))
+    return rows.groupBy("id", "sha").agg(F.min_by("row", "rest").alias("row")).select(*own("row", docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +44,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeat as a whole stay as often as they are; exact dedup, which comes before, leaves none."""
     rows = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.expr(SHA).alias("sha")).alias("key"), "text")
     keys = simhash.near_dedup(rows, "key").filter(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key.id").alias("kept_id"), F.col("key.sha").alias("kept_sha"))
-    return _own(_kept(docs, keys), docs)
+    return _kept(docs, keys).select(*own("row", docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
