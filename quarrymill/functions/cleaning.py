@@ -24,6 +24,7 @@ REGIONS = {
     "Northwest": ["northwest", "north west", "north-west", "nw"],
     "Southwest": ["southwest", "south west", "south-west", "sw"],
 }
+# Words that names write small, and date formats, the first that fits being taken.
 STOP_WORDS = [("And", "&"), ("With", "w/"), ("For", "for"), ("The", "the"), ("Of", "of"), ("In", "in"), ("On", "on"), ("At", "at"), ("By", "by"), ("To", "to")]
 DATE_FORMATS = ["yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "M-d-yyyy", "yyyy/M/d", "d.M.yyyy", "yyyy-M-d H:m:s", "d/M/yyyy H:m:s", "M/d/yyyy H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s'Z'", "MMM d, yyyy"]
 EMAIL = r"^[a-z0-9_%+-]+(\.[a-z0-9_%+-]+)*@[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,}$"
@@ -120,6 +121,12 @@ def clean(df: DataFrame) -> DataFrame:
     return df.withColumns({c: f(F.col(c)) for c, f in CLEANERS.items() if c in df.columns})
 
 
+def typed(df: DataFrame) -> DataFrame:
+    """Text columns of numbers and dates as such, what can't be read being null; no cleaning. For rows that skip clean()."""
+    kinds = {"quantity": lambda c: F.floor(c.try_cast("double")).try_cast("int"), "unit_price": lambda c: c.try_cast("double"), "discount_percent": lambda c: c.try_cast("double"), "sale_date": sale_date}
+    return df.withColumns({c: f(F.col(c)) for c, f in kinds.items() if dict(df.dtypes).get(c) == "string"})
+
+
 def issues(df: DataFrame) -> DataFrame:
     """(field, issue, n): what cleaning would correct, in one pass."""
     some = {c: f for c, f in ISSUES.items() if c in df.columns}
@@ -154,14 +161,29 @@ def standardization_stats(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count_distinct(F.lower(column)).alias("unique_before"), F.count_distinct(after).alias("unique_after"), F.count_if(F.col(column).isNull()).alias("nulls"))
 
 
+def standardization_report(df: DataFrame) -> DataFrame:
+    """(field, unique_before, unique_after, reduction_ratio, nulls_before, nulls_after, parse_rate): of product names,
+    categories, regions and dates, as far as they are there. Spellings that differ in case only count once before, but for
+    names. parse_rate: the share of all rows with a value after cleaning. Rows are counted by value first, in one pass."""
+    before = {c: F.lower(c) if c in ("category", "region") else F.col(c) for c in ("product_name", "category", "region", "sale_date") if c in df.columns}
+    pairs = F.array(*(F.struct(F.lit(c).alias("field"), x.cast("string").alias("a"), CLEANERS[c](F.col(c)).cast("string").alias("b")) for c, x in before.items()))
+    values = df.select(F.explode(pairs).alias("p")).groupBy("p.field", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    own = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    g = values.groupBy("field").agg(F.count_distinct("a").alias("unique_before"), F.count_distinct("b").alias("unique_after"), own(F.col("a").isNull()).alias("nulls_before"), own(F.col("b").isNull()).alias("nulls_after"), F.sum("n").alias("n"))
+    part = lambda a, b: F.coalesce(F.rint(F.try_divide(a.cast("double"), b.cast("double")) * 1e4) / 1e4, F.lit(0.0))
+    b, a = F.col("unique_before"), F.col("unique_after")
+    return g.select("field", b, a, part(b - a, b).alias("reduction_ratio"), "nulls_before", "nulls_after", part(F.col("n") - F.col("nulls_after"), F.col("n")).alias("parse_rate"))
+
+
 def with_revenue(df: DataFrame, strict: bool = False) -> DataFrame:
     """quantity * unit_price * (1 - discount_percent), if revenue is missing; strict: always, and never below 0.
 
-    A revenue that is there is kept; as text it is read as a number, null where it is none.
+    A revenue that is there is kept; as text it is read as a number, null where it is none, and so are the other columns.
     """
     if "revenue" in df.columns and not strict:
         return df.withColumn("revenue", _number(F.col("revenue"))) if dict(df.dtypes)["revenue"] == "string" else df
-    r = F.col("quantity") * F.col("unit_price") * (1 - F.col("discount_percent"))
+    number = lambda c: F.col(c).try_cast("double") if dict(df.dtypes).get(c) == "string" else F.col(c)
+    r = number("quantity") * number("unit_price") * (1 - number("discount_percent"))
     return df.withColumn("revenue", F.when(r.isNull() | F.isnan(r.cast("double")) | (r < 0), 0.0).otherwise(r) if strict else r)
 
 

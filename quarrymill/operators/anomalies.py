@@ -20,9 +20,11 @@ class Sensitivity:
     iqr: float = 1.5
     percentile: float = 0.95
     fraud_score: float = 2.0
+    contamination: float = 0.1
 
 
-PRESETS = {"low": Sensitivity(3.5, 2.0, 0.99, 3.0), "medium": Sensitivity(), "high": Sensitivity(2.5, 1.2, 0.90, 1.0)}
+# The three sensitivities.
+PRESETS = {"low": Sensitivity(3.5, 2.0, 0.99, 3.0, 0.05), "medium": Sensitivity(), "high": Sensitivity(2.5, 1.2, 0.90, 1.0, 0.15)}
 
 
 def _valid(measure: str) -> Column:

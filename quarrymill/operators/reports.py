@@ -85,6 +85,16 @@ def field_advice(fields: DataFrame, rows: DataFrame, duplicates: Column | int =
     return whole.unionByName(_advice(fields, F.col("field"), (share("valid_values") < 0.8, "review_collection"), (share("null_values") > 0.2, "require_or_default")))
 
 
+def cleaning_advice(report: DataFrame, issues: DataFrame) -> DataFrame:
+    """Of cleaning.report() and cleaning.issues(): fields with over 10 % errors, over 100 values that can't be read or over
+    20 % corrections; "all", "none" where there is nothing to say."""
+    rates = _advice(report, F.col("field"), (F.col("error_rate") > 10, "improve_collection"), (F.col("correction_rate") > 20, "review_entry_guidelines"))
+    unread = _advice(issues.filter("issue = 'conversion_error'"), F.col("field"), (F.col("n") > 100, "review_formats"))
+    found = rates.unionByName(unread)
+    nothing = found.agg(F.count(F.lit(1)).alias("n"))  # one row
+    return found.unionByName(_advice(nothing, F.lit("all"), (F.col("n") == 0, "none")))
+
+
 def error_advice(distribution: DataFrame) -> DataFrame:
     """Of validation.error_distribution(): what to look at, by error type."""
     # Error types that have advice.

@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import csv
 import hashlib
+import io
 import json
 import logging
+import re
 import time
+from collections.abc import Iterable
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+
+from . import records
 
 RAW_COLUMNS = ("order_id", "product_name", "category", "quantity", "unit_price", "discount_percent", "region", "sale_date", "customer_email")
 EXTENSIONS = (".csv", ".tsv", ".txt")
@@ -57,8 +64,9 @@ def detect_encoding(start: bytes, whole: bool = False) -> str:
     return ENCODINGS[-1]
 
 
-def inspect(spark: SparkSession, path: str) -> dict:
-    """fine, message, and as far as known: bytes, encoding, delimiter, columns. Looks at the first PROBE bytes alone.
+def inspect(spark: SparkSession, path: str, delimiter: str | None = None) -> dict:
+    """fine, message, and as far as known: bytes, encoding, delimiter, columns, header (the first record as it stands).
+    Looks at the first PROBE bytes alone.
 
     A folder is not a file; read_sales_csv() takes both. Sizes from LARGE on are only warned of.
     """
@@ -76,11 +84,13 @@ def inspect(spark: SparkSession, path: str) -> dict:
     if out["bytes"] >= LARGE:
         log.warning("%s has %.1f GB", path, out["bytes"] / (1 << 30))
     text = start.decode(out["encoding"], "replace")
-    first = text.splitlines()[0] if text.strip() else ""
-    if not first.strip():
+    lines = re.split(r"\r\n|\r|\n", text)
+    if not lines[0].strip():
         return out | {"message": "no header line"}
-    out["delimiter"] = detect_delimiter(text)
-    out["columns"] = [c.strip() for c in next(csv.reader([first], delimiter=out["delimiter"]))]
+    out["delimiter"] = delimiter or detect_delimiter(text)
+    record = csv.reader(io.StringIO(text, newline=""), delimiter=out["delimiter"])
+    out["columns"] = [c.strip().removeprefix("\ufeff") for c in next(record)]
+    out["header"] = "\n".join(lines[: record.line_num]).removeprefix("\ufeff")
     return out | ({"fine": True, "message": "ok"} if any(out["columns"]) else {"message": "no columns in the header"})
 
 
@@ -113,29 +123,101 @@ def ingestion_stats(read: int, dropped: int, seconds: float) -> dict:
     return {"rows": read, "dropped": dropped, "seconds": seconds, "rows_per_second": read / seconds if seconds > 0 else 0.0, "success_rate": 100.0 * read / total if total else 100.0}
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The files of a path, a pattern or a folder, in order; hidden ones don't count. The path itself if there are none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    out = []
+    for status in fs.globStatus(p) or []:
+        inner = fs.listStatus(status.getPath()) if status.isDirectory() else [status]
+        out += [f.getPath().toString() for f in inner if f.isFile() and not f.getPath().getName().startswith(("_", "."))]
+    return sorted(out) or [path]
+
+
+def heads(spark: SparkSession, paths: Iterable[str], delimiter: str | None = None) -> tuple[list[dict], dict[str, str]]:
+    """inspect() of each file that is fine, with its path; by path, what is wrong with the others. Some files at a time."""
+    files = [f for path in paths for f in listed(spark, path)]
+
+    def look(path: str) -> dict:
+        try:
+            return inspect(spark, path, delimiter) | {"path": path}
+        except (csv.Error, UnicodeError) as e:
+            return {"path": path, "fine": False, "message": f"no header can be read: {e}"}
+
+    with ThreadPool(16) as pool:
+        found = pool.map(look, files)
+    return [f for f in found if f["fine"]], {f["path"]: f["message"] for f in found if not f["fine"]}
+
+
+def _unique(names: list[str]) -> tuple[str, ...]:
+    """Names without repeats: a, a.1, a.2; an empty one is column_<its place>."""
+    out: list[str] = []
+    for i, n in enumerate(n or f"column_{i}" for i, n in enumerate(names)):
+        k = next(k for k in range(i + 1) if (f"{n}.{k}" if k else n) not in out)
+        out.append(f"{n}.{k}" if k else n)
+    return tuple(out)
+
+
+class Ingestion:
+    """rows: lazy. skipped: by path, why a file is left out. stats(): of the first action on rows, which should read all of them."""
+
+    def __init__(self, rows: DataFrame, skipped: dict[str, str], observed: Observation, columns: list[str]):
+        self.rows, self.skipped, self.observed, self.columns, self.began = rows, skipped, observed, columns, time.monotonic()
+
+    def stats(self) -> dict:
+        """ingestion_stats(), nulls by column and files that were skipped, counted while rows went by; waits for an action."""
+        got = self.observed.get
+        seconds = time.monotonic() - self.began
+        return ingestion_stats(got["n"] - got["dropped"], got["dropped"], seconds) | {"nulls": {c: got[f"null_{i}"] for i, c in enumerate(self.columns)}, "skipped": self.skipped}
+
+
+def ingest(spark: SparkSession, paths: str | list[str], delimiter: str | None = None, encoding: str | None = None, with_path: bool = False, breaks: bool | None = None) -> Ingestion:
+    """CSV files as rows of text columns, a scan for each kind of file.
+
+    Each file is read by its own head: its columns by name, its delimiter and its encoding, unless these are given. Columns
+    that a file hasn't are null. Files that can't be read are left out and named; if none is left, it raises. Records are
+    whole, whatever line breaks their quoted fields have, and long files still split: see records. breaks: whether quoted
+    line breaks occur; None looks for them, in a pass over the lines with quotes. Records with too few or too many fields
+    are dropped and counted; a record that equals its file's header is one. Empty lines don't count.
+    """
+    found, skipped = heads(spark, [paths] if isinstance(paths, str) else paths, delimiter)
+    for path, why in skipped.items():
+        log.warning("left out: %s: %s", path, why)
+    if not found:
+        raise ValueError(f"no file can be read: {skipped}")
+    kinds: dict[tuple, list[str]] = {}
+    for f in found:
+        kinds.setdefault((_unique(f["columns"]), f["delimiter"], encoding or f["encoding"], f["header"]), []).append(f["path"])
+    columns = list(dict.fromkeys(c for names, *_ in kinds for c in names))
+    bad, source = (next(n for n in (name + "_" * i for i in range(99)) if n not in columns) for name in ("corrupt_record", "source_file"))
+    parts = [records.parsed(records.whole(spark, own, sep, code, head, breaks), names, sep, bad, source) for (names, sep, code, head), own in kinds.items()]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    observed = Observation("ingestion")
+    rows = rows.observe(observed, F.count(F.lit(1)).alias("n"), F.count(bad).alias("dropped"), *(F.count_if(named(c).isNull() & F.col(bad).isNull()).alias(f"null_{i}") for i, c in enumerate(columns)))
+    rows = rows.filter(F.col(bad).isNull()).drop(bad)
+    return Ingestion(rows if with_path else rows.drop(source), skipped, observed, columns)
+
+
+def read_sales_csv(spark: SparkSession, paths: str | list[str], delimiter: str | None = None, encoding: str | None = None, with_path: bool = False) -> DataFrame:
+    """The rows of ingest()."""
+    return ingest(spark, paths, delimiter, encoding, with_path).rows
+
+
 def timed_ingestion(spark: SparkSession, path: str, **options) -> tuple[DataFrame, dict]:
-    """The rows, and ingestion_stats() of counting them once: lines that the reader drops are the rest of the file's."""
-    began = time.monotonic()
-    df = read_sales_csv(spark, path, **options)
-    n = metadata(df)["rows"]  # reads all columns, so that malformed lines show
-    lines, _ = estimated_rows(spark, path)
-    return df, ingestion_stats(n, max(lines - n, 0), time.monotonic() - began)
+    """The rows, and what ingest() counts while they are read once."""
+    got = ingest(spark, path, **options)
+    got.rows.write.format("noop").mode("overwrite").save()
+    return got.rows, got.stats()
 
 
-def read_sales_csv(spark: SparkSession, paths: str | list[str], delimiter: str | None = None, encoding: str = "utf-8", with_path: bool = False) -> DataFrame:
-    """One lazy scan, all columns as strings, malformed lines dropped. Files of one call share a header."""
-    paths = [paths] if isinstance(paths, str) else paths
-    top = head(spark, paths[0])
-    sep = delimiter or detect_delimiter("\n".join(top))
-    names = next(csv.reader([top[0]], delimiter=sep))
-    schema = ", ".join(f"`{n.strip()}` string" for n in names)
-    df = spark.read.csv(paths, schema=schema, header=True, sep=sep, encoding=encoding, mode="DROPMALFORMED", enforceSchema=True)
-    return df.withColumn("source_file", F.col("_metadata.file_path")) if with_path else df
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def metadata(df: DataFrame) -> dict:
     """Rows, columns, types, nulls by column, and a digest of these that doesn't depend on the order of rows; one aggregate."""
-    one = df.agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns)).first()
+    one = df.agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(named(c).isNull()).alias(f"_{i}") for i, c in enumerate(df.columns))).first()
     out = {"rows": one[0], "columns": df.columns, "dtypes": dict(df.dtypes), "nulls": dict(zip(df.columns, one[1:], strict=True))}
     return out | {"digest": hashlib.md5(json.dumps(out, sort_keys=True).encode()).hexdigest()[:8]}
 
@@ -169,8 +251,8 @@ def export(df: DataFrame, folder: str, name: str, formats=("csv", "parquet"), st
     return {k: out[k] for k in formats if k in out}
 
 
-def export_tables(tables: dict[str, DataFrame], folder: str, stamp: str | None = None) -> dict[str, dict[str, str]]:
-    return {n: export(t, folder, f"analytical_{n}", stamp=stamp) for n, t in tables.items()}
+def export_tables(tables: dict[str, DataFrame], folder: str, stamp: str | None = None, formats=("csv", "parquet")) -> dict[str, dict[str, str]]:
+    return {n: export(t, folder, f"analytical_{n}", formats, stamp=stamp) for n, t in tables.items()}
 
 
 def consistent(a: DataFrame, b: DataFrame) -> bool:

@@ -72,12 +72,59 @@ def _clean(spark: SparkSession, n: int, seed: int, start: str, days: int) -> Dat
     }).withColumn("revenue", _revenue())
 
 
-def clean(spark: SparkSession, n: int, seed: int = 42, start: str = "2023-01-01", days: int = 364) -> DataFrame:
-    """n valid rows, one order each; early days and small quantities are the most frequent."""
-    return _clean(spark, n, seed, start, days).select(*COLUMNS)
+def _own(ids: bool) -> tuple[str, ...]:
+    return (*COLUMNS, "id") if ids else COLUMNS
 
 
-def dirty(spark: SparkSession, n: int, seed: int = 42, share: float = 0.3, empty: float = 0.02, **dates) -> DataFrame:
+def clean(spark: SparkSession, n: int, seed: int = 42, start: str = "2023-01-01", days: int = 364, ids: bool = False) -> DataFrame:
+    """n valid rows, one order each; early days and small quantities are the most frequent. ids: with the rows' numbers, as
+    of all generators."""
+    return _clean(spark, n, seed, start, days).select(*_own(ids))
+
+
+# Months with a season of their own; category weights and discounts in them.
+HOLIDAYS, SUMMER = (11, 12), (6, 7, 8)
+HOLIDAY_WEIGHTS, SUMMER_WEIGHTS, EVEN_WEIGHTS = {"Electronics": 0.5, "Fashion": 0.3, "Home Goods": 0.2}, {"Electronics": 0.3, "Fashion": 0.5, "Home Goods": 0.2}, {"Electronics": 1.0, "Fashion": 1.0, "Home Goods": 1.0}
+
+
+def time_series(spark: SparkSession, n: int, seed: int = 42, start: str = "2023-01-01", days: int = 365, ids: bool = False) -> DataFrame:
+    """n valid rows on evenly spread days, with seasons: in the holidays two to three times the quantity, more electronics and
+    discounts of 0.1 to 0.4 (else up to 0.2); in summer more fashion."""
+    u = lambda purpose: _u(seed, purpose)
+    d = _clean(spark, n, seed, start, days).withColumn("sale_date", F.date_add(F.lit(start).cast("date"), F.floor(u("any day") * days).cast("int")).cast("timestamp_ntz"))
+    month = F.month("sale_date")
+    holidays, summer = month.isin(*HOLIDAYS), month.isin(*SUMMER)
+    pick = lambda weights: _pick(u("season"), list(weights.items()))
+    d = d.withColumn("category", F.when(holidays, pick(HOLIDAY_WEIGHTS)).when(summer, pick(SUMMER_WEIGHTS)).otherwise(pick(EVEN_WEIGHTS)))
+    product = lambda i, kind: F.coalesce(*(F.when(F.col("category") == c, F.element_at(F.array(*(F.lit(p[i]) for p in items)), (F.floor(u("any product") * len(items)) + 1).cast("int")).cast(kind)) for c, items in PRODUCTS.items()))
+    low, high = product(1, "double"), product(2, "double")
+    few = (1 + F.floor(u("few") * 4)).cast("int")
+    return d.withColumns({
+        "product_name": product(0, "string"), "unit_price": F.round(low + u("price") * (high - low), 2), "quantity": F.when(holidays, few * (2 + F.floor(u("times") * 2)).cast("int")).otherwise(few),
+        "discount_percent": F.round(F.when(holidays, 0.1 + 0.3 * u("off")).otherwise(0.2 * u("off")), 3),
+    }).withColumn("revenue", _revenue()).select(*_own(ids))
+
+
+def _as_text(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(*(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c == "sale_date" and dict(df.dtypes)[c] != "string" else F.col(c).cast("string").alias(c) for c in COLUMNS), *more)
+
+
+def scenarios(spark: SparkSession, counts: dict[str, int], seed: int = 42) -> DataFrame:
+    """Rows of each scenario (clean, dirty, anomaly, time_series) as strings, with data_scenario, mixed by a hash of their
+    numbers. Order ids are new, and unique. Unknown scenarios raise."""
+    makers = {"clean": clean, "dirty": dirty, "anomaly": anomalous, "time_series": time_series}
+    if unknown := counts.keys() - makers.keys():
+        raise ValueError(f"unknown scenarios: {sorted(unknown)}")
+    out, before = None, 0
+    for name, n in counts.items():
+        part = _as_text(makers[name](spark, n, seed, ids=True), (F.col("id") + before).alias("_number")).withColumn("data_scenario", F.lit(name))
+        out, before = part if out is None else out.unionByName(part), before + n
+    if out is None:
+        return _as_text(clean(spark, 0)).withColumn("data_scenario", F.lit(None).cast("string"))
+    return out.orderBy(F.xxhash64("_number", F.lit(seed))).withColumn("order_id", F.format_string("ORD_%08d", "_number")).drop("_number")
+
+
+def dirty(spark: SparkSession, n: int, seed: int = 42, share: float = 0.3, empty: float = 0.02, ids: bool = False, **dates) -> DataFrame:
     """All columns as strings. A share of the rows has one spoiled field or its predecessor's order id; in some more, a field is null."""
     d = _clean(spark, n, seed, dates.get("start", "2023-01-01"), dates.get("days", 364))
     d = d.select("id", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c == "sale_date" else F.col(c).cast("string").alias(c) for c in COLUMNS))
@@ -91,10 +138,10 @@ def dirty(spark: SparkSession, n: int, seed: int = 42, share: float = 0.3, empty
     }
     d = d.withColumns({c: F.when(spoil == i, x).otherwise(F.col(c)) for i, (c, x) in enumerate(changed.items())})
     gone = F.when(u("empty") < empty, F.floor(u("gone") * len(COLUMNS)))
-    return d.select(*(F.when(F.coalesce(gone != i, F.lit(True)), F.col(c)).alias(c) for i, c in enumerate(COLUMNS)))
+    return d.select(*(F.when(F.coalesce(gone != i, F.lit(True)), F.col(c)).alias(c) for i, c in enumerate(COLUMNS)), *_own(ids)[len(COLUMNS):])
 
 
-def anomalous(spark: SparkSession, n: int, seed: int = 42, share: float = 0.05, **dates) -> DataFrame:
+def anomalous(spark: SparkSession, n: int, seed: int = 42, share: float = 0.05, ids: bool = False, **dates) -> DataFrame:
     """Clean rows, a share of which have an extreme price, quantity or discount, a suspicious combination, or a price too low or too round."""
     d = _clean(spark, n, seed, dates.get("start", "2023-01-01"), dates.get("days", 364))
     u = lambda purpose: _u(seed, purpose)
@@ -105,16 +152,15 @@ def anomalous(spark: SparkSession, n: int, seed: int = 42, share: float = 0.05,
                               .when((kind == 4) & ~low, F.element_at(F.array(*map(F.lit, (1000.0, 2000.0, 5000.0, 10000.0))), (F.floor(v * 4) + 1).cast("int"))).otherwise(F.col("unit_price")), 2),
         "quantity": F.when(kind == 1, F.element_at(F.array(*map(F.lit, (100, 500, 1000, 2000))), (F.floor(v * 4) + 1).cast("int"))).when(kind == 3, (50 + 150 * v).cast("int")).otherwise(F.col("quantity")),
         "discount_percent": F.when(kind == 2, F.element_at(F.array(*map(F.lit, (0.95, 0.99, 0.8, 0.9))), (F.floor(v * 4) + 1).cast("int"))).when(kind == 3, F.round(0.7 + 0.25 * v, 4)).otherwise(F.col("discount_percent")),
-    }).withColumn("revenue", _revenue()).select(*COLUMNS)
+    }).withColumn("revenue", _revenue()).select(*_own(ids))
 
 
-def mixed(spark: SparkSession, n: int, seed: int = 42, shares: tuple[float, float] = (0.70, 0.25)) -> DataFrame:
-    """Clean, dirty and anomalous rows (the rest), as strings, with data_scenario."""
+def mixed(spark: SparkSession, n: int, seed: int = 42, shares: tuple[float, float] = (0.70, 0.25), shuffled: bool = False) -> DataFrame:
+    """Clean, dirty and anomalous rows (the rest), as strings, with data_scenario; shuffled: in an order by a hash."""
     a, b = int(n * shares[0]), int(n * shares[1])
-    text = lambda df: df.select(*(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c == "sale_date" else F.col(c).cast("string").alias(c) for c in COLUMNS))
-    parts = {"clean": text(clean(spark, a, seed)), "dirty": dirty(spark, b, seed + 1), "anomaly": text(anomalous(spark, n - a - b, seed + 2))}
+    parts = {"clean": _as_text(clean(spark, a, seed)), "dirty": dirty(spark, b, seed + 1), "anomaly": _as_text(anomalous(spark, n - a - b, seed + 2))}
     out = None
     for name, part in parts.items():
         part = part.withColumn("data_scenario", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.orderBy(F.xxhash64(F.lit(seed), *out.columns)) if shuffled else out

@@ -9,8 +9,9 @@ from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import reports, validation
 from .files import export
-from .store import Cache, Checkpoints, Lineage, Versions, check_exports
+from .store import Cache, Checkpoints, Folder, Lineage, Versions, check_exports
 
 
 def newest(spark: SparkSession, pattern: str) -> str | None:
@@ -60,6 +61,28 @@ def validation_report(spark: SparkSession, folder: str) -> dict:
     return out
 
 
+def write_validation_reports(df: DataFrame, folder: str, rules: Iterable[validation.Rule] = validation.DEFAULT_RULES, values: int = 10, stamp: str | None = None) -> dict[str, str]:
+    """Runs the rules and writes what validation_report() reads: the report (status, quality score, rules, fields), the
+    errors (failed rules with up to ``values`` distinct values each, numbers by type, advice) and the debug report (schema,
+    rules that couldn't be evaluated). Returns their paths. A row per rule, or per value, comes to the driver."""
+    spark, rules = df.sparkSession, tuple(rules)
+    stamp, target = time.strftime("%Y%m%d_%H%M%S") if stamp is None else stamp, Folder(spark, folder)
+    rows = lambda d: [r.asDict(recursive=True) for r in d.collect()]
+    found = validation.validate_isolated(df, rules)
+    broken = {r["rule_name"]: r["error"] for r in found.filter("error IS NOT NULL").collect()}
+    sound = tuple(r for r in rules if r.name not in broken)
+    results, problems = found.drop("error"), validation.problematic_values(df, sound, values)
+    kinds = validation.error_distribution(results, rules)
+    state = rows(validation.status(results))[0]
+    report = state | {"generated": stamp, "rules": sorted(rows(results), key=lambda r: r["rule_name"]), "fields": sorted(rows(validation.by_field(results)), key=lambda r: r["field"])}
+    errors = {"errors": sorted(rows(validation.error_report(results, problems, rules)), key=lambda r: r["rule_name"]), "error_types": {r.error_type: r.rules for r in kinds.collect()}, "advice": sorted(rows(reports.error_advice(kinds)), key=str)}
+    debug = {"schema": dict(df.dtypes), "skipped_rules": sorted(r.name for r in rules if not r.enabled or r.field not in df.columns), "rule_errors": broken}
+    names = {"report": f"validation_report_{stamp}.json", "errors": f"validation_errors_{stamp}.json", "debug": f"validation_debug_report_{stamp}.json"}
+    for kind, value in (("report", report), ("errors", errors), ("debug", debug)):
+        target.write_json(names[kind], value)
+    return {kind: f"{target.base}/{name}" for kind, name in names.items()}
+
+
 class Fresh:
     """Values by key that are made anew when they are older than max_age seconds. Tables are kept as plans, not rows."""
 
