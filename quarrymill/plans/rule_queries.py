@@ -49,8 +49,8 @@ def _read_sql(layout: str) -> str:
     counts = ", ".join(f"count(w{i}) AS n{i}" for i in range(len(_WAYS_SQL)))
     best = " ".join(f"WHEN n{i} = greatest({', '.join(f'n{j}' for j in range(len(_WAYS_SQL)))}) THEN {i}" for i in range(len(_WAYS_SQL)))
     return f"""x AS ({_texts_sql(layout)}), w AS (SELECT x, {reads} FROM x), k AS (SELECT count(x) AS non_null, count(*) FILTER (lower(trim(x)) IN ('unknown', 'n/a', 'null', 'none', '')) AS no_date_words, {counts} FROM w),
-        c AS (SELECT *, CASE WHEN n0 * 2 >= non_null THEN 0 {best} END AS i FROM k), r AS (SELECT x, [{', '.join(f'w{i}' for i in range(len(_WAYS_SQL)))}][i + 1] AS at FROM w, c),
-        f AS (SELECT *, x IS NULL OR coalesce(at::DATE BETWEEN DATE '{LOW}' AND DATE '{HIGH}', false) AS fine FROM r)"""
+        c AS (SELECT *, CASE WHEN n0 * 2 >= non_null THEN 0 {best} END AS i FROM k), r AS (SELECT x, [{', '.join(f'w{i}' for i in range(len(_WAYS_SQL)))}][i + 1] AS dt FROM w, c),
+        f AS (SELECT *, x IS NULL OR coalesce(dt::DATE BETWEEN DATE '{LOW}' AND DATE '{HIGH}', false) AS fine FROM r)"""
 
 
 def _report(spark: SparkSession, d: str, layout: str) -> DataFrame:
@@ -64,8 +64,8 @@ def _rule(spark: SparkSession, d: str, layout: str) -> DataFrame:
 
 for _layout in LAYOUTS:
     QUERIES[f"val13_text_dates_{_layout}"] = lambda spark, d, layout=_layout: _report(spark, d, layout)
-    ORACLES[f"val13_text_dates_{_layout}"] = f"""WITH {_read_sql(_layout)} SELECT {list(_WAYS_SQL)}[i + 1] AS way, non_null, no_date_words, n0 AS general_reads, count(*) AS total, count(at) AS reads, count(*) FILTER (x IS NOT NULL AND at IS NULL) AS unreadable,
-        count(*) FILTER (at IS NOT NULL AND NOT fine) AS out_of_range, count(*) FILTER (fine) AS valid, strftime(min(at), '%Y-%m-%d') AS earliest, strftime(max(at), '%Y-%m-%d') AS latest FROM f, c GROUP BY ALL"""
+    ORACLES[f"val13_text_dates_{_layout}"] = f"""WITH {_read_sql(_layout)} SELECT {list(_WAYS_SQL)}[i + 1] AS way, non_null, no_date_words, n0 AS general_reads, count(*) AS total, count(dt) AS reads, count(*) FILTER (x IS NOT NULL AND dt IS NULL) AS unreadable,
+        count(*) FILTER (dt IS NOT NULL AND NOT fine) AS out_of_range, count(*) FILTER (fine) AS valid, strftime(min(dt), '%Y-%m-%d') AS earliest, strftime(max(dt), '%Y-%m-%d') AS latest FROM f, c GROUP BY ALL"""
     QUERIES[f"val13_rule_{_layout}"] = lambda spark, d, layout=_layout: _rule(spark, d, layout)
     ORACLES[f"val13_rule_{_layout}"] = f"""WITH {_read_sql(_layout)}, e AS (SELECT count(*) AS total_records, count(*) FILTER (fine) AS valid_records FROM f)
         SELECT 'dates' AS rule_name, 'sale_date' AS field, 'error' AS severity, *, round_even((total_records - valid_records)::DOUBLE / total_records * 1e6, 0) / 1e4 AS error_rate, (total_records - valid_records) * 10 <= total_records AS passed FROM e"""
