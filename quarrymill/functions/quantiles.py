@@ -1,7 +1,8 @@
 """Exact quantiles without a task that sees all values.
 
 Values are counted by a shuffled aggregation. Bins of nearly equal ratio (so that long tails don't fill one bin) give
-the bin that holds each rank; only bins with a wanted rank are then looked at value by value.
+the bin that holds each rank. Where such a bin has too many values, as prices in one band do, it is divided evenly
+between its least and its largest value, and so on; only bins with a wanted rank are then looked at value by value.
 """
 
 from __future__ import annotations
@@ -10,9 +11,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .written import written
+
 #: Bins for each factor of e in a value; a few thousand bins hold what occurs, some 200,000 all doubles.
 BINS = 128
 _EDGE = 100_000
+#: Values that a task sorts of one bin; a bin that has more is divided into so many parts.
+DENSE, PARTS = 100_000, 1 << 16
 
 
 def value_counts(df: DataFrame, **values: Column) -> DataFrame:
@@ -30,16 +35,31 @@ def _bin(x: Column) -> Column:
 
 def at_ranks(counts: DataFrame, ranks: Callable[[Column], dict[str, Column]]) -> DataFrame:
     """counts: (name, x, n). ranks: of the number of values, gives labels with ranks from 0 on. Returns (name, total, at),
-    at being a map from label to value; ranks that don't exist aren't in it."""
-    b = counts.withColumn("bin", _bin(F.col("x")))
+    at being a map from label to value; ranks that don't exist aren't in it.
+
+    Bins are counted at once and written, so that those that are too dense are known; three rounds are enough for any
+    doubles. counts is gone over once a round and once for the result: write it if it is dear.
+    """
+    keys, rows = ["bin0"], counts.withColumn("bin0", _bin(F.col("x")))
+    sizes = [F.sum("n").alias("m"), F.count(F.lit(1)).alias("values"), F.min("x").alias("lo"), F.max("x").alias("hi")]
     by = Window.partitionBy("name")  # bins of a name
-    bins = b.groupBy("name", "bin").agg(F.sum("n").alias("m")).withColumns({"upto": F.sum("m").over(by.orderBy("bin")), "total": F.sum("m").over(by)})
+    bins = written(rows.groupBy("name", *keys).agg(*sizes), "bins").withColumns({"upto": F.sum("m").over(by.orderBy("bin0")), "total": F.sum("m").over(by)})
     wants = F.array(*(F.struct(F.lit(k).alias("label"), r.cast("long").alias("rank")) for k, r in ranks(F.col("total")).items()))
-    picks = bins.select("name", "bin", "total", (F.col("upto") - F.col("m")).alias("before"), "upto", F.explode(wants).alias("w")).filter("w.rank >= before AND w.rank < upto")
-    picks = picks.select("name", "bin", "total", "before", "w.label", "w.rank")
-    few = F.broadcast(picks.groupBy("name", "bin").agg(F.first("total").alias("total"), F.first("before").alias("before"), F.collect_list(F.struct("label", "rank")).alias("ws")))  # a row per label at most
-    inside = b.join(few, ["name", "bin"]).withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("name", "bin").orderBy("x")))
-    hits = inside.withColumn("got", F.expr("filter(ws, w -> w.rank >= upto - n AND w.rank < upto)")).filter("size(got) > 0")
+    bins = bins.withColumn("ws", wants)
+    while True:
+        mine = F.filter("ws", lambda w: (w["rank"] >= F.col("upto") - F.col("m")) & (w["rank"] < F.col("upto")))
+        picks = bins.withColumn("ws", mine).filter(F.size("ws") > 0).withColumn("before", F.col("upto") - F.col("m"))
+        if (picks.agg(F.max(F.when(F.col("lo") < F.col("hi"), F.col("values")))).first()[0] or 0) <= DENSE:
+            break
+        new, at = f"bin{len(keys)}", (F.col("x") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))
+        rows = rows.join(picks.select("name", *keys, "lo", "hi"), ["name", *keys]).withColumn(new, F.floor(F.coalesce(at, F.lit(0.0)) * PARTS)).drop("lo", "hi")
+        parts = written(rows.groupBy("name", *keys, new).agg(*sizes), "bins").join(picks.select("name", *keys, "total", "before", "ws"), ["name", *keys])
+        bins = parts.withColumn("upto", F.col("before") + F.sum("m").over(Window.partitionBy("name", *keys).orderBy(new))).drop("before")  # PARTS rows
+        keys.append(new)
+    inside = rows.join(picks.select("name", *keys, "total", "before", "ws"), ["name", *keys])
+    inside = inside.groupBy("name", *keys, "x").agg(F.sum("n").alias("n"), F.first("total").alias("total"), F.first("before").alias("before"), F.first("ws").alias("ws"))
+    inside = inside.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("name", *keys).orderBy("x")))  # DENSE rows
+    hits = inside.withColumn("got", F.filter("ws", lambda w: (w["rank"] >= F.col("upto") - F.col("n")) & (w["rank"] < F.col("upto")))).filter(F.size("got") > 0)
     hits = hits.select("name", "total", F.explode("got").alias("w"), "x")
     return hits.groupBy("name").agg(F.first("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("w.label", "x"))).alias("at"))
 
@@ -48,15 +68,37 @@ def _place(total: Column, p: float) -> Column:
     return (total - 1).cast("double") * F.lit(float(p))
 
 
-def quantiles(counts: DataFrame, probabilities: tuple[float, ...]) -> DataFrame:
-    """(name, total, q): q has a value for each probability, interpolated between neighbours."""
-    got = at_ranks(counts, lambda t: {f"{i}{side}": f(_place(t, p)) for i, p in enumerate(probabilities) for side, f in (("a", F.floor), ("b", F.ceil))})
+def _marks(t: Column, probabilities: tuple[float, ...]) -> dict[str, Column]:
+    return {f"{i}{side}": f(_place(t, p)) for i, p in enumerate(probabilities) for side, f in (("a", F.floor), ("b", F.ceil))}
+
+
+def _between(probabilities: tuple[float, ...]) -> Column:
+    """Of total and at: a value for each probability, interpolated between neighbours."""
 
     def value(i: int, p: float) -> Column:
         at, a, b = _place(F.col("total"), p), F.col("at")[f"{i}a"], F.col("at")[f"{i}b"]
         return F.when(F.floor(at) == F.ceil(at), a).otherwise((F.ceil(at) - at) * a + (at - F.floor(at)) * b)
 
-    return got.select("name", "total", F.array(*(value(i, p) for i, p in enumerate(probabilities))).alias("q"))
+    return F.array(*(value(i, p) for i, p in enumerate(probabilities)))
+
+
+def quantiles(counts: DataFrame, probabilities: tuple[float, ...]) -> DataFrame:
+    """(name, total, q): q has a value for each probability, interpolated between neighbours."""
+    return at_ranks(counts, lambda t: _marks(t, probabilities)).select("name", "total", _between(probabilities).alias("q"))
+
+
+def quantiles_and_tops(counts: DataFrame, probabilities: tuple[float, ...], shares: tuple[float, ...]) -> DataFrame:
+    """quantiles() with tops: for each share, the sum of the floor(total * share) largest values."""
+    k = [F.floor(F.col("total") * s) for s in shares]
+    edge = lambda t: {f"top{i}": F.when(F.floor(t * s) >= 1, t - F.floor(t * s)).otherwise(t - 1) for i, s in enumerate(shares)}
+    got = at_ranks(counts, lambda t: _marks(t, probabilities) | edge(t)).select("name", "total", _between(probabilities).alias("q"), F.array(*(F.col("at")[f"top{i}"] for i in range(len(shares)))).alias("edges"))
+    d = counts.join(got.select("name", "edges"), "name")
+    exact, sums = (F.col("x") * F.col("n").cast("double")).cast("decimal(28,6)"), []
+    for i in range(len(shares)):
+        over = F.col("x") > F.col("edges")[i]
+        sums += [F.coalesce(F.sum(F.when(over, exact)), F.lit(0)).cast("double").alias(f"s{i}"), F.coalesce(F.sum(F.when(over, F.col("n"))), F.lit(0)).alias(f"m{i}")]
+    tops = F.array(*(F.when(k[i] >= 1, F.col(f"s{i}") + (k[i] - F.col(f"m{i}")) * F.col("edges")[i]).otherwise(0.0) for i in range(len(shares))))
+    return got.join(d.groupBy("name").agg(*sums), "name").select("name", "total", "q", tops.alias("tops"))
 
 
 def moments(counts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.cleaning import with_revenue
 from ..functions.numeric import davg, dsum, half_even, ratio
-from ..functions.quantiles import moments, quantiles, top_sum
+from ..functions.quantiles import moments, quantiles_and_tops
 from ..functions.written import written
 
 TIERS = (("low", 0.0, 0.1), ("medium", 0.1, 0.3), ("high", 0.3, float("inf")))
@@ -18,13 +18,13 @@ def revenue_metrics(df: DataFrame) -> DataFrame:
     With a column sale_date, transactions, their means, the concentration and the customers are of rows with a date,
     while revenue figures are of all rows; shares are of the revenue of all rows.
 
-    Rows are gone over twice: grouped by revenue, from which all figures of rows come, and by customer and month.
+    Rows are gone over twice: grouped by revenue, from which all figures of rows come, and by customer and month. All ranks
+    are looked for at once.
     """
     d = with_revenue(df).dropna(subset=["revenue", "quantity", "unit_price"])
     dated = F.col("sale_date").isNotNull() if "sale_date" in df.columns else F.lit(True)
     exact = lambda c: F.sum(F.col(c).cast("decimal(20,6)")).alias(f"s_{c}")
     by = written(d.groupBy(F.col("revenue").cast("double").alias("x"), dated.alias("dated")).agg(F.count(F.lit(1)).alias("n"), *(exact(c) for c in ("revenue", "quantity", "unit_price"))), "revenues")
-    all_ = by.groupBy(F.lit("all").alias("name"), "x").agg(F.sum("n").alias("n"))
     on = F.col("dated")
     total = lambda c: F.sum(f"s_{c}").cast("double")
     mean = lambda c: half_even(F.try_divide(F.sum(F.when(on, F.col(f"s_{c}"))).cast("double"), F.sum(F.when(on, F.col("n")))))
@@ -33,28 +33,32 @@ def revenue_metrics(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0)).alias("total_transactions"), mean("quantity").alias("avg_transaction_size"), mean("unit_price").alias("avg_unit_price"),
     )
     marks = {0.25: "revenue_25th_percentile", 0.5: "median_revenue_per_transaction", 0.75: "revenue_75th_percentile", 0.9: "revenue_90th_percentile", 0.95: "revenue_95th_percentile", 0.99: "revenue_99th_percentile"}
-    q = quantiles(all_, tuple(marks)).agg(*(half_even(F.max(F.col("q")[i])).alias(n) for i, n in enumerate(marks.values())))
-    std = moments(all_).agg(half_even(F.max("std")).alias("revenue_standard_deviation"))
-    top = top_sum(by.filter("dated").select(F.lit("dated").alias("name"), "x", "n"), lambda n: F.floor(n * 0.05)).agg(F.max("top").alias("_top"))
-    one = one.crossJoin(q).crossJoin(std).crossJoin(top)  # one row each, as all that follow
-    one = one.withColumn("revenue_concentration_ratio", half_even(ratio(F.col("_top"), F.col("_all")), 4)).drop("_top")
     dims = [c for c in ("customer_email", "sale_date") if c in df.columns]
     if dims:
         keys = [F.date_format(c, "yyyy-MM").alias("month") if c == "sale_date" else F.col(c) for c in dims]
         cells = written(d.filter(dated).groupBy(*keys).agg(F.sum(F.col("revenue").cast("decimal(20,6)")).alias("r")), "customers")
+    # values of rows, of rows with a date and of customers, counted together
+    counts = by.select(F.explode(F.when(on, F.array(F.lit("all"), F.lit("dated"))).otherwise(F.array(F.lit("all")))).alias("name"), "x", "n").groupBy("name", "x").agg(F.sum("n").alias("n"))
+    if "customer_email" in dims:
+        c = cells.filter("customer_email IS NOT NULL").groupBy("customer_email").agg(F.sum("r").cast("double").alias("x"))
+        counts = counts.unionByName(c.groupBy(F.lit("customers").alias("name"), "x").agg(F.count(F.lit(1)).alias("n")))
+    counts = written(counts, "counts")
+    found = quantiles_and_tops(counts, tuple(marks), (0.05, 0.1))
+    own = lambda name, c: F.max(F.when(F.col("name") == name, c))
+    q = [half_even(own("all", F.col("q")[i])).alias(n) for i, n in enumerate(marks.values())]
+    found = found.agg(*q, own("dated", F.col("tops")[0]).alias("_top"), own("customers", F.col("tops")[1]).alias("_share"), own("customers", F.col("q")[list(marks).index(0.5)]).alias("_median"))
+    std = moments(counts.filter("name = 'all'")).agg(half_even(F.max("std")).alias("revenue_standard_deviation"))
+    one = one.crossJoin(found).crossJoin(std)  # one row each, as all that follow
+    one = one.withColumn("revenue_concentration_ratio", half_even(ratio(F.col("_top"), F.col("_all")), 4))
     if "sale_date" in dims:
         m = cells.groupBy("month").agg(F.sum("r").cast("double").alias("r"))
         m = m.withColumn("g", ratio(F.col("r") - F.lag("r").over(Window.orderBy("month")), F.lag("r").over(Window.orderBy("month"))))  # a row per month
         first, last = F.min_by("r", "month"), F.max_by("r", "month")
         one = one.crossJoin(m.agg(F.avg("g").alias("avg_monthly_growth_rate"), F.stddev_samp("g").alias("monthly_growth_volatility"), F.when(F.count(F.lit(1)) > 1, ratio(last - first, first)).alias("total_growth_rate")))
     if "customer_email" in dims:
-        c = cells.filter("customer_email IS NOT NULL").groupBy("customer_email").agg(F.sum("r").cast("double").alias("x"))
-        counts = c.groupBy(F.lit("c").alias("name"), "x").agg(F.count(F.lit(1)).alias("n"))
-        value = counts.agg(F.try_divide(F.sum(F.col("x").cast("decimal(20,6)") * F.col("n")).cast("double"), F.sum("n")).alias("avg_customer_lifetime_value"))
-        median = quantiles(counts, (0.5,)).agg(F.max(F.col("q")[0]).alias("median_customer_lifetime_value"))
-        share = top_sum(counts, lambda n: F.floor(n * 0.1)).agg(F.max("top").alias("_top"))
-        one = one.crossJoin(value).crossJoin(median).crossJoin(share).withColumn("top_10_percent_customer_contribution", ratio(F.col("_top"), F.col("_all"))).drop("_top")
-    return one.drop("_all")
+        value = counts.filter("name = 'customers'").agg(F.try_divide(F.sum(F.col("x").cast("decimal(20,6)") * F.col("n")).cast("double"), F.sum("n")).alias("avg_customer_lifetime_value"))
+        one = one.crossJoin(value).withColumns({"median_customer_lifetime_value": F.col("_median"), "top_10_percent_customer_contribution": ratio(F.col("_share"), F.col("_all"))})
+    return one.drop("_all", "_top", "_share", "_median")
 
 
 def discount_effectiveness(df: DataFrame) -> DataFrame:

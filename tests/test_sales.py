@@ -66,6 +66,29 @@ def test_quantiles(spark):
     assert not q.quantiles(counts.limit(0), at).collect()
 
 
+def test_quantiles_of_dense_values(spark, monkeypatch):
+    """Values that are close together, so that a bin is divided again and again; and the same figures at once."""
+    import numpy as np
+
+    from quarrymill.functions import quantiles as q
+
+    rng = np.random.default_rng(6)
+    sets = {"a": 1000 + rng.random(900) * 0.5, "b": np.r_[1.0 + np.arange(300) * 1e-12, 1.5, 2.5], "c": np.full(70, 3.25), "d": -5 - rng.random(200) * 1e-3}
+    rows = [(k, float(v)) for k, x in sets.items() for v in x]
+    counts = spark.createDataFrame(rows, "name string, x double").groupBy("name", "x").count().withColumnRenamed("count", "n").cache()
+    at = (0.01, 0.5, 0.9)
+    for dense, parts in ((10, 16), (40, 8), (100_000, 1 << 16)):
+        monkeypatch.setattr(q, "DENSE", dense)
+        monkeypatch.setattr(q, "PARTS", parts)
+        got = {r.name: r for r in q.quantiles_and_tops(counts, at, (0.05, 0.1)).collect()}
+        for k, x in sets.items():
+            assert got[k].total == len(x) and np.allclose(got[k].q, np.quantile(x, at), rtol=1e-14, atol=0)
+            assert np.allclose(got[k].tops, [np.sort(x)[::-1][: int(len(x) * s)].sum() for s in (0.05, 0.1)], rtol=1e-8)
+    wide = spark.range(300_000).selectExpr("'w' AS name", "100 + pmod(hash(id), 1000003) / 1e7 AS x").groupBy("name", "x").count().withColumnRenamed("count", "n")
+    values = np.sort(np.concatenate([np.full(r.n, r.x) for r in wide.collect()]))
+    assert np.allclose(q.quantiles(wide, at).first().q, np.quantile(values, at), rtol=1e-14)
+
+
 def test_command_line(spark, tmp_path, capsys):
     from quarrymill.__main__ import main
 
