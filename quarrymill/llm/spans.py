@@ -199,19 +199,20 @@ def mapper(chunker, buckets: int, chunk: int, pack: int, twice: bool):
     return run
 
 
-#: Bytes of text that a bucket gets on average, so that their number follows the input, up to MAX_BUCKETS.
-BUCKET_BYTES = 4 << 20
 MAX_BUCKETS = 50_000
 #: Files that a task splits an oversized bucket to.
 SPLITS = 32
-#: Bytes that a window takes in an oversized split.
-PER_WINDOW = 96
+#: Memory that a task may take for what it works on at once. How much that is goes by windows, not by bytes: the same
+#: bytes are few windows or many.
+TASK_MEMORY = 480 << 20
+#: Parts of TASK_MEMORY that one piece of a file may take.
+PIECES = 8
 
 
-def bucket_count(docs: DataFrame, least: int) -> int:
-    """docs: of keyed()."""
+def bucket_count(docs: DataFrame, least: int, size: int) -> int:
+    """docs: of keyed(). A bucket gets ``size`` bytes of text on average, so their number follows the input, up to MAX_BUCKETS."""
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(least, min(MAX_BUCKETS, -(-total // BUCKET_BYTES)))
+    return max(least, min(MAX_BUCKETS, -(-total // size)))
 
 
 class Oversized:
@@ -222,19 +223,20 @@ class Oversized:
     a minimiser's group but the disk.
     """
 
-    def __init__(self, minimisers, windows, limit: int):
-        self.minimisers, self.windows, self.limit = minimisers, windows, limit
+    def __init__(self, minimisers, windows, weights, limit: int):
+        self.minimisers, self.windows, self.weights, self.limit = minimisers, windows, weights, limit
         self.files = [tempfile.TemporaryFile() for _ in range(SPLITS)]  # unlinked at once; only this task reads them
         self.sizes = [0] * SPLITS
 
     def add(self, docs: np.ndarray, marks: np.ndarray, firsts: np.ndarray, strings: list[bytes]) -> None:
-        split = (mixed(self.minimisers(strings)) % np.uint64(SPLITS)).astype(np.int64)
-        for k in np.unique(split).tolist():
-            own = np.flatnonzero(split == k)
-            some = [strings[i] for i in own.tolist()]
-            blob = packed(docs[own], marks[own], firsts[own], some)
-            self.files[k].write(len(blob).to_bytes(8, "little") + blob)
-            self.sizes[k] += sum(map(len, some)) + 80 * len(some)
+        weight = self.weights(strings)
+        for piece in np.split(np.arange(len(strings)), np.flatnonzero(np.diff(np.cumsum(weight) * PIECES // self.limit)) + 1):
+            split = (mixed(self.minimisers([strings[i] for i in piece.tolist()])) % np.uint64(SPLITS)).astype(np.int64)
+            for k in np.unique(split).tolist():
+                own = piece[split == k]
+                blob = packed(docs[own], marks[own], firsts[own], [strings[i] for i in own.tolist()])
+                self.files[k].write(len(blob).to_bytes(8, "little") + blob)
+                self.sizes[k] += int(weight[own].sum())
 
     def parts(self, k: int) -> Iterator[tuple]:
         f = self.files[k]
@@ -261,7 +263,7 @@ class Oversized:
             if not n:
                 return
             with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as disk:
-                shares = -(-n * PER_WINDOW // self.limit)
+                shares = -(-self.sizes[k] // self.limit)
                 for share in range(shares):
                     rows, base = [], 0
                     for docs, marks, firsts, strings in self.parts(k):
@@ -278,14 +280,16 @@ class Oversized:
                     yield from range_rows(doc[gone], mark[gone], first[gone], first[gone] + width)
 
 
-def counted(count, minimisers, windows, later, limit: int):
+def counted(count, minimisers, windows, weights, later):
     """count: of (docs, marks, firsts, strings) of whole buckets, gives batches of RANGES. Decided ranges pass through.
 
-    A task keeps ``limit`` bytes of strings; more make an Oversized bucket. minimisers: of strings. windows: of strings,
-    gives the bytes, and by window its string, place in it, start and stop in the bytes; and the window. later: of
-    windows' documents, marks, places and first equal ones, which of them go.
+    weights: of strings, the memory in bytes that count takes for each at most; a bucket that weighs more than TASK_MEMORY is
+    Oversized. minimisers: of strings. windows: of strings, gives the bytes, and by window its string, place in it, start
+    and stop in the bytes; and the window. later: of windows' documents, marks, places and first equal ones, which go.
     """
 
+    limit = TASK_MEMORY
+
     def whole(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         docs, marks, firsts = (np.concatenate([p[i] for p in parts]) for i in range(3))
         strings = [s for p in parts for s in p[3]]
@@ -303,10 +307,10 @@ def counted(count, minimisers, windows, later, limit: int):
                 if target.as_py() < 0:
                     continue
                 part = unpacked(blob.as_py())
-                size += sum(map(len, part[3])) + 80 * len(part[3])
+                size += int(weights(part[3]).sum())
                 parts.append(part)
                 if size > limit:
-                    over = over or Oversized(minimisers, windows, limit)
+                    over = over or Oversized(minimisers, windows, weights, limit)
                     for p in parts:
                         over.add(*p)
                     parts.clear()

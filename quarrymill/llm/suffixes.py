@@ -27,8 +27,11 @@ MER = 16
 CHUNK = 1 << 20
 PACK = 32 << 20
 LONGEST = 4096
-#: Bytes of strings that a shard's task holds; a larger shard goes to disk in parts.
-TASK_BYTES = 32 << 20
+#: Bytes of text of a shard on average.
+BUCKET_BYTES = 1 << 20
+#: Memory that counter() takes for a window and for a byte of its strings: the most that was measured, on periodic strings
+#: and on short ones that repeat. Where few windows repeat it takes a third of that.
+PER_WINDOW, PER_BYTE = 165, 24
 #: Numbers that a priority queue holds in memory; tuples beyond it wait on disk.
 QUEUE = 8 << 20
 
@@ -250,6 +253,12 @@ def windows(strings: list[bytes], window: int = WINDOW):
     return b"".join(strings), string, place, start, start + window, window
 
 
+def weights(strings: list[bytes], window: int = WINDOW) -> np.ndarray:
+    """Of super-k-mers: the memory that counter() takes for each at most."""
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    return 80 + PER_BYTE * size + PER_WINDOW * (size - window + 1)
+
+
 def later(doc: np.ndarray, mark: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (first != np.arange(len(first))) & ~((doc == doc[first]) & (mark == mark[first]) & (at == at[first]))
 
@@ -312,14 +321,15 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the same one; overlaps count, and strings are judged on the input. Rows with one id and one text are one document;
     rows with one id and different texts are in a fixed order, by a hash of the text. A null text has no bytes; a null
     id is larger than any other. Ids are integers under 2^63 - 1, which stands for null. An empty table gives an empty
-    result. Other columns are ignored. A shard may be of any size: beyond TASK_BYTES it goes through files, split by
-    minimiser and sorted part by part; of a part that is still larger, windows are compared by shares of their hashes.
+    result. Other columns are ignored. A shard may be of any size: what weighs more than spans.TASK_MEMORY goes through files,
+    split by minimiser and sorted part by part; of a part that is still larger, windows are compared by shares of their
+    hashes.
     """
     require(docs, id_col, text_col)
     spark = docs.sparkSession
     bound_arrow(spark)
     base = keyed(docs, id_col, text_col)
-    n = bucket_count(base, 6 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = bucket_count(base, 6 * int(spark.conf.get("spark.sql.shuffle.partitions")), BUCKET_BYTES)
     sent = base.mapInArrow(mapper(partial(super_kmers, window=window), n, CHUNK, PACK, True), ROWS)
-    ranges = sent.repartition(n, "target").mapInArrow(counted(partial(counter, window=window, limit=QUEUE), partial(minimisers, window=window), partial(windows, window=window), later, TASK_BYTES), RANGES)
+    ranges = sent.repartition(n, "target").mapInArrow(counted(partial(counter, window=window, limit=QUEUE), partial(minimisers, window=window), partial(windows, window=window), partial(weights, window=window), later), RANGES)
     return apply_ranges(base, ranges, n, cut, list(names), list(kinds), schema)

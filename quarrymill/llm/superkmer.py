@@ -27,8 +27,11 @@ CHUNK = 2 << 20
 PACK = 48 << 20
 #: Windows that a bucket's task sorts at once; more are sorted in passes by their hash.
 SORTED = 4 << 20
-#: Bytes of strings that a bucket's task holds; a larger bucket goes to disk in parts.
-TASK_BYTES = 64 << 20
+#: Bytes of text of a bucket on average.
+BUCKET_BYTES = 4 << 20
+#: Memory that counter() takes for a window and for a word of its strings: the most that was measured, on periodic
+#: strings and on short ones.
+PER_WINDOW, PER_WORD = 280, 45
 #: A super-k-mer has so many windows at most.
 LONGEST = 4096
 
@@ -111,6 +114,13 @@ def windows(strings: list[bytes], window: int = WINDOW):
     return data, string, win - begin[string], start[win], stop[win + window - 1], window
 
 
+def weights(strings: list[bytes], window: int = WINDOW) -> np.ndarray:
+    """Of super-k-mers: the memory that counter() takes for each at most."""
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    words = np.fromiter((s.count(b" ") for s in strings), np.int64, len(strings)) + 1
+    return 80 + 2 * size + PER_WORD * words + PER_WINDOW * (words - window + 1)
+
+
 def later(doc: np.ndarray, mark: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
     return doc > doc[first]
 
@@ -149,13 +159,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A word goes if a window of 13 words that covers it also starts in a document with a smaller id; windows are judged
     on the input. Windows repeated within a document only, or between rows of one id, stay. A null text has no words;
     a null id is larger than any other. Ids are integers under 2^63 - 1, which stands for null. An empty table gives an
-    empty result. Other columns are ignored. A bucket may be of any size: beyond TASK_BYTES it goes through files.
+    empty result. Other columns are ignored. A bucket may be of any size: what weighs more than
+    spans.TASK_MEMORY goes through files.
     """
     require(docs, id_col, text_col)
     spark = docs.sparkSession
     bound_arrow(spark)
     base = keyed(docs, id_col, text_col)
-    n = bucket_count(base, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = bucket_count(base, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), BUCKET_BYTES)
     sent = base.mapInArrow(mapper(partial(super_kmers, window=window), n, CHUNK, PACK, False), ROWS)
-    ranges = sent.repartition(n, "target").mapInArrow(counted(partial(counter, window=window, at_once=SORTED), partial(minimisers, window=window), partial(windows, window=window), later, TASK_BYTES), RANGES)
+    ranges = sent.repartition(n, "target").mapInArrow(counted(partial(counter, window=window, at_once=SORTED), partial(minimisers, window=window), partial(windows, window=window), partial(weights, window=window), later), RANGES)
     return apply_ranges(base, ranges, n, cut, list(names), list(kinds), schema)

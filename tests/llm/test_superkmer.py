@@ -44,12 +44,12 @@ def rows_with_passages():
     return out
 
 
-@pytest.mark.parametrize("chunk,pack,task,splits", [(4 << 20, 48 << 20, 64 << 20, 32), (3000, 5000, 40_000, 5), (3000, 5000, 12_000, 2)])
+@pytest.mark.parametrize("chunk,pack,task,splits", [(4 << 20, 48 << 20, 480 << 20, 32), (3000, 5000, 120_000, 5), (3000, 5000, 30_000, 2)])
 def test_brute(spark, monkeypatch, chunk, pack, task, splits):
     rows = rows_with_passages()
     docs = table(spark, rows).repartition(3)
     monkeypatch.setattr(superkmer, "CHUNK", chunk)
-    monkeypatch.setattr(superkmer, "TASK_BYTES", task)
+    monkeypatch.setattr(spans, "TASK_MEMORY", task)
     monkeypatch.setattr(spans, "SPLITS", splits)
     monkeypatch.setattr(superkmer, "PACK", pack)
     monkeypatch.setattr(superkmer, "SORTED", pack)
