@@ -23,6 +23,12 @@ def dashboard_regions(df: DataFrame, with_discount: bool = False) -> DataFrame:
     return with_market_share(g)
 
 
+def first_rows(table: DataFrame, by: str, n: int = 10, low: int = 5, high: int = 20) -> DataFrame:
+    """The n rows with the largest ``by``, nulls last, ties by the other columns; n is kept between low and high."""
+    rest = [F.col(f"`{c}`") for c in table.columns if c != by]
+    return table.orderBy(F.col(f"`{by}`").desc_nulls_last(), *rest).limit(max(low, min(n, high)))
+
+
 def with_market_share(regions: DataFrame) -> DataFrame:
     """Adds market_share_pct of total_revenue, if it is missing."""
     return regions if "market_share_pct" in regions.columns else regions.withColumn("market_share_pct", ratio(F.col("total_revenue"), dsum_over("total_revenue")) * 100)

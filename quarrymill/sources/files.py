@@ -20,6 +20,7 @@ from . import records
 RAW_COLUMNS = ("order_id", "product_name", "category", "quantity", "unit_price", "discount_percent", "region", "sale_date", "customer_email")
 EXTENSIONS = (".csv", ".tsv", ".txt")
 ENCODINGS = ("utf-8", "cp1252", "latin-1")
+DELIMITERS = ",;\t|"
 LARGE = 10 << 30  # bytes from which a file gets a warning
 PROBE = 64 << 10  # bytes that are looked at before a file is read
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -31,10 +32,14 @@ def head(spark: SparkSession, path: str, lines: int = 20) -> list[str]:
 
 
 def detect_delimiter(sample: str) -> str:
+    """What the sniffer finds, if the header has it, as quoted text may mislead it; else the header's most frequent one of
+    DELIMITERS, a comma if it has none."""
+    head = re.split(r"[\r\n]", sample, maxsplit=1)[0]
     try:
-        return csv.Sniffer().sniff(sample[:8192]).delimiter
+        found = csv.Sniffer().sniff(sample[:8192], DELIMITERS).delimiter
     except csv.Error:
-        return ","
+        found = ""
+    return found if found and found in head else max(DELIMITERS, key=head.count)
 
 
 def _status(spark: SparkSession, path: str):

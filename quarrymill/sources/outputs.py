@@ -7,11 +7,11 @@ import json
 import time
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import reports, validation
+from ..operators import operations, reports, validation
 from .files import export
-from .store import Cache, Checkpoints, Folder, Lineage, Versions, check_exports
+from .store import Cache, Checkpoints, Folder, Lineage, Versions, check_exports, checksums
 
 
 def newest(spark: SparkSession, pattern: str) -> str | None:
@@ -83,6 +83,27 @@ def write_validation_reports(df: DataFrame, folder: str, rules: Iterable[validat
     return {kind: f"{target.base}/{name}" for kind, name in names.items()}
 
 
+def save_check_report(original: DataFrame, exports: dict[str, str], folder: str, stamp: str | None = None) -> str:
+    """Checks exports against the rows they are of, and writes export_check_<stamp>.json: by format, the path, whether all
+    rows are there, files and bytes. Returns its path."""
+    stamp, target = time.strftime("%Y%m%d_%H%M%S") if stamp is None else stamp, Folder(original.sparkSession, folder)
+    fine, found = check_exports(original, exports), {}
+    for kind, path in exports.items():
+        sums = checksums(original.sparkSession, path).agg({"length": "sum", "path": "count"}).first()
+        found[kind] = {"path": path, "consistent": fine[kind], "files": sums["count(path)"], "bytes": sums["sum(length)"] or 0}
+    target.write_json(f"export_check_{stamp}.json", {"generated": stamp, "passed": all(fine.values()), "exports": found})
+    return f"{target.base}/export_check_{stamp}.json"
+
+
+def save_error_report(errors: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], folder: str, stamp: str | None = None, last: int = 1000) -> str:
+    """Writes error_report_<stamp>.json: errors by ``keys``, and the ``last`` ones in the order given. Returns its path."""
+    stamp, target = time.strftime("%Y%m%d_%H%M%S") if stamp is None else stamp, Folder(errors.sparkSession, folder)
+    counts = [json.loads(x) for x in operations.error_summary(errors, *keys).toJSON().collect()]
+    recent = [json.loads(x) for x in errors.orderBy(*(F.col(c).desc() for c in order)).limit(last).toJSON().collect()]
+    target.write_json(f"error_report_{stamp}.json", {"generated": stamp, "counts": sorted(counts, key=str), "recent": recent})
+    return f"{target.base}/error_report_{stamp}.json"
+
+
 class Fresh:
     """Values by key that are made anew when they are older than max_age seconds. Tables are kept as plans, not rows."""
 

@@ -105,3 +105,7 @@ def test_blocks_that_start_inside_quotes(spark, tmp_path):
 def test_a_quote_without_an_end(spark, tmp_path):
     got = files.ingest(spark, put(tmp_path, "a.csv", 'a,b\n1,2\n3,"4\n5,6\n'))
     assert rows(got.rows) == [("1", "2"), ("3", "4\n5,6")]
+
+
+def test_delimiters():
+    assert files.detect_delimiter('note;type;id\n"said ""a"",\nx, y, z";b;1\n') == ";" and files.detect_delimiter("one\n1\n2\n") == "," and files.detect_delimiter("a\tb\n1\t2\n") == "\t" and files.detect_delimiter("") == ","

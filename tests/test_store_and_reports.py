@@ -110,3 +110,20 @@ def test_pipeline_from_csv(spark, tmp_path):
     generate.dirty(spark, 300).coalesce(1).write.csv(f"file://{tmp_path}/in", header=True)
     out = pipeline.run(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out")
     assert len(out["validation"]) == 13 and spark.read.parquet(out["exports"]["region_wise_performance"]["parquet"]).count() >= 4
+
+
+def test_check_and_error_reports_are_saved(spark, tmp_path):
+    from quarrymill.sources import outputs
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id int, s string")
+    base = f"file://{tmp_path}"
+    paths = files.export(df, base, "t")
+    got = json.loads((tmp_path / "export_check_1.json").read_text() if outputs.save_check_report(df, paths, base, "1") else "")
+    assert got["passed"] and got["exports"]["csv"]["consistent"] and got["exports"]["parquet"]["bytes"] > 0
+    outputs.save_check_report(df.limit(1), paths, base, "2")
+    assert not json.loads((tmp_path / "export_check_2.json").read_text())["passed"]
+    errors = spark.createDataFrame([("io", "a", 1), ("io", "b", 3), ("x", "c", 2)], "category string, message string, ts int")
+    outputs.save_error_report(errors, ("category",), ("ts", "message"), base, "1", last=2)
+    got = json.loads((tmp_path / "error_report_1.json").read_text())
+    assert {c["category"]: c["errors"] for c in got["counts"]} == {"io": 2, "x": 1} and [r["message"] for r in got["recent"]] == ["b", "c"]
+    assert [r.s for r in dashboards.first_rows(df, "id", 1, low=1).collect()] == ["b"]
