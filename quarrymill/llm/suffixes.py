@@ -25,15 +25,17 @@ from .spans import RANGES, ROWS, apply_ranges, bucket_count, counted, equal_grou
 WINDOW = 100
 MER = 16
 CHUNK = 1 << 20
-PACK = 32 << 20
+PACK = 64 << 20
+#: Pairs of suffixes that are compared at once.
+BLOCK = 1 << 18
 LONGEST = 4096
 #: Bytes of text of a shard on average.
-BUCKET_BYTES = 1 << 20
-#: Memory that counter() takes for a window and for a byte of its strings: the most that was measured, on periodic strings
-#: and on short ones that repeat. Where few windows repeat it takes a third of that.
-PER_WINDOW, PER_BYTE = 165, 24
+BUCKET_BYTES = 2 << 20
+#: Memory that counter() takes for a window and for a string: the most that was measured, on periodic strings and on short
+#: ones that repeat.
+PER_WINDOW, PER_STRING = 55, 1700
 #: Numbers that a priority queue holds in memory; tuples beyond it wait on disk.
-QUEUE = 8 << 20
+QUEUE = 1 << 20
 
 
 def super_kmers(rows: list[tuple], window: int = WINDOW, mer: int = MER, longest: int = LONGEST):
@@ -173,12 +175,11 @@ def sort_suffixes(text: np.ndarray, depth: int, limit: int = QUEUE) -> np.ndarra
     if n < 2:
         return np.arange(n)
     kind = np.int32 if n < 1 << 31 else np.int64
-    differs = np.flatnonzero(text[:-1] != text[1:])
-    after = np.searchsorted(differs, np.arange(n - 1))
+    ends = np.flatnonzero(text[:-1] != text[1:])  # of runs of one byte, but for the last run, whose type is L
     is_s = np.zeros(n, bool)
-    ok = after < len(differs)
-    is_s[: n - 1][ok] = text[differs[after[ok]]] < text[differs[after[ok]] + 1]
-    del after, ok
+    if len(ends):
+        is_s[: ends[-1] + 1] = np.repeat(text[ends] < text[ends + 1], np.diff(ends, prepend=-1))
+    del ends
     lms = (np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1).astype(kind)
     if len(lms) > 1:
         # LMS substrings in order: induce from any order, then pick the LMS suffixes
@@ -193,7 +194,11 @@ def sort_suffixes(text: np.ndarray, depth: int, limit: int = QUEUE) -> np.ndarra
         size[-1] -= 1
         spare = np.r_[text, np.zeros(8, np.uint8)]
         same = (at[1:] != len(lms) - 1) & (at[:-1] != len(lms) - 1) & (size[at[1:]] == size[at[:-1]])
-        same[same] = _equal(spare, got[1:][same], got[:-1][same], size[at[1:]][same])
+        pairs = np.flatnonzero(same)
+        for a in range(0, len(pairs), BLOCK):
+            some = pairs[a : a + BLOCK]
+            same[some] = _equal(spare, got[some + 1], got[some], size[at[some + 1]])
+        del pairs
         rank = np.empty(len(lms), np.int64)
         rank[at] = np.cumsum(np.r_[0, ~same])
         # the reduced string, by ranks of doubling length, as far as depth needs (a name spans 2 bytes at least)
@@ -215,12 +220,15 @@ def repeats(data: np.ndarray, valid: np.ndarray, window: int, limit: int = QUEUE
     order = sort_suffixes(data, window, limit)
     flag = np.zeros(len(data), bool)
     flag[valid] = True
-    order = order[flag[order]].astype(np.int64)
-    spare = np.r_[data, np.zeros(8, np.uint8)]
-    same = _equal(spare, order[1:], order[:-1], np.full(max(len(order) - 1, 0), window))
-    at = np.flatnonzero(np.r_[True, ~same])
-    first = np.empty(len(data), np.int64)
-    first[order] = np.repeat(np.minimum.reduceat(order, at), np.diff(np.r_[at, len(order)]))
+    order = order[flag[order]]
+    del flag
+    spare, new = np.r_[data, np.zeros(8, np.uint8)], np.ones(len(order), bool)
+    for a in range(1, len(order), BLOCK):
+        z = min(a + BLOCK, len(order))
+        new[a:z] = ~_equal(spare, order[a:z], order[a - 1 : z - 1], np.full(z - a, window))
+    at = np.flatnonzero(new)
+    first = np.empty(len(data), order.dtype)
+    first[order] = np.repeat(np.minimum.reduceat(order, at), np.diff(at, append=len(order)))
     return first[valid]
 
 
@@ -247,16 +255,18 @@ def windows(strings: list[bytes], window: int = WINDOW):
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     begin, count = np.cumsum(sizes) - sizes, sizes - window + 1
     total = np.cumsum(count)
+    kind = np.int32 if sizes.sum() < 1 << 31 else np.int64
     string = np.repeat(np.arange(len(sizes), dtype=np.int32), count)
-    place = np.arange(total[-1] if len(total) else 0) - np.repeat(total - count, count)
-    start = place + begin[string]
-    return b"".join(strings), string, place, start, start + window, window
+    place = np.arange(total[-1] if len(total) else 0, dtype=kind)
+    place -= np.repeat((total - count).astype(kind), count)
+    start = place + begin.astype(kind)[string]
+    return b"".join(strings), string, place, start, start + kind(window), window
 
 
 def weights(strings: list[bytes], window: int = WINDOW) -> np.ndarray:
     """Of super-k-mers: the memory that counter() takes for each at most."""
     size = np.fromiter(map(len, strings), np.int64, len(strings))
-    return 80 + PER_BYTE * size + PER_WINDOW * (size - window + 1)
+    return PER_STRING + 2 * size + PER_WINDOW * (size - window + 1)
 
 
 def later(doc: np.ndarray, mark: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -266,43 +276,51 @@ def later(doc: np.ndarray, mark: np.ndarray, at: np.ndarray, first: np.ndarray)
 def counter(docs: np.ndarray, marks: np.ndarray, firsts: np.ndarray, strings: list[bytes], window: int = WINDOW, limit: int = QUEUE) -> Iterator[pa.RecordBatch]:
     """Super-k-mers of whole shards in order of (document, start): RANGES of the windows that start earlier too."""
     data, string, place, start, stop, _ = windows(strings, window)
-    del stop
-    raw = np.frombuffer(data, np.uint8)
+    raw, kind = np.frombuffer(data, np.uint8), start.dtype
     strings.clear()
-    h = range_hashes(raw, start, start + window)
-    order = np.argsort(h)
-    ranked = h[order]
-    twin = ranked[1:] == ranked[:-1]
-    dup = np.zeros(len(h), bool)
-    dup[order[1:][twin]] = True
-    dup[order[:-1][twin]] = True
-    del h, order, ranked, twin
-    win = np.flatnonzero(dup)
-    del dup
+    h = range_hashes(raw, start, stop)
+    del stop
+    ranked = np.sort(h)
+    twins = ranked[1:][ranked[1:] == ranked[:-1]]  # hashes that occur again
+    del ranked
+    win = np.flatnonzero(np.r_[False, twins][np.searchsorted(twins, h, side="right")] == h) if len(twins) else np.empty(0, np.int64)
+    del h, twins
     if not len(win):
         return
+    win = win.astype(kind)
     s, at, place = string[win], start[win], place[win]
     del string, start
     # runs of windows that may repeat become segments; equal segments are sorted once, by their first one
     cut = np.flatnonzero(np.r_[True, (np.diff(win) > 1) | (s[1:] != s[:-1])])
-    n = np.diff(np.r_[cut, len(win)])
-    a = at[cut]
+    n = np.diff(cut, append=len(win))
+    del win
+    a = at[cut].astype(np.int64)
+    del at
     same = equal_groups(data, a, a + n + window - 1, range_hashes(raw, a, a + n + window - 1))
-    own = np.flatnonzero(same == np.arange(len(same)))
+    is_own = same == np.arange(len(same))
+    own = np.flatnonzero(is_own)
     length = n[own] + window - 1
     text = np.frombuffer(b"".join([data[x:y] for x, y in zip(a[own].tolist(), (a[own] + length).tolist(), strict=True)]), np.uint8)
     total = np.cumsum(n[own])
-    valid = np.arange(total[-1]) + np.repeat(np.cumsum(length) - length - (total - n[own]), n[own])  # windows' places in text
+    valid = np.arange(total[-1], dtype=kind)  # windows' places in text
+    valid += np.repeat((np.cumsum(length) - length - (total - n[own])).astype(kind), n[own])
+    found = repeats(text, valid, window, limit)
+    places = np.flatnonzero(np.repeat(is_own, n)).astype(kind)  # valid's windows among all
+    found = places[np.searchsorted(valid, found)]  # the first equal window of each of valid's
+    del valid, text, places
     base = np.empty(len(cut), np.int64)  # of a first segment's windows among valid
     base[own] = total - n[own]
-    back = (np.arange(len(win)) - np.repeat(cut, n))  # of a window in its segment
-    mine = np.repeat(base[same], n) + back
-    places = np.flatnonzero(np.repeat(same == np.arange(len(same)), n))  # valid's windows among win
-    first = places[np.searchsorted(valid, repeats(text, valid, window, limit))[mine]]
-    at = place + firsts[s]
-    d, m = docs[s], marks[s]
-    gone = later(d, m, at, first)
-    yield from range_rows(d[gone], m[gone], at[gone], at[gone] + window)
+    mine = np.arange(len(s), dtype=kind)  # a window's place in its segment, moved to its first equal segment
+    mine += np.repeat((base[same] - cut).astype(kind), n)
+    first = found[mine]
+    del found, mine
+    for x in range(0, len(s), BLOCK):
+        f, i = first[x : x + BLOCK], np.arange(x, min(x + BLOCK, len(s)))
+        i, f = i[f != i], f[f != i]
+        d, m, at = docs[s[i]], marks[s[i]], place[i] + firsts[s[i]]
+        # a repeated row has the same windows at the same places, which aren't earlier
+        gone = np.flatnonzero((d != docs[s[f]]) | (m != marks[s[f]]) | (at != place[f] + firsts[s[f]]))
+        yield from range_rows(d[gone], m[gone], at[gone], at[gone] + window)
 
 
 def cut_bytes(text: bytes, ranges: np.ndarray) -> tuple[int, int, int, str]:
