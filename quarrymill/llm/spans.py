@@ -68,8 +68,11 @@ def equal_groups(data: bytes, start: np.ndarray, stop: np.ndarray, h: np.ndarray
         return np.empty(0, np.int64)
     out = first_of_equal(h)
     dup = np.flatnonzero(out != np.arange(len(h)))
-    f = out[dup]
-    same = np.fromiter((data[a:b] == data[c:d] for a, b, c, d in zip(start[dup].tolist(), stop[dup].tolist(), start[f].tolist(), stop[f].tolist(), strict=True)), bool, len(dup))
+    same = np.empty(len(dup), bool)
+    for x in range(0, len(dup), 1 << 16):  # as Python's numbers take room
+        own = dup[x : x + (1 << 16)]
+        f = out[own]
+        same[x : x + len(own)] = [data[a:b] == data[c:d] for a, b, c, d in zip(start[own].tolist(), stop[own].tolist(), start[f].tolist(), stop[f].tolist(), strict=True)]
     seen: dict[bytes, int] = {}
     for i in dup[~same].tolist():  # equal hashes of different bytes
         out[i] = seen.setdefault(data[start[i] : stop[i]], i)

@@ -27,11 +27,13 @@ CHUNK = 2 << 20
 PACK = 48 << 20
 #: Windows that a bucket's task sorts at once; more are sorted in passes by their hash.
 SORTED = 4 << 20
+#: Windows that go at once.
+BLOCK = 1 << 18
 #: Bytes of text of a bucket on average.
 BUCKET_BYTES = 4 << 20
-#: Memory that counter() takes for a window and for a word of its strings: the most that was measured, on periodic
-#: strings and on short ones.
-PER_WINDOW, PER_WORD = 280, 45
+#: Memory that counter() takes for a window and for a word of its strings: the most that was measured, on long
+#: strings of one-letter words and on short ones.
+PER_WINDOW, PER_WORD = 130, 45
 #: A super-k-mer has so many windows at most.
 LONGEST = 4096
 
@@ -128,6 +130,7 @@ def later(doc: np.ndarray, mark: np.ndarray, at: np.ndarray, first: np.ndarray)
 def counter(docs: np.ndarray, marks: np.ndarray, firsts: np.ndarray, strings: list[bytes], window: int = WINDOW, at_once: int = SORTED) -> Iterator[pa.RecordBatch]:
     """Super-k-mers of whole buckets, sorted by document: RANGES of words whose windows start in a smaller document too."""
     data, string, place, a, b, _ = windows(strings, window)
+    place = place.astype(np.int32)  # of a string
     strings.clear()
     raw = np.frombuffer(data, np.uint8)
     h = range_hashes(raw, a, b)
@@ -137,10 +140,13 @@ def counter(docs: np.ndarray, marks: np.ndarray, firsts: np.ndarray, strings: li
         own = np.flatnonzero(h % np.uint64(passes) == p) if passes > 1 else np.arange(len(string))
         d = docs[string[own]]
         gone[own] = d > d[equal_groups(data, a[own], b[own], h[own])]
-    hit = np.flatnonzero(gone)
-    s = string[hit]
-    at = firsts[s] + place[hit]
-    yield from range_rows(docs[s], marks[s], at, at + window)
+    del h, a, b
+    hits = np.flatnonzero(gone)
+    for x in range(0, len(hits), BLOCK):
+        hit = hits[x : x + BLOCK]
+        s = string[hit]
+        at = firsts[s] + place[hit]
+        yield from range_rows(docs[s], marks[s], at, at + window)
 
 
 def cut_words(text: bytes, ranges: np.ndarray) -> tuple[int, int, str]:
