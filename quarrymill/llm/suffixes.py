@@ -283,10 +283,15 @@ def counter(docs: np.ndarray, marks: np.ndarray, firsts: np.ndarray, strings: li
     ranked = np.sort(h)
     twins = ranked[1:][ranked[1:] == ranked[:-1]]  # hashes that occur again
     del ranked
-    win = np.flatnonzero(np.r_[False, twins][np.searchsorted(twins, h, side="right")] == h) if len(twins) else np.empty(0, np.int64)
-    del h, twins
-    if not len(win):
+    if not len(twins):
         return
+    low = np.uint64((1 << 22) - 1)  # few windows of ordinary text have a twin: most are sent away by a small table
+    some = np.zeros(1 << 22, bool)
+    some[twins & low] = True
+    win = np.flatnonzero(some[h & low])
+    own = h[win]
+    win = win[twins[np.minimum(np.searchsorted(twins, own), len(twins) - 1)] == own]
+    del h, twins, own, some
     win = win.astype(kind)
     s, at, place = string[win], start[win], place[win]
     del string, start
