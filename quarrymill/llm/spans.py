@@ -283,15 +283,15 @@ class Oversized:
                     yield from range_rows(doc[gone], mark[gone], first[gone], first[gone] + width)
 
 
-def counted(count, minimisers, windows, weights, later):
+def counted(count, minimisers, windows, weights, later, limit: int | None = None):
     """count: of (docs, marks, firsts, strings) of whole buckets, gives batches of RANGES. Decided ranges pass through.
 
-    weights: of strings, the memory in bytes that count takes for each at most; a bucket that weighs more than TASK_MEMORY is
-    Oversized. minimisers: of strings. windows: of strings, gives the bytes, and by window its string, place in it, start
+    weights: of strings, the memory in bytes that count takes for each at most; a bucket that weighs more than ``limit``, or
+    TASK_MEMORY, is Oversized. minimisers: of strings. windows: of strings, gives the bytes, and by window its string, place in it, start
     and stop in the bytes; and the window. later: of windows' documents, marks, places and first equal ones, which go.
     """
 
-    limit = TASK_MEMORY
+    limit = limit or TASK_MEMORY
 
     def whole(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
         docs, marks, firsts = (np.concatenate([p[i] for p in parts]) for i in range(3))

@@ -34,6 +34,8 @@ BUCKET_BYTES = 2 << 20
 #: Memory that counter() takes for a window and for a string: the most that was measured, on periodic strings and on short
 #: ones that repeat.
 PER_WINDOW, PER_STRING = 55, 1700
+#: Memory that a task may take for a shard: hot minimisers fill shards, and those that go through files cost twice the time.
+TASK_MEMORY = 1200 << 20
 #: Numbers that a priority queue holds in memory; tuples beyond it wait on disk.
 QUEUE = 1 << 20
 
@@ -344,7 +346,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the same one; overlaps count, and strings are judged on the input. Rows with one id and one text are one document;
     rows with one id and different texts are in a fixed order, by a hash of the text. A null text has no bytes; a null
     id is larger than any other. Ids are integers under 2^63 - 1, which stands for null. An empty table gives an empty
-    result. Other columns are ignored. A shard may be of any size: what weighs more than spans.TASK_MEMORY goes through files,
+    result. Other columns are ignored. A shard may be of any size: what weighs more than TASK_MEMORY goes through files,
     split by minimiser and sorted part by part; of a part that is still larger, windows are compared by shares of their
     hashes.
     """
@@ -354,5 +356,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     base = keyed(docs, id_col, text_col)
     n = bucket_count(base, 6 * int(spark.conf.get("spark.sql.shuffle.partitions")), BUCKET_BYTES)
     sent = base.mapInArrow(mapper(partial(super_kmers, window=window), n, CHUNK, PACK, True), ROWS)
-    ranges = sent.repartition(n, "target").mapInArrow(counted(partial(counter, window=window, limit=QUEUE), partial(minimisers, window=window), partial(windows, window=window), partial(weights, window=window), later), RANGES)
+    ranges = sent.repartition(n, "target").mapInArrow(counted(partial(counter, window=window, limit=QUEUE), partial(minimisers, window=window), partial(windows, window=window), partial(weights, window=window), later, TASK_MEMORY), RANGES)
     return apply_ranges(base, ranges, n, cut, list(names), list(kinds), schema)

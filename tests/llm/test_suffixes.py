@@ -33,7 +33,7 @@ def test_brute(spark, monkeypatch, chunk, queue, task, splits):
     rows = [r for r in rows_with_passages() if r[0] != 5 and r[0] is not None]
     rows += [(300, "z" * 250), (301, "z" * 99), (302, "\0" * 150 + "\x01" * 150), (303, "ab" * 300), (304, "é" * 60 + "x" + "é" * 60), (None, rows[-1][1]), (6, "a  b")]
     monkeypatch.setattr(suffixes, "CHUNK", chunk)
-    monkeypatch.setattr(spans, "TASK_MEMORY", task)
+    monkeypatch.setattr(suffixes, "TASK_MEMORY", task)
     monkeypatch.setattr(spans, "SPLITS", splits)
     monkeypatch.setattr(suffixes, "QUEUE", queue)
     got = suffixes.suffix_dedup(table(spark, rows).repartition(3)).collect()
