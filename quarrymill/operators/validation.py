@@ -10,6 +10,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.written import written
 from . import text_dates
 
 log = logging.getLogger(__name__)
@@ -101,8 +102,9 @@ def _used(df: DataFrame, rules: Iterable[Rule]) -> list[Rule]:
     return [r for r in rules if r.enabled and r.field in df.columns]
 
 
-def _prepared(df: DataFrame, used: list[Rule]) -> DataFrame:
-    """df beside one row of what built-in rules must know of whole columns: mean and deviation, and how dates are read."""
+def _prepared(df: DataFrame, used: list[Rule], once: bool = False) -> DataFrame:
+    """df beside one row of what built-in rules must know of whole columns: mean and deviation, and how dates are read.
+    once: the row is computed now, for all that read it."""
     kinds, facts, ways = dict(df.dtypes), [], {}
     for c in dict.fromkeys(r.field for r in used if r.valid == "zscore"):
         x = F.col(f"`{c}`").try_cast("double")
@@ -113,7 +115,8 @@ def _prepared(df: DataFrame, used: list[Rule]) -> DataFrame:
     if not facts:
         return df
     one = df.agg(*facts).withColumns(ways)
-    return df.crossJoin(F.broadcast(one.drop(*(c for c in one.columns if c.startswith("_d_")))))  # one row
+    one = one.drop(*(c for c in one.columns if c.startswith("_d_")))
+    return df.crossJoin(F.broadcast(written(one, "facts") if once else one))  # one row
 
 
 def _predicate(d: DataFrame, r: Rule) -> Column:
@@ -178,25 +181,43 @@ def validate(df: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) -> DataFrame:
     return _results(d.agg(F.count(F.lit(1)).alias("n"), *columns.values()), used, errors).drop("error")
 
 
+def _kept(df: DataFrame, used: list[Rule]) -> DataFrame:
+    """df written once: the rules' fields, or all columns if rules read others. df as it is if a column can't be computed,
+    as then only the rules that read it fail, or if rules are bound to df itself."""
+    wrong = _planned(_prepared(df, used), used)[1].keys()
+    for d in (df.select(*(f"`{c}`" for c in dict.fromkeys(r.field for r in used))), df):
+        bare = df.sparkSession.createDataFrame([], d.schema)  # for analysis
+        if _planned(_prepared(bare, used), used)[1].keys() == wrong:
+            try:
+                return written(d, "rules")
+            except (PySparkException, Py4JJavaError) as e:
+                log.warning("rules run on rows that can't be written: %s", str(e)[:500])
+                return df
+    return df
+
+
 def validate_isolated(df: DataFrame, rules: Iterable[Rule] = DEFAULT_RULES) -> DataFrame:
     """validate(), run at once, with a column error: null, or why the rule couldn't be planned or failed on some row. Such
     a rule alone counts every record as invalid.
 
-    All rules are one aggregate. Where it fails, its rules are halved until those that fail are found; halves that don't
-    fail give their counts. So k such rules of n cost at most 2 k log2 n passes more. An error of the rows themselves,
-    without any rule, is raised.
+    The columns that the rules read are written once, and all passes read them. Rules are one aggregate, those on unique
+    values another, as it shuffles by value. Where one fails, its rules are halved until those that fail are found; halves
+    that don't fail give their counts. So k such rules of n cost at most 2 k log2 n passes more, over the written columns.
+    An error of the rows themselves, without any rule, is raised.
     """
     used, total = _used(df, rules), None
-    d = _prepared(df, used)
+    rows = _kept(df, used)
+    d = _prepared(rows, used, once=True)
     columns, errors = _planned(d, used)
-    found, todo = {}, [list(columns)]
+    unique = [r.name for r in used if r.valid == "unique" and r.name in columns]
+    found, todo = {}, [x for x in (unique, [name for name in columns if name not in unique]) if x] or [[]]
     while todo:
         some = todo.pop()
         try:
             row = d.agg(F.count(F.lit(1)).alias("n"), *(columns[name] for name in some)).first()
         except (PySparkException, Py4JJavaError) as e:
             if total is None:
-                total = df.count()  # raises if the rows can't be read at all
+                total = rows.count()  # raises if the rows can't be read at all
             if len(some) == 1:
                 errors[some[0]] = f"{type(e).__name__}: {e}"[:500]
             elif some:

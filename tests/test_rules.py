@@ -1,6 +1,7 @@
 import datetime
 import json
 import logging
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,3 +110,25 @@ def test_reports_are_written_and_found(spark, tmp_path):
     assert errors["category_enum"]["values"] == [{"value": "b", "records": 2}, {"value": "a", "records": 1}] and errors["bad"]["values"] == [] and errors["bad"]["error_type"] == "custom_error"
     assert list(got["rule_errors"]) == ["bad"] and "revenue_calculation" in got["skipped_rules"] and got["schema"]["quantity"] == "int"
     assert {"subject": "enum_warning", "advice": "extend_allowed_values"} in got["advice"] and got["error_types"]["enum_warning"] == 1
+
+
+def test_isolated_rules_read_their_rows_once(spark, tmp_path):
+    """The rows are computed once however many rules fail, unless a column can't be computed or a rule needs df itself."""
+    (tmp_path / "seen").mkdir()
+
+    def noted(rows):
+        for batch in rows:
+            with open(tmp_path / "seen" / uuid.uuid4().hex, "w") as f:
+                f.write(str(len(batch)))
+            yield batch
+
+    df = spark.range(1, 9, numPartitions=1).selectExpr("id AS n", "id % 2 AS m", "cast(id % 4 AS string) AS u", "'x' AS s").mapInPandas(noted, "n bigint, m bigint, u string, s string")
+    bad = [Rule(f"bad{i}", "s", "error", lambda c, i=i: c.cast("int") > i) for i in range(3)]
+    fine = [Rule("big", "n", "error", lambda c: c > 4), Rule("other", "n", "error", lambda c: c > F.col("m") * 7), Rule("u", "u", "error", "unique"), Rule("z", "n", "error", "zscore")]
+    got = {r.rule_name: (r.valid_records, r.error is not None) for r in validation.validate_isolated(df, [bad[0], *fine, *bad[1:]]).collect()}
+    assert got == {"big": (4, False), "other": (4, False), "u": (4, False), "z": (8, False)} | {f"bad{i}": (0, True) for i in range(3)}
+    assert sum(int(p.read_text()) for p in (tmp_path / "seen").iterdir()) == 8
+    broken = spark.createDataFrame([("1", 2), ("x", 3)], "s string, n int").select(F.col("s").cast("int").alias("i"), "n")
+    rules = [Rule("i", "i", "error", lambda c: c > 0), Rule("big", "n", "error", lambda c: c > 2), Rule("own", "n", "error", lambda c: c > broken["n"] - 1)]
+    assert {r.rule_name: (r.valid_records, r.error is not None) for r in validation.validate_isolated(broken, rules).collect()} == {"i": (0, True), "big": (1, False), "own": (2, False)}
+    assert {r.rule_name: r.valid_records for r in validation.validate_isolated(broken, rules[1:]).collect()} == {"big": 1, "own": 2}
