@@ -1,4 +1,4 @@
-"""Anomalies by z-score, interquartile range and fraud patterns. All statistics come from counts of values, in one row."""
+"""Anomalies by z-score, interquartile range and fraud patterns. All statistics come from counts of values."""
 
 from __future__ import annotations
 
@@ -28,36 +28,37 @@ PRESETS = {"low": Sensitivity(3.5, 2.0, 0.99, 3.0, 0.05), "medium": Sensitivity(
 
 
 def _valid(measure: str) -> Column:
+    """The measure as a double; null where it doesn't count. NaN is larger than any number."""
     x = F.col(MEASURES[measure]).cast("double")
-    ok = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    return ok & {"revenue": F.lit(True), "quantity": x > 0, "discount": (x >= 0) & (x <= 1)}[measure]
+    return F.when({"revenue": F.abs(x) < float("inf"), "quantity": (x > 0) & (x < float("inf")), "discount": x.between(0, 1)}[measure], x)
 
 
-def _stats(df: DataFrame, measures) -> DataFrame:
-    counts = written(value_counts(df, **{m: F.when(_valid(m), F.col(MEASURES[m]).cast("double")) for m in measures}), "counts")
+def _stats(df: DataFrame, measures) -> dict:
+    """(mean, std, (lower quartile, upper quartile)) by measure; measures without values have none."""
+    counts = written(value_counts(df, **{m: _valid(m) for m in measures}), "counts")
     rows = moments(counts).join(quantiles(counts, (0.25, 0.75)).drop("total"), "name")  # a row per measure
-    own = lambda m, c: F.max(F.when(F.col("name") == m, F.col(c)))
-    return rows.agg(*(own(m, c).alias(f"_{m}_{to}") for m in measures for c, to in (("mean", "mean"), ("std", "std"), ("q", "q"))))
+    return {r["name"]: (r["mean"], r["std"], r["q"]) for r in rows.select("name", "mean", "std", "q").collect()}
 
 
 def detect(df: DataFrame, measures=tuple(MEASURES), z: float = 3.0, k: float = 1.5) -> DataFrame:
-    """Adds <measure>_anomaly_zscore, _iqr, _score and _reason."""
+    """Adds <measure>_anomaly_zscore, _iqr, _score and _reason. The statistics are computed at once, so that bounds are
+    constants in what is done to each row."""
     d = with_revenue(df)
-    names = d.columns
-    d = d.crossJoin(F.broadcast(_stats(d, measures)))  # one row
-    out = {}
+    stats, out = _stats(d, measures), {}
     for m in measures:
-        x, std, q = F.col(MEASURES[m]).cast("double"), F.col(f"_{m}_std"), F.col(f"_{m}_q")
-        ok = _valid(m)
+        if m not in stats:
+            out |= {f"{m}_anomaly_zscore": F.lit(False), f"{m}_anomaly_iqr": F.lit(False), f"{m}_anomaly_score": F.lit(0.0), f"{m}_anomaly_reason": F.lit("No valid data")}
+            continue
+        x, (mean, std, q) = _valid(m), stats[m]
         lo, hi = q[0] - k * (q[1] - q[0]), q[1] + k * (q[1] - q[0])
-        score = F.when(ok & (std > 0), F.abs(x - F.col(f"_{m}_mean")) / std).otherwise(0.0)
-        far = F.coalesce(score > z, F.lit(False))
-        above, below = F.coalesce(ok & (x > hi), F.lit(False)), F.coalesce(ok & (x < lo), F.lit(False))
+        score = F.coalesce(F.abs(x - mean) / std, F.lit(0.0)) if std else F.lit(0.0)
+        far = score > z
+        above, below = F.coalesce(x > hi, F.lit(False)), F.coalesce(x < lo, F.lit(False))
         iqr = above if m == "quantity" else above | below
         single = F.when(above, "Unusually High Discount").when(below, "Unusually Low Discount") if m == "discount" else F.when(iqr, "IQR Outlier")
-        reason = F.when(F.col(f"_{m}_mean").isNull(), "No valid data").when(far & iqr, "Z-score + IQR Outlier").otherwise(F.coalesce(single, F.when(far, "High Z-score"), F.lit("Normal")))
+        reason = F.when(far & iqr, "Z-score + IQR Outlier").otherwise(F.coalesce(single, F.when(far, "High Z-score"), F.lit("Normal")))
         out |= {f"{m}_anomaly_zscore": far, f"{m}_anomaly_iqr": iqr, f"{m}_anomaly_score": score, f"{m}_anomaly_reason": reason}
-    return d.select(*names, *(c.alias(n) for n, c in out.items()))
+    return d.select("*", *(c.alias(n) for n, c in out.items()))
 
 
 def top_records(df: DataFrame, n: int = 5, order=("order_id",)) -> DataFrame:

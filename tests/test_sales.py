@@ -1,3 +1,4 @@
+import pytest
 import datetime
 
 from quarrymill.functions import cleaning as c
@@ -113,3 +114,22 @@ def test_monthly_stream(spark, tmp_path):
     q.stop()
     got = {r.month: (r.total_revenue, r.transaction_count, r.total_quantity, r.avg_discount) for r in spark.table("months").collect()}
     assert got == {"2024-01": (25.0, 3, 3, 0.17), "2024-02": (10.0, 1, 2, 0.5)}
+
+
+def test_anomaly_bounds_are_constants(spark, capsys):
+    """Rows meet no table of statistics; values that don't count have no score."""
+    rows = [("a", 10 + i % 3, 100.0, 0.1, 900.0 + i % 5) for i in range(40)] + [("b", 500, 100.0, 0.9, 50000.0), ("c", -1, 1.0, 2.0, float("nan")), ("d", None, 1.0, None, float("inf"))]
+    df = spark.createDataFrame(rows, "order_id string, quantity int, unit_price double, discount_percent double, revenue double")
+    found = anomalies.detect(df)
+    anomalies.top_records(found).explain()
+    assert "Join" not in capsys.readouterr().out
+    got = {r.order_id: r for r in found.collect()}
+    for m, c in anomalies.MEASURES.items():
+        xs = [r[("order_id", "quantity", "unit_price", "discount_percent", "revenue").index(c)] for r in rows[:-2]]
+        mean = sum(xs) / len(xs)
+        std = (sum((x - mean) ** 2 for x in xs) / (len(xs) - 1)) ** 0.5
+        assert got["b"][f"{m}_anomaly_score"] == pytest.approx(abs(xs[-1] - mean) / std) and got["b"][f"{m}_anomaly_iqr"]
+        assert all(not got[o][f"{m}_anomaly_{k}"] and got[o][f"{m}_anomaly_score"] == 0.0 and got[o][f"{m}_anomaly_reason"] == "Normal" for o in "cd" for k in ("zscore", "iqr"))
+    assert [r.order_id for r in anomalies.top_records(found).collect()] == ["b"]
+    none = anomalies.detect(df.filter("order_id = 'd'")).first()
+    assert none.quantity_anomaly_reason == "No valid data" and none.quantity_anomaly_score == 0.0
