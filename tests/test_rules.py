@@ -1,6 +1,7 @@
 import datetime
 import json
 import logging
+import random
 import uuid
 
 import pytest
@@ -132,3 +133,19 @@ def test_isolated_rules_read_their_rows_once(spark, tmp_path):
     rules = [Rule("i", "i", "error", lambda c: c > 0), Rule("big", "n", "error", lambda c: c > 2), Rule("own", "n", "error", lambda c: c > broken["n"] - 1)]
     assert {r.rule_name: (r.valid_records, r.error is not None) for r in validation.validate_isolated(broken, rules).collect()} == {"i": (0, True), "big": (1, False), "own": (2, False)}
     assert {r.rule_name: r.valid_records for r in validation.validate_isolated(broken, rules[1:]).collect()} == {"big": 1, "own": 2}
+
+
+def test_shapes_reject_nothing_that_a_format_reads(spark):
+    """Every format by Spark alone, and behind its shape, over texts that nearly fit; few texts that fail reach a parser."""
+    r = random.Random(5)
+    number = lambda: r.choice(["0", "00", "1", "01", "001", "2", "02", "9", "10", "12", "012", "13", "28", "29", "30", "31", "031", "32", "99", "-1", "+1", "2023", "+2023", "-2023", "02023", "12023", "+12023", "0000", "202", ""])
+    months = ["Jan", "feb", "MAR", "May", "Sept", "Sep", "Jän", "1", "January", ""]
+    texts_ = [f"{a}{s}{b}{s}{c}{z}" for a, s, b, c, z in ((number(), r.choice("-/. "), number(), number(), r.choice(["", "", " 1:2:3", "T01:02:03", "t1:2:3", " 24:00:00", " 1:2", " 23:59:60", "T1:2:3Z", "T1:2:3z", " ", "x", "\\n"])) for _ in range(6000))]
+    texts_ += [f"{m} {number()}, {number()}" for m in months for _ in range(60)] + [f"{number()} {m} {number()}" for m in months for _ in range(60)] + [number() + number() for _ in range(500)] + ["20230228", "120230228", "+120230228", "20230230"] + ["2023-2-1 1:2:3", "2023-2-1T1:2:3", "2023-2-1t1:2:3z", "2/1/2023 1:2:3", "2023/2/1", "1.2.2023", "Feb 1, 2023", "1 feb 2023", "1-2-2023"] + [f"2023-{m}-{d}" for m in range(14) for d in range(33)]
+    c, forms = F.trim("sale_date"), sorted({f for w in text_dates.WAYS.values() for f in w})
+    df = texts(spark, *texts_).select("sale_date", *(F.try_to_timestamp(c, F.lit(f)).alias(f"a{i}") for i, f in enumerate(forms)), *(text_dates._read(c, f).alias(f"b{i}") for i, f in enumerate(forms)), *(c.rlike(text_dates.shape(f)).alias(f"s{i}") for i, f in enumerate(forms)))
+    got = df.agg(*(F.count_if(~F.col(f"a{i}").eqNullSafe(F.col(f"b{i}"))).alias(f"x{i}") for i in range(len(forms))), *(F.count(f"a{i}").alias(f"n{i}") for i in range(len(forms)))).first()
+    assert {f: got[f"x{i}"] for i, f in enumerate(forms)} == dict.fromkeys(forms, 0) and all(got[f"n{i}"] for i in range(len(forms)))
+    usual = texts(spark, "25/01/2023", "25.01.2023", "n/a").select(*(c.rlike(text_dates.shape(f)).cast("int").alias(f) for f in forms))
+    assert {f: sum(x[f] for x in usual.collect()) for f in forms if f in ("d/M/yyyy", "d.M.yyyy", "M/d/yyyy", "yyyy-M-d", "yyyyMMdd")} == {"d/M/yyyy": 1, "d.M.yyyy": 1, "M/d/yyyy": 0, "yyyy-M-d": 0, "yyyyMMdd": 0}
+    assert text_dates.date_report(texts(spark, "9999999-01-01", "-300000-01-01", "999999990228", "2023-01-01"), "sale_date").first().reads == 1  # no such timestamps
