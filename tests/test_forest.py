@@ -1,5 +1,6 @@
 import math
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -78,3 +79,31 @@ def test_share_of_anomalies_and_odd_tables(spark):
     same = spark.createDataFrame([(1.0, 2.0)] * 5, "a double, b double")
     assert {(r[forest.FLAG], r[forest.SCORE]) for r in forest.isolation_forest(same, ["a", "b"]).collect()} == {(False, 0.0)}
     assert forest.isolation_forest(same.limit(0), ["a"]).isEmpty()
+
+
+def test_rows_are_computed_once(spark, tmp_path):
+    def noted(rows):
+        for batch in rows:
+            (tmp_path / uuid.uuid4().hex).write_text(str(len(batch)))
+            yield batch
+
+    df = frame(spark, 60).mapInPandas(noted, "id int, a double, b double, c double")
+    assert forest.isolation_forest(df, ["a", "b"], 0.1, 4, 16).count() == 67
+    assert sum(int(p.read_text()) for p in tmp_path.iterdir()) == 67
+
+
+def test_leaves_at_any_depth():
+    r = np.random.default_rng(3)
+    points = np.round(r.normal(size=(200, 3)), 1)
+    points[:120] = points[0]  # early leaves
+    trees = [forest.grown(points[r.permutation(200)[:64]], t, 1, 6) for t in range(9)]
+
+    def walk(tree, p):
+        feature, threshold, path = tree
+        i = 0
+        while feature[i] >= 0:
+            i = 2 * i + 1 + int(p[feature[i]] > threshold[i])
+        return path[i]
+
+    got = forest.path_lengths(points, tuple(np.stack(x) for x in zip(*trees, strict=True)))
+    assert got.tolist() == [sum((walk(t, p) for t in trees), 0.0) / 9 for p in points]
