@@ -98,12 +98,17 @@ QUERIES["dsh13_validation_report"] = _reports
 ORACLES["dsh13_validation_report"] = f"WITH {SALES}, {_RESULTS} SELECT * FROM results"
 
 
-def _streamed(spark: SparkSession, d: str) -> DataFrame:
-    """The monthly table as a stream of CSV files keeps it up; a row that comes twice counts once."""
-    folder = _folder(spark, "stream")
+#: Rows of a file that is streamed, some 60 MB of CSV.
+_ROWS = 500_000
+
+
+def _streamed(spark: SparkSession, d: str, rows: int = _ROWS) -> DataFrame:
+    """The monthly table as a stream of CSV files keeps it up, in two batches; a row that comes twice counts once. The number
+    of files follows that of the lines."""
+    folder, parts = _folder(spark, "stream"), max(2, -(-_t(spark, d, "lineitem").count() // rows))
     raw = sales(spark, d).withColumn("sale_date", F.date_format("sale_date", "yyyy-MM-dd HH:mm:ss")).select(*RAW_COLUMNS)
-    raw.repartition(2, "order_id").write.csv(f"{folder}/in", header=True)
-    keep_monthly(spark, f"{folder}/in", f"{folder}/store", f"{folder}/checkpoint").awaitTermination()
+    raw.repartition(parts, "order_id").write.csv(f"{folder}/in", header=True)
+    keep_monthly(spark, f"{folder}/in", f"{folder}/store", f"{folder}/checkpoint", -(-parts // 2)).awaitTermination()
     return MonthlyStore(spark, f"{folder}/store").table()
 
 
