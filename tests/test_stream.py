@@ -1,7 +1,9 @@
 import shutil
+from pathlib import Path
 
 from quarrymill.functions.cleaning import clean, with_revenue
 from quarrymill.operators import tables
+from quarrymill.plans import file_queries
 from quarrymill.sources import generate
 from quarrymill.sources.files import RAW_COLUMNS
 from quarrymill.streaming.monthly import MonthlyStore, keep_monthly
@@ -49,3 +51,17 @@ def test_a_batch_may_be_run_again(spark, tmp_path):
     assert rows(store.table()) == rows(tables.monthly_sales_summary(d))
     store.upsert(d.filter("sale_date IS NOT NULL").limit(1), 3)  # no new order
     assert sum(r[5] for r in rows(store.table())) == sum(r[5] for r in rows(tables.monthly_sales_summary(d)))
+
+
+def test_streamed_files_follow_the_lines(spark, monkeypatch):
+    """Some 6,000 lines are seven files in two batches, with the rows that two files give."""
+    calls, real = [], file_queries.keep_monthly
+
+    def noted(session, folder, store, checkpoint, files_per_trigger=1):
+        calls.append((len(list(Path(folder.removeprefix("file://")).glob("part-*.csv"))), files_per_trigger))
+        return real(session, folder, store, checkpoint, files_per_trigger)
+
+    monkeypatch.setattr(file_queries, "keep_monthly", noted)
+    many, few = (rows(file_queries._streamed(spark, "/root/testdata/sf0.001", n)) for n in (1000, 10**9))
+    n = -(-spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 1000)
+    assert calls == [(n, -(-n // 2)), (2, 1)] and n > 2 and many == few
