@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Canonical names with the spellings they stand for.
@@ -27,6 +29,12 @@ REGIONS = {
 # Words that names write small, and date formats, the first that fits being taken.
 STOP_WORDS = [("And", "&"), ("With", "w/"), ("For", "for"), ("The", "the"), ("Of", "of"), ("In", "in"), ("On", "on"), ("At", "at"), ("By", "by"), ("To", "to")]
 DATE_FORMATS = ["yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "M-d-yyyy", "yyyy/M/d", "d.M.yyyy", "yyyy-M-d H:m:s", "d/M/yyyy H:m:s", "M/d/yyyy H:m:s", "yyyy-M-d'T'H:m:s", "yyyy-M-d'T'H:m:s'Z'", "MMM d, yyyy"]
+#: What a part of a format can read at most: a parse that fails costs many times a look at the text. Spark's parser raises
+#: on years that its timestamps don't have, from 294248 on, so years from 294247 on aren't tried.
+_PARTS = {
+    "yyyy": "[+-]?(?=[0-9]{4})0*([0-9]{1,5}|1[0-9]{5}|2[0-8][0-9]{4}|29[0-3][0-9]{3}|294[01][0-9]{2}|2942[0-3][0-9]|29424[0-6])", "MMM": "[^0-9]+", "MM": "(0[1-9]|1[0-2])", "M": "0*([1-9]|1[0-2])", "dd": "(0[1-9]|[12][0-9]|3[01])", "d": "0*([1-9]|[12][0-9]|3[01])",
+    "H": "[0-9]+", "m": "[0-9]+", "s": "[0-9]+", "'T'": "[Tt]", "'Z'": "[Zz]",
+}
 EMAIL = r"^[a-z0-9_%+-]+(\.[a-z0-9_%+-]+)*@[a-z0-9-]+(\.[a-z0-9-]+)*\.[a-z]{2,}$"
 
 
@@ -64,9 +72,19 @@ def region(c: Column) -> Column:
     return F.when(_missing(c), F.lit("Unknown")).otherwise(F.coalesce(_lookup(REGIONS, t), F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30))))
 
 
+def shape(form: str) -> str:
+    """A pattern that every text has which the format reads, and few others."""
+    return "^" + "".join(_PARTS.get(x) or re.escape(x) for x in re.findall(r"yyyy|M+|d+|'.'|.", form)) + "$"
+
+
+def read_date(text: Column, form: str) -> Column:
+    """Null if the format doesn't fit; it is tried only on texts of its shape."""
+    return F.when(text.rlike(shape(form)), F.try_to_timestamp(text, F.lit(form)))
+
+
 def sale_date(c: Column) -> Column:
     """The first format that fits; day-first before month-first."""
-    return F.coalesce(*(F.try_to_timestamp(F.trim(c), F.lit(f)) for f in DATE_FORMATS))
+    return F.coalesce(*(read_date(F.trim(c), f) for f in DATE_FORMATS))
 
 
 def _number(c: Column) -> Column:

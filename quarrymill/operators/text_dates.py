@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.cleaning import read_date as _read, shape  # noqa: F401  shape() is found here too
 from ..functions.written import written
 
 # Words for a missing date, and what each way reads, earlier formats first.
@@ -24,23 +23,6 @@ WAYS = {
 ENOUGH = 0.5
 
 
-#: What a part of a format can read at most: a parse that fails costs many times a look at the text. Spark's parser raises
-#: on years that its timestamps don't have, from 294248 on, so years from 294200 on aren't tried.
-_PARTS = {
-    "yyyy": "[+-]?(?=[0-9]{4})0*([0-9]{1,5}|1[0-9]{5}|2[0-8][0-9]{4}|29[0-3][0-9]{3}|294[01][0-9]{2})", "MMM": "[^0-9]+", "MM": "(0[1-9]|1[0-2])", "M": "0*([1-9]|1[0-2])", "dd": "(0[1-9]|[12][0-9]|3[01])", "d": "0*([1-9]|[12][0-9]|3[01])",
-    "H": "[0-9]+", "m": "[0-9]+", "s": "[0-9]+", "'T'": "[Tt]", "'Z'": "[Zz]",
-}
-
-
-def shape(form: str) -> str:
-    """A pattern that every text has which the format reads, and few others."""
-    return "^" + "".join(_PARTS.get(x) or re.escape(x) for x in re.findall(r"yyyy|M+|d+|'.'|.", form)) + "$"
-
-
-def _read(text: Column, form: str) -> Column:
-    return F.when(text.rlike(shape(form)), F.try_to_timestamp(text, F.lit(form)))
-
-
 def parsed(c: Column, way: str) -> Column:
     return F.coalesce(*(_read(F.trim(c), f) for f in WAYS[way]))
 

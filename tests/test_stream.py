@@ -1,12 +1,14 @@
 import shutil
 from pathlib import Path
 
-from quarrymill.functions.cleaning import clean, with_revenue
+from pyspark.sql import functions as F
+
+from quarrymill.functions.cleaning import DATE_FORMATS, clean, sale_date, with_revenue
 from quarrymill.operators import tables
 from quarrymill.plans import file_queries
 from quarrymill.sources import generate
 from quarrymill.sources.files import RAW_COLUMNS
-from quarrymill.streaming.monthly import MonthlyStore, keep_monthly
+from quarrymill.streaming.monthly import MonthlyStore, digest, keep_monthly
 
 
 def rows(df):
@@ -65,3 +67,59 @@ def test_streamed_files_follow_the_lines(spark, monkeypatch):
     many, few = (rows(file_queries._streamed(spark, "/root/testdata/sf0.001", n)) for n in (1000, 10**9))
     n = -(-spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 1000)
     assert calls == [(n, -(-n // 2)), (2, 1)] and n > 2 and many == few
+
+
+def test_orders_of_a_month_and_batch_are_one_file(spark, tmp_path):
+    """Without adaptive execution, as in a stream, each of 16 tasks would write a file for each month."""
+    d = with_revenue(clean(generate.dirty(spark, 400)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        MonthlyStore(spark, f"file://{tmp_path}/s").upsert(d, 0)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = [len(list(p.glob("part-*.parquet"))) for p in tmp_path.glob("s/orders/month=*/batch=0")]
+    assert len(files) > 1 and set(files) == {1}
+
+
+def test_state_is_on_disk_and_holds_digests(spark, tmp_path):
+    """A batch for each file and none without; the session's settings stay as they are, and one that it has holds."""
+    raw = generate.dirty(spark, 200).select(*RAW_COLUMNS).distinct()
+    raw.repartition(2).write.csv(f"file://{tmp_path}/in", header=True)
+    name, other = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    got = []
+    for given in (None, other):
+        if given:
+            spark.conf.set(name, given)
+        try:
+            base = f"file://{tmp_path}/{len(got)}"
+            query = keep_monthly(spark, f"file://{tmp_path}/in", f"{base}/store", f"{base}/cp")
+            query.awaitTermination()
+            assert spark.conf.get(name, None) == given
+        finally:
+            spark.conf.unset(name)
+        got.append(([p["batchId"] for p in query.recentProgress], any("rocksdb" in k for k in query.lastProgress["stateOperators"][0]["customMetrics"]), rows(MonthlyStore(spark, f"{base}/store").table())))
+        state = b"".join(p.read_bytes() for p in (tmp_path / str(len(got) - 1) / "cp" / "state").rglob("*") if p.is_file() and "chema" in str(p.relative_to(tmp_path)))
+        assert b"_key" in state and b"product_name" not in state
+    assert got[0][:2] == ([0, 1], True) and got[1][:2] == ([0, 1], False) and got[0][2] == got[1][2]
+
+
+def test_digests_tell_rows_apart(spark):
+    """Nulls, empty texts, borders between columns and what looks like a length."""
+    values = [("ab", "c"), ("a", "bc"), ("abc", ""), ("", "abc"), (None, "abc"), ("abc", None), ("-", "abc"), (None, None), ("", ""), ("-", "-"), ("1:a", None), ("a", "1:a"), ("é", "c"), ("e", "c")]
+    d = spark.createDataFrame(values + values, "a string, b string").select(digest(("a", "b")).alias("d"))
+    assert d.distinct().count() == len(values) and d.filter("d IS NULL OR length(d) <> 32").isEmpty()
+
+
+def test_sale_dates_are_read_as_by_trying_all_formats(spark):
+    """A format is tried only on texts of its shape; years that Spark's parser raises on can't be read."""
+    days = ["1995-01-31", "1995-1-3", "31/12/1995", "12/31/1995", "3/4/1995", "03-04-1995", "12-31-1995", "1995/2/3", "3.4.1995", "Jan 3, 1995", "jan 03, 1995", "January 3, 1995", "1995-02-30", "30/02/1995", "0001-01-01", "12345-01-01", "+12345-01-01", "-1995-01-01", "95-01-01", "1/1/95", "00/01/1995", "13/13/1995", "", "x", "1995-01", "Sept 3, 1995"]
+    texts = [d + t for d in days for t in ("", " 10:11:12", " 1:2:3", "T10:11:12", "t10:11:12Z", "T1:2:3Z", " 24:00:00", " 25:00:00", " 10:11", "\n", " ")] + [" 1995-01-31 ", "１９９５-01-31", None]
+    d = spark.createDataFrame([(x,) for x in texts], "s string")
+    plain = F.coalesce(*(F.try_to_timestamp(F.trim("s"), F.lit(f)) for f in DATE_FORMATS))
+    got = d.select("s", sale_date(F.col("s")).cast("string").alias("a"), plain.cast("string").alias("b")).collect()
+    assert [(r.s, r.a) for r in got] == [(r.s, r.b) for r in got] and sum(r.a is not None for r in got) > 40
+    ends = spark.createDataFrame([("+294246-12-31",), ("+300000-01-01",), ("-300000-01-01",)], "s string").select(F.year(sale_date(F.col("s"))).alias("x"))
+    assert [r.x for r in ends.collect()] == [294246, None, None]
