@@ -8,6 +8,7 @@ from quarrymill.operators import tables
 from quarrymill.plans import file_queries
 from quarrymill.sources import generate
 from quarrymill.sources.files import RAW_COLUMNS
+from quarrymill.streaming import monthly
 from quarrymill.streaming.monthly import MonthlyStore, digest, keep_monthly
 
 
@@ -84,6 +85,19 @@ def test_orders_of_a_month_and_batch_are_one_file(spark, tmp_path):
     assert len(files) > 1 and set(files) == {1}
 
 
+def test_orders_of_a_large_month_are_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(monthly, "_ROWS", 5)
+    d, store = with_revenue(clean(generate.dirty(spark, 400))), MonthlyStore(spark, f"file://{tmp_path}/s")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # as in a stream
+    try:
+        store.upsert(d, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert max(len(list(p.glob("part-*.parquet"))) for p in tmp_path.glob("s/orders/month=*/batch=0")) > 1
+    assert rows(store.table()) == rows(tables.monthly_sales_summary(d))
+
+
 def test_state_is_on_disk_and_holds_digests(spark, tmp_path):
     """A batch for each file and none without; the session's settings stay as they are, and one that it has holds."""
     raw = generate.dirty(spark, 200).select(*RAW_COLUMNS).distinct()
